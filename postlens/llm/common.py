@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_postlens_sent", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="postlens-")) / "postlens_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f"{package.name}/{f.relative_to(package)}")
+    context.addPyFile(str(target))
+    context._postlens_sent = True
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

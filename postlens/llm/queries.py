@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.llm import bpe
-from postlens.llm.common import documents
+from postlens.llm import bpe, langid, toxicity
+from postlens.llm.common import crc_bucket, documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +16,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle:
             ORACLES[name] = oracle
         return f
@@ -29,3 +35,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     return bpe.digest(documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.tiktoken"), vocabularies.PATTERN)
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text, learned without the held-out fifth."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, documents(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every whole text, learned without the held-out quarter."""
+    docs = documents(spark, sf_dir)
+    found = langid.predict(docs.select("doc_id", "text"), langid.sample(docs))
+    return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
