@@ -6,8 +6,9 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postlens.llm import bpe, langid, toxicity
+from postlens.llm import bpe, decontaminate, hamming, langid, line_dedup, toxicity
 from postlens.llm.common import crc_bucket, documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,26 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.predict(docs.select("doc_id", "text"), langid.sample(docs))
     return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_decontamination", decontaminate.ORACLE)
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every verified overlap of a document with a benchmark item."""
+    return decontaminate.overlaps(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query("op6_lines", line_dedup.ORACLE)
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier document, or an earlier line of its own, holds."""
+    out = line_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_units", "n_removed", "removed_spans", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+TOP_K = 10
+
+
+@query("op9_hamming", hamming.oracle(TOP_K))
+def op9_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every hundredth vector, against all vectors."""
+    index = hamming.codes(documents(spark, sf_dir, "embeddings"))
+    return hamming.top_k(index, index.where("id % 100 = 0"), TOP_K)
