@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, decontaminate, hamming, langid, line_dedup, toxicity
+from postlens.llm import bpe, decontaminate, hamming, langid, line_dedup, suffix_dedup, toxicity
 from postlens.llm.common import crc_bucket, documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op9_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest codes of every hundredth vector, against all vectors."""
     index = hamming.codes(documents(spark, sf_dir, "embeddings"))
     return hamming.top_k(index, index.where("id % 100 = 0"), TOP_K)
+
+
+@query("op3_suffix_array")
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that 50-byte strings of earlier documents cover."""
+    return suffix_dedup.digest(documents(spark, sf_dir))
