@@ -18,7 +18,7 @@ document has to itself:
    are grouped one by one, by a digest of their 50 bytes. Groups of several documents are exactly
    the repeated windows.
 
-Between passes the surviving keys travel as a Bloom bitmap of at most 2**MAX_BITS bits, sized by their
+Between passes the surviving keys travel as a Bloom bitmap of at most 2**27 bits, sized by their
 number: a bounded sketch, whose false positives cost only work, since it can keep a suffix but never
 lose one and what is kept is compared by digest in a join. Every pass reads the texts anew, which is
 cheaper than moving suffixes: nothing with a row per byte is ever written. Minima are pre-aggregated
@@ -40,12 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import mix64, stage
+from postlens.llm.common import Bitmap, bitmap, mix64, stage
 
 LENGTH = 50
 GRAM = 24
 SIDE = (LENGTH - GRAM) // 2
-MAX_BITS = 27
 PIECE = 1 << 20
 POS = np.uint64(28)
 #: Odd base of the rolling hash and its inverse modulo 2**64.
@@ -154,31 +153,6 @@ def batch_of(names: list[str], arrays: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64)) for a in arrays], names=names)
 
 
-class Bitmap:
-    """A Bloom bitmap with two probes, from a DataFrame of well mixed longs."""
-
-    def __init__(self, keys: DataFrame, rows: int):
-        bits = min(MAX_BITS, max(16, int(16 * rows).bit_length()))
-        self.mask = np.uint64((1 << bits) - 1)
-        probe = F.explode(F.array(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit((1 << bits) - 1)))).alias("p")
-        bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
-        words = keys.select(probe).select(F.shiftright("p", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
-        self.words = np.zeros(1 << (bits - 6), dtype=np.uint64)
-        self.words[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
-
-    def has(self, key: np.ndarray) -> np.ndarray:
-        out = np.ones(len(key), dtype=bool)
-        for p in (key & self.mask, (key >> np.uint64(32)) & self.mask):
-            out &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
-def bitmap(df: DataFrame, label: str):
-    """The bitmap of the long column ``key`` as a broadcast variable."""
-    keys = stage(df, label)
-    return df.sparkSession.sparkContext.broadcast(Bitmap(keys, keys.count()))
-
-
 def shared_keys(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a buffer, each with 1, or 2 if several rows have it."""
     order = np.lexsort((row, keys))
