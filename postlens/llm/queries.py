@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, suffix_dedup, toxicity
+from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, pii, suffix_dedup, toxicity
 from postlens.llm.common import crc_bucket, documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, at similarity 0.8 of five-word shingles."""
     return chosen_path.join(documents(spark, sf_dir))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base spans, and those that the random field adds."""
+    return pii.digest(documents(spark, sf_dir))
