@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, pii, suffix_dedup, toxicity
+from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, pii, secrets, suffix_dedup, toxicity
 from postlens.llm.common import crc_bucket, documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: base spans, and those that the random field adds."""
     return pii.digest(documents(spark, sf_dir))
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret in every whole text, with the forest's verdict."""
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.train(docs))
