@@ -60,8 +60,9 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if len(_SEEN) > CACHED:
         _SEEN.clear()
     words = [WORD.findall(t.lower()) if t else [] for t in texts]
-    for w in set().union(*words) - _SEEN.keys():
-        _SEEN[w] = word_hash(w)
+    for w in set().union(*words):
+        if w not in _SEEN:
+            _SEEN[w] = word_hash(w)
     count = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     h = mix64(np.fromiter((_SEEN[w] for ws in words for w in ws), dtype=np.uint64, count=int(count.sum())))
     row = np.repeat(np.arange(len(texts)), count)
