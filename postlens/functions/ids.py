@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 UNIT = "\u001f"
 
@@ -59,7 +60,7 @@ def contract_versions(**texts: str) -> dict[str, str]:
     return {k: hashlib.sha256(json.dumps(v, sort_keys=True).encode()).hexdigest()[:20] for k, v in texts.items()}
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def decode_diagnostic(data: pd.Series) -> pd.Series:
     """gzip bytes as text; null where they are not gzip."""
 

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC; Spark has no built-in for it."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))

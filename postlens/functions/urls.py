@@ -58,8 +58,6 @@ def canonical_url(url: Column, site: Site | None = None) -> Column:
         query = F.when(own, without_params(query, site.tracking, site.tracking_prefix)).otherwise(query)
         h = F.when(own, F.lit(site.host)).otherwise(h)
     path = F.coalesce(F.nullif(part(url, "PATH"), F.lit("")), F.lit("/"))
-    if site:
-        path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
     port = F.regexp_extract(part(url, "AUTHORITY"), r":(\d+)$", 1)
     port = F.when((port == "") | port.isin("80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
     full = F.concat(F.lit("https://"), h, port, path, F.coalesce(F.concat(F.lit("?"), query), F.lit("")))

@@ -66,11 +66,11 @@ def normalize_count(c: Column) -> Column:
     """1.2K, 3 萬 or 1,234 as a whole number; null if it is not one, or not a safe integer. Decimal arithmetic throughout."""
     text = F.lower(F.regexp_replace(F.trim(c), ",", ""))
     pattern = r"^(\d+(?:\.\d+)?)\s*([km千萬万億亿]?)$"
-    number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("decimal(28,9)")
+    number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("decimal(20,6)")
     table = F.create_map(*[F.lit(x) for sign, by in MULTIPLIERS.items() for x in (sign, by)])
     times = F.coalesce(F.try_element_at(table, F.regexp_extract(text, pattern, 2)), F.lit(1))
-    value = number * times.cast("decimal(10,0)")
-    whole = value.cast("decimal(38,0)")
+    value = number * times.cast("decimal(9,0)")
+    whole = value.cast("decimal(24,0)")
     return F.when((value == whole) & (whole <= SAFE_INTEGER), whole.cast("bigint"))
 
 

@@ -54,10 +54,11 @@ def merge_stable(df: DataFrame, by: list[str], order: str, fill: list[str], last
         return F.struct(F.when(fills | better, x[text]).otherwise(acc["t"]).alias("t"), F.when(fills | better, F.lit(False)).otherwise(acc["c"]).alias("c"))
 
     folded = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), start, step)
-    known = lambda c: F.filter(F.transform("_rows", lambda x: x[c]), lambda v: v.isNotNull())
+    every = lambda c: F.transform("_rows", lambda x: x[c])
+    known = lambda c: F.filter(every(c), lambda v: v.isNotNull())
     out = {c: F.get(known(c), 0) for c in fill}
     out |= {c: F.try_element_at(known(c), F.lit(-1)) for c in last}
-    out |= {c: F.element_at(F.transform("_rows", lambda x, c=c: x[c]), -1) for c in latest}
+    out |= {c: F.element_at(every(c), -1) for c in latest}
     out |= {c: F.array_distinct(F.flatten(known(c))) for c in unions}
     out |= {text: F.col("_f")["t"], truncated: F.col("_f")["c"], "n_records": F.size("_rows").cast("long")}
     if "warnings" in unions:

@@ -32,7 +32,7 @@ def dedupe_events(df: DataFrame, id_: str, order: str, key: str, source: str, or
             "_txt": F.when(F.col(content) != "", F.min(order).over(Window.partitionBy(key, content))),
             "_first": F.min(order).over(by),
             "_earlier": F.collect_list(id_).over(before),
-            "_all": F.collect_list(F.struct(order, id_)).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            "_all": F.collect_list(F.struct(F.col(order).alias("o"), F.col(id_).alias("i"))).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         }
     )
     least = F.least("_src", "_org", "_txt")
@@ -43,8 +43,8 @@ def dedupe_events(df: DataFrame, id_: str, order: str, key: str, source: str, or
     none = F.expr("cast(array() as array<string>)")
     reason = F.when(F.col("_src") == F.col("_m"), "same_source_post").when(F.col("_org") == F.col("_m"), "same_organizer").otherwise("same_source_content")
     status = F.when(F.col("_m").isNotNull(), "duplicate").when(~first, "possible_duplicate").when(F.col("_open"), "possible_duplicate").otherwise("unique")
-    match = F.filter("_all", lambda x: x[order] == F.col("_m"))
-    others = F.transform(F.filter("_all", lambda x: x[order] != F.col(order)), lambda x: x[id_])
+    match = F.filter("_all", lambda x: x["o"] == F.col("_m"))
+    others = F.transform(F.filter("_all", lambda x: x["o"] != F.col(order)), lambda x: x["i"])
     ids_type = df.schema[id_].dataType.simpleString()
     empty = F.expr(f"cast(array() as array<{ids_type}>)")
     done = rows.withColumns(
@@ -52,7 +52,7 @@ def dedupe_events(df: DataFrame, id_: str, order: str, key: str, source: str, or
             "event_group_id": hash_id("event", F.col(key)),
             "status": status,
             "key_complete": F.lit(True),
-            "duplicate_of": F.get(match, 0)[id_],
+            "duplicate_of": F.get(match, 0)["i"],
             "candidate_ids": F.when(F.col("_m").isNotNull(), empty).when(~first, F.col("_earlier")).when(F.col("_open"), others).otherwise(empty),
             "reasons": F.when(F.col("_m").isNotNull(), F.array(F.lit("same_schedule"), F.lit("same_venue"), reason)).when(status == "possible_duplicate", F.array(F.lit("same_schedule"), F.lit("same_venue"))).otherwise(none),
         }

@@ -79,7 +79,10 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
     """(records, rejects) of JSON arrays, {"results": [...]}, single objects or JSON lines. Rejects carry the line number."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    shaped = whole.select("path", "value", F.try_parse_json("value").alias("v"), F.regexp_extract("value", r"^\s*(.)", 1).alias("first"))
+    # several lines of which the first is an object by itself are JSON lines; the parser alone would stop after it
+    filled = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    lined = (F.size(filled) > 1) & F.get(filled, 0).rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json(F.get(filled, 0)).isNotNull()
+    shaped = whole.select("path", "value", F.when(~F.coalesce(lined, F.lit(False)), F.try_parse_json("value")).alias("v"), F.regexp_extract("value", r"^\s*(.)", 1).alias("first"))
     listed = F.from_json("value", T.ArrayType(kind))
     nested = F.from_json("value", T.StructType([T.StructField("results", T.ArrayType(kind))]))["results"]
     one = F.when(nested.isNotNull(), nested).otherwise(F.array(F.from_json("value", kind)))
