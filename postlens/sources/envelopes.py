@@ -20,7 +20,7 @@ ENVELOPE = f"struct<batch: struct<{BATCH}>, posts: array<struct<{POST}>>>"
 
 def read_envelopes(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(envelopes, rejects): one row a file with its raw text, canonical digest and path; rejects name path and reason."""
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_json"))
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_json"))
     rows = raw.withColumns({"json": F.try_parse_json("raw_json"), "env": F.from_json("raw_json", ENVELOPE)})
     reason = (
         F.when(F.col("json").isNull(), "not JSON")
@@ -78,7 +78,7 @@ def migrate(archive: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of JSON arrays, {"results": [...]}, single objects or JSON lines. Rejects carry the line number."""
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     # several lines of which the first is an object by itself are JSON lines; the parser alone would stop after it
     filled = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     lined = (F.size(filled) > 1) & F.get(filled, 0).rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json(F.get(filled, 0)).isNotNull()
