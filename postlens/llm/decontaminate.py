@@ -69,13 +69,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     # one row per document with its words, then one per diagonal with the words that face the item
     faced = texts.select("doc_id", words("text").alias("w"), F.explode("found").alias("f"))
     aligned = faced.select("doc_id", "w", "f.item_id", "f.shift").join(sized(items, n_items), "item_id")
-    low, high = F.greatest(F.col("shift"), F.lit(0)), F.least(F.col("shift") + F.size("item"), F.size("w"))
+    low = F.greatest(F.col("shift"), F.lit(0))
+    # a row that shares its doc_id with another text may not reach as far as that one's hit
+    facing = F.greatest(F.least(F.col("shift") + F.size("item"), F.size("w")) - low, F.lit(0))
     cut = aligned.select(
         "doc_id",
         "item_id",
         low.alias("low"),
         F.least(F.lit(window), F.size("item")).alias("need"),
-        F.zip_with(F.slice("w", low + 1, high - low), F.slice("item", low - F.col("shift") + 1, high - low), lambda a, b: (a == b).cast("int")).alias("eq"),
+        F.zip_with(F.slice("w", low + 1, facing), F.slice("item", low - F.col("shift") + 1, facing), lambda a, b: (a == b).cast("int")).alias("eq"),
     ).where(F.size("eq") >= F.col("need"))
     starts = F.sequence(F.lit(1), F.size("eq") - F.col("need") + 1)
     sums = F.transform(starts, lambda i: F.struct((i + F.col("low") - 1).alias("at"), F.aggregate(F.slice("eq", i, F.col("need")), F.lit(0), lambda a, x: a + x).alias("n")))
