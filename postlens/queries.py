@@ -647,7 +647,7 @@ def p20_without_authors(spark, sf_dir):
 
 # --- listings, duplicates, publication ------------------------------------------------------------
 
-EVENT_ROWS = """with r as (select l_orderkey * 10 + l_linenumber as id, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as ord, l_orderkey as source, 'p' || l_partkey % 50 || '|' || strftime(l_shipdate, '%Y-%m') as key,
+EVENT_ROWS = """with r as (select l_orderkey * 10 + l_linenumber as id, l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as ord, l_orderkey as source, 'p' || l_partkey % 50 || '|' || strftime(l_shipdate, '%Y-%m') as key,
   l_suppkey as org, case when l_linenumber % 4 = 0 then '' else cast(cast(floor(l_quantity) as integer) as varchar) end as content from lineitem where l_linenumber < 6)"""
 
 
@@ -658,10 +658,8 @@ EVENT_ROWS = """with r as (select l_orderkey * 10 + l_linenumber as id, row_numb
 def w6_dedupe_events(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").where("l_linenumber < 6")
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    # a global order by parts: rank inside an order plus the rows of the orders before it
-    per = df.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    before = per.withColumn("base", F.sum("n").over(Window.orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, -1))).select("l_orderkey", F.coalesce("base", F.lit(0)).alias("base"))
-    rows = df.join(before, "l_orderkey").withColumn("ord", F.col("base") + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order[1:])))
+    # source order first, then the position in the source: no global numbering is needed
+    rows = df.withColumn("ord", F.col("l_orderkey") * 1000 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order[1:])))
     rows = rows.select(
         big("ord").alias("ord"), F.col("l_orderkey").alias("source"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string"), F.lit("|"), F.date_format("l_shipdate", "yyyy-MM")).alias("key"),
         F.array(F.col("l_suppkey")).alias("organisers"), F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.floor("l_quantity").cast("int").cast("string")).alias("content"),
