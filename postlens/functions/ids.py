@@ -73,3 +73,16 @@ def decode_diagnostic(data: pd.Series) -> pd.Series:
             return None
 
     return data.map(one)
+
+
+def leaf_facts(record: Column, paths: list[str]) -> Column:
+    """Map of path to text of the filled leaves of a struct: nulls, empty texts and ``unknown`` are left out."""
+
+    def at(path: str) -> Column:
+        c = record
+        for p in path.split("."):
+            c = F.get(c, int(p)) if p.isdigit() else c[p]
+        return c.cast("string")
+
+    entries = F.array(*[F.struct(F.lit(p).alias("key"), at(p).alias("value")) for p in paths])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull() & ~e["value"].isin("", "unknown")))

@@ -70,3 +70,9 @@ def dataset_overview(datasets: DataFrame, releases: DataFrame, id_: str) -> Data
 def reconcile(publications: DataFrame, current: str) -> DataFrame:
     """Publications with the one that the pointer names as published, even if its status was not written."""
     return publications.withColumn("status", F.when(F.col("publication_id") == current, "published").otherwise(F.col("status")))
+
+
+def add_dataset_columns(listings: DataFrame, registry: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """dataset_id and dataset_name of each row's batch; null where no dataset owns it. Nothing else is filled in."""
+    names = registry.select(F.col("batch_id").alias(batch), F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
+    return listings.join(names, batch, "left")

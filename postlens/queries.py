@@ -984,6 +984,37 @@ def g16_distinct_sets(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(big(F.size(F.array_distinct(F.collect_list("event_type")))).alias("n"))
 
 
+@query("p24_extract_media", f"""select page_id, 1 + case when {PAGE_HOST} = 'example.com' or {PAGE_HOST} like '%.example.com' then 0 else 1 end as n_media from pages""")
+def p24_extract_media(spark, sf_dir):
+    m = cards_source.extract_media(F.array(F.lit("a.png"), F.lit("a.png")), F.lit(None).cast("array<string>"), F.array("url", F.lit("/local")), "example.com")
+    return table(spark, sf_dir, "pages").select("page_id", F.size(m).alias("n_media"))
+
+
+@query("p25_parent_by_agreement", "select l_orderkey, case when l_orderkey % 5 = 0 then 'a' when count(distinct l_returnflag) = 1 and bool_and(l_quantity > 3) then min(l_returnflag) end as parent_id from lineitem group by 1")
+def p25_parent_by_agreement(spark, sf_dir):
+    cards = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("c"), F.collect_list(F.col("l_quantity") > 3).alias("g"))
+    return cards_source.parent_by_agreement(cards, ["l_orderkey"], F.when(F.col("l_orderkey") % 5 == 0, "a"), F.col("c"), F.col("g"))
+
+
+@query("p26_dataset_columns", "select s_suppkey, r_regionkey as dataset_id, r_name as dataset_name from supplier join nation on s_nationkey = n_nationkey left join region on n_regionkey = r_regionkey and r_regionkey < 3")
+def p26_dataset_columns(spark, sf_dir):
+    registry = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("batch_id"), F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("batch_id"))
+    return publish.add_dataset_columns(rows, registry).select("s_suppkey", "dataset_id", "dataset_name")
+
+
+@query("f40_leaf_facts", "select o_orderkey, case when o_orderkey % 3 = 0 then 1 else 2 end as n_facts, o_orderstatus as status from orders")
+def f40_leaf_facts(spark, sf_dir):
+    record = F.struct(F.struct(F.col("o_orderstatus").alias("status")).alias("state"), F.when(F.col("o_orderkey") % 3 == 0, "unknown").otherwise("x").alias("note"), F.array(F.lit("")).alias("tags"))
+    facts = ids.leaf_facts(record, ["state.status", "note", "tags.0"])
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(facts).alias("n_facts"), F.try_element_at(facts, F.lit("state.status")).alias("status"))
+
+
+@query("t13_reconcile", "select o_orderkey, case when o_orderkey = 7 then 'published' else o_orderstatus end as status from orders")
+def t13_reconcile(spark, sf_dir):
+    return publish.reconcile(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("publication_id"), F.col("o_orderstatus").alias("status")), "7").select("o_orderkey", "status")
+
+
 # --- streaming ------------------------------------------------------------------------------------
 
 

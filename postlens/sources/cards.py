@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.text import contains_any
+from postlens.functions.urls import host, of_family
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CARD = "page_id long, position int, label string, text string, links array<string>, images array<string>, times array<string>"
@@ -88,3 +89,21 @@ def parse_card(cards: DataFrame, anonymous: str, more: list[str]) -> DataFrame:
             "machine_time": F.get("times", 0),
         }
     )
+
+
+def extract_media(images: Column, videos: Column, links: Column, site: str) -> Column:
+    """Images, videos and links out of the site, distinct by type and URL; same-site links are no media."""
+    entry = lambda kind: lambda u: F.struct(F.lit(kind).alias("type"), u.alias("url"))
+    outside = F.filter(links, lambda u: u.rlike(r"(?i)^https?://") & ~F.coalesce(of_family(host(u), site), F.lit(True)))
+    none = F.expr("cast(array() as array<string>)")
+    return F.array_distinct(F.concat(*[F.transform(F.coalesce(c, none), entry(k)) for k, c in (("image", images), ("video", videos), ("external", outside))]))
+
+
+def parent_by_agreement(cards: DataFrame, ids: list[str], attachment: Column, candidates: Column, same_group: Column) -> DataFrame:
+    """ids and parent_id: the attachment's id, else the one that all of a card's comment links agree on, if they are of its group.
+
+    candidates: array of post ids in comment links; same_group: array of booleans beside it.
+    """
+    known = F.array_distinct(F.filter(candidates, lambda c: c.isNotNull()))
+    agreed = F.when((F.size(known) == 1) & F.forall(same_group, lambda g: F.coalesce(g, F.lit(False))), F.get(known, 0))
+    return cards.select(*ids, F.coalesce(attachment, agreed).alias("parent_id"))
