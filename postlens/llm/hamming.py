@@ -1,12 +1,12 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
 A vector's code holds the signs of its elements (1 where positive), up to 64 of them in one long.
-Codes are cut into m segments of about log2(number of distinct codes) bits. In round r every open
+Codes are cut into m segments of 16 bits, or wider ones for very large tables. In round r every open
 query looks up the segment values that differ from its own in exactly r bits. After round r all
 codes within distance m * (r + 1) - 1 have been seen, as a nearer one differs by at most r bits in
 some segment; a query is closed when its k-th verified distance is within that. A pair counts in one
-round and one segment only (the least differing segment, the first of those), so no round
-repeats work or needs a distinct.
+round and one segment only (the least differing segment, the first of those), and only if it is no
+farther than the k-th nearest found so far, so no round repeats work or needs a distinct.
 
 Equal codes are one entry of the index, with its ``k + 1`` smallest ids (ties go to the smaller id, so
 no further id of the code can be an answer), and equal query codes are searched once.
@@ -40,8 +40,8 @@ def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
-    """Shift and width of each segment."""
-    m = max(4, math.ceil(BITS / max(4, round(math.log2(max(n_codes, 2))))))
+    """Shift and width of each segment: 16 bits each, wider once more than a few million codes are indexed."""
+    m = max(2, min(4, round(BITS / math.log2(max(n_codes / 4, 4)))))
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -50,8 +50,11 @@ def _value(code: str, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(F.col(code), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _masks(width: int, r: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in itertools.combinations(range(width), r)]
+def _masks(width: int, r: int) -> Column:
+    """All masks of r bits, as an array: written out while few, else filtered from the range."""
+    if math.comb(width, r) <= 2000:
+        return F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for c in itertools.combinations(range(width), r)])
+    return F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})")
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -65,7 +68,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     parts = segments(n_codes)
     m = len(parts)
     lookup = stage(entries.select("code", "least", "n", F.posexplode(F.array(*[_value("code", *p) for p in parts])).alias("seg", "val")), "mih-lookup")
-    open_ = stage(queries.select(F.col("code").alias("q")).distinct(), "mih-open")
+    open_ = stage(queries.select(F.col("code").alias("q"), F.lit(BITS).alias("most")).distinct(), "mih-open")
     widest = max(w for _, w in parts)
     best = spark.createDataFrame([], "q long, code long, least long, n long, distance int")
     closed = None
@@ -76,12 +79,15 @@ def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for s, (shift, width) in enumerate(parts):
             if r > width:
                 continue
-            own = open_.select("q", F.lit(s).alias("seg"), F.explode(F.array(*[F.lit(x).cast("long") for x in _masks(width, r)])).alias("mask"))
-            own = own.select("q", "seg", _value("q", shift, width).bitwiseXOR(F.col("mask")).alias("val"))
+            own = open_.select("q", "most", F.lit(s).alias("seg"), F.explode(_masks(width, r)).alias("mask"))
+            own = own.select("q", "most", "seg", _value("q", shift, width).bitwiseXOR(F.col("mask")).alias("val"))
             probes = own if probes is None else probes.unionByName(own)
-        met = probes.join(lookup, ["seg", "val"]).withColumn("diffs", diffs)
-        new = met.where((F.array_min("diffs") == r) & (F.array_position("diffs", r) == F.col("seg") + 1))
-        verified = new.select("q", "code", "least", "n", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))
+        p, i = probes.alias("p"), lookup.alias("i")
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        same = (F.col("p.seg") == F.col("i.seg")) & (F.col("p.val") == F.col("i.val"))
+        # this round's own pairs, and of those only what can still be among the nearest
+        met = p.join(i, same & (F.array_min(diffs) == r) & (F.array_position(diffs, r) == F.col("p.seg") + 1) & (distance <= F.col("most")))
+        verified = met.select("q", "code", "least", "n", distance.alias("distance"))
         both = best.join(open_, "q", "left_semi").unionByName(verified)
         best_now = stage(both.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1).drop("place"), f"mih-best-{r}")
         reach = m * (r + 1) - 1
@@ -92,7 +98,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         over = stage(sure.where(done).select("q"), f"mih-over-{r}")
         ready = best_now.join(over, "q", "left_semi")
         closed = ready if closed is None else closed.unionByName(ready)
-        open_ = stage(open_.join(over, "q", "left_anti"), f"mih-open-{r}")
+        # the distance of the nearest codes with k + 1 ids so far: nothing beyond it can be an answer
+        fill = best_now.withColumn("sum", F.sum("n").over(nearest)).where(F.col("sum") >= k + 1).groupBy("q").agg(F.min("distance").alias("bound"))
+        open_ = stage(open_.join(over, "q", "left_anti").join(fill, "q", "left").select("q", F.least("most", F.coalesce("bound", "most")).alias("most")), f"mih-open-{r}")
         best = best_now
         if not open_.take(1):
             break
