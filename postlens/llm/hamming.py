@@ -82,7 +82,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             own = open_.select("q", "most", F.lit(s).alias("seg"), F.explode(_masks(width, r)).alias("mask"))
             own = own.select("q", "most", "seg", _value("q", shift, width).bitwiseXOR(F.col("mask")).alias("val"))
             probes = own if probes is None else probes.unionByName(own)
-        p, i = probes.alias("p"), lookup.alias("i")
+        # the exploded probes look as small to the planner as what they were exploded from: never broadcast them
+        p, i = probes.hint("merge").alias("p"), lookup.alias("i")
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         same = (F.col("p.seg") == F.col("i.seg")) & (F.col("p.val") == F.col("i.val"))
         # this round's own pairs, and of those only what can still be among the nearest
