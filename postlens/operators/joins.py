@@ -35,10 +35,11 @@ def join_by_id(source: DataFrame, results: DataFrame, id_: str) -> Joined:
 
 def join_report(j: Joined, id_: str, matched: str) -> DataFrame:
     """One row: source rows, matched, missing, unknown and duplicate ids. matched: a column that only results have."""
-    counts = j.rows.agg(F.count("*").alias("sources"), F.count(matched).alias("matched"))
+    count = lambda df, name, c="*": df.agg(F.count(c).alias("n")).select(F.lit(name).alias("name"), "n")
+    parts = count(j.rows, "sources").unionByName(count(j.rows, "matched", matched))
     for name, df in (("missing", j.missing), ("unknown", j.unknown), ("duplicate", j.duplicates)):
-        counts = counts.join(df.agg(F.count("*").alias(name)))
-    return counts
+        parts = parts.unionByName(count(df, name))
+    return parts.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in ("sources", "matched", "missing", "unknown", "duplicate")])
 
 
 def check_joined(j: Joined, id_: str, allow_partial: bool = False) -> DataFrame:
