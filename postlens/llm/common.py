@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-import zipfile
 import zlib
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens.shipping import ship as ship
+
 MASK64 = (1 << 64) - 1
 
 
@@ -27,25 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once a session."""
-    context = spark.sparkContext
-    if getattr(context, "_postlens_sent", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="postlens-")) / "postlens_package.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    context.addPyFile(str(target))
-    context._postlens_sent = True
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that the driver no longer holds."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Shuffle files of earlier passes, which nothing can ask for any more, are then given up: Spark
+    removes them when the driver's garbage collector finds their plans unused.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -75,20 +73,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A bitmap has at most 2**MAX_BITS bits (16 MB), however many keys it stands for.
+#: A bitmap has 2**MAX_BITS bits (16 MB), however many keys it stands for.
 MAX_BITS = 27
 
 
 class Bitmap:
-    """A Bloom bitmap with two probes, from a DataFrame of well mixed longs."""
+    """A Bloom bitmap of 2**MAX_BITS bits with two probes, from a DataFrame of well mixed longs (``key``)."""
 
-    def __init__(self, keys: DataFrame, rows: int):
-        bits = min(MAX_BITS, max(16, int(16 * rows).bit_length()))
-        self.mask = np.uint64((1 << bits) - 1)
-        probe = F.explode(F.array(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned("key", 32).bitwiseAND(F.lit((1 << bits) - 1)))).alias("p")
+    def __init__(self, keys: DataFrame):
+        self.mask = np.uint64((1 << MAX_BITS) - 1)
+        low = F.lit((1 << MAX_BITS) - 1)
+        probe = F.explode(F.array(F.col("key").bitwiseAND(low), F.shiftrightunsigned("key", 32).bitwiseAND(low))).alias("p")
         bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
         words = keys.select(probe).select(F.shiftright("p", 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
-        self.words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        self.words = np.zeros(1 << (MAX_BITS - 6), dtype=np.uint64)
         self.words[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
 
     def has(self, key: np.ndarray) -> np.ndarray:
@@ -98,7 +96,8 @@ class Bitmap:
         return out
 
 
-def bitmap(df: DataFrame, label: str):
-    """The bitmap of the long column ``key`` as a broadcast variable."""
-    keys = stage(df, label)
-    return df.sparkSession.sparkContext.broadcast(Bitmap(keys, keys.count()))
+def bitmap(keys: DataFrame):
+    """The bitmap of the long column ``key`` as a broadcast variable; its 16 MB do not depend on the data."""
+    sent = keys.sparkSession.sparkContext.broadcast(Bitmap(keys))
+    release(keys.sparkSession)
+    return sent

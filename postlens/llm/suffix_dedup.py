@@ -12,14 +12,14 @@ document has to itself:
 1. *First digit*, the 24 bytes at the anchor: grams of one document go.
 2. *Second digit*, 13 bytes more to the left or to the right; every window has one of the two 37-byte
    strings in it. Windows whose string is in one document only go.
-3. *The rest of the digits at once*: contexts are grouped whole by a 128-bit digest. A context that an
-   earlier document holds too goes wholly; its earliest document stands for it.
+3. *The rest of the digits at once*: contexts are grouped whole, by gram and digest, 128 bits in
+   all. A context that an earlier document holds too goes wholly; its earliest stands for it.
 4. *Groups at full depth*: where a gram still has several contexts, the earliest documents' windows
-   are grouped one by one, by a digest of their 50 bytes. Groups of several documents are exactly
-   the repeated windows.
+   are told apart one by one. Those whose 50 bytes one document has to itself go; the others are
+   grouped by gram and digest. Groups of several documents are exactly the repeated windows.
 
-Between passes the surviving keys travel as a Bloom bitmap of at most 2**27 bits, sized by their
-number: a bounded sketch, whose false positives cost only work, since it can keep a suffix but never
+Between passes the surviving keys travel as a Bloom bitmap of 2**27 bits (16 MB) at any size of the
+corpus: a bounded sketch, whose false positives cost only work, since it can keep a suffix but never
 lose one and what is kept is compared by digest in a join. Every pass reads the texts anew, which is
 cheaper than moving suffixes: nothing with a row per byte is ever written. Minima are pre-aggregated
 in each task, so a passage that a third of all documents hold is one row per task.
@@ -39,62 +39,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
-from postlens.llm.common import Bitmap, bitmap, mix64, stage
+from postlens.llm.common import Bitmap, bitmap, mix64, release, stage
 
 LENGTH = 50
 GRAM = 24
 SIDE = (LENGTH - GRAM) // 2
 PIECE = 1 << 20
-POS = np.uint64(28)
+LOW = np.uint64((1 << 28) - 1)
+PICK = np.uint64(0xD1342543DE82EF95)
 #: Odd base of the rolling hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, kept in the worker."""
+    if len(_POWERS.get("up", ())) < n:
+        most = max(n, 2 * PIECE + LENGTH)
+        _POWERS["up"], _POWERS["down"] = _powers(BASE, most), _powers(INVERSE, most)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
 class Runs:
     """The runs of a buffer of pieces: first window, number of windows, anchor (all offsets in the buffer), piece."""
 
     def __init__(self, pieces: list[bytes]):
         self.data = b"".join(pieces)
         size = np.array([len(p) for p in pieces], dtype=np.int64)
-        self.begin = np.cumsum(size) - size
+        end = np.cumsum(size)
+        self.begin = end - size
         raw = np.frombuffer(self.data, dtype=np.uint8)
         n = len(raw)
+        power, self.inverse = powers(max(n, 1))
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(LETTER[raw] * power[:n], out=self.sums[1:])
+        self.first = self.count = self.anchor = self.piece = np.zeros(0, dtype=np.int64)
         if n < LENGTH:
-            self.first = self.count = self.anchor = self.piece = np.zeros(0, dtype=np.int64)
-            self.sums = np.zeros(1, dtype=np.uint64)
-            self.inverse = np.zeros(0, dtype=np.uint64)
             return
-        power = np.full(n, BASE, dtype=np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.inverse = np.full(n, INVERSE, dtype=np.uint64)
-        self.inverse[0] = 1
-        np.multiply.accumulate(self.inverse, out=self.inverse)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(LETTER[raw] * power, out=self.sums[1:])
-        del power
-        gram = self.hash(np.arange(n - GRAM + 1), GRAM)
-        key = (gram >> POS << POS) | np.arange(len(gram), dtype=np.uint64)
+        # the least rolling hash of the grams in every window; the offset in the low bits breaks ties to the left
+        key = (self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[: n - GRAM + 1]
+        key *= PICK
+        key &= ~LOW
+        key |= np.arange(len(key), dtype=np.uint64)
         span, have = LENGTH - GRAM + 1, 1
         while have * 2 <= span:
             key = np.minimum(key[:-have], key[have:])
             have *= 2
         if span > have:
             key = np.minimum(key[: have - span], key[span - have :])
-        anchor = (key & np.uint64((1 << int(POS)) - 1)).astype(np.int64)
-        owner = np.repeat(np.arange(len(pieces)), size)
-        at = np.flatnonzero(owner[: n - LENGTH + 1] == owner[LENGTH - 1 :])
+        # no window starts in the last bytes of a piece
+        inside = np.ones(n, dtype=bool)
+        inside[np.maximum(end[size > 0, None] - np.arange(1, LENGTH), self.begin[size > 0, None]).ravel()] = False
+        at = np.flatnonzero(inside[: n - LENGTH + 1])
         if not len(at):
-            self.first = self.count = self.anchor = self.piece = np.zeros(0, dtype=np.int64)
             return
-        a = anchor[at]
-        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (owner[at[1:]] != owner[at[:-1]])]))
+        a = (key[at] & LOW).astype(np.int64)
+        new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))  # other pieces have other anchors
         self.first, self.anchor = at[new], a[new]
         self.count = np.diff(np.append(new, len(at)))
-        self.piece = owner[self.first]
+        self.piece = np.searchsorted(self.begin + (size == 0), self.first, side="right") - 1
 
     def hash(self, at: np.ndarray, length: int) -> np.ndarray:
         """Well mixed hash of the length bytes from each offset."""
@@ -121,10 +136,10 @@ class Runs:
         self.only((left | right) & (self.count > 0))
 
     def digests(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """128-bit digests, two longs a row, of stretches of the buffer."""
+        """64-bit digests of stretches of the buffer; with the gram's hash beside them, 128 bits tell stretches apart."""
         data, h = self.data, hashlib.blake2b
-        out = b"".join([h(data[a : a + n], digest_size=16).digest() for a, n in zip(first.tolist(), length.tolist())])
-        return np.frombuffer(out, dtype=np.int64).reshape(-1, 2)
+        out = b"".join([h(data[a : a + n], digest_size=8).digest() for a, n in zip(first.tolist(), length.tolist())])
+        return np.frombuffer(out, dtype=np.int64)
 
 
 def buffers(batches, columns: list[str]):
@@ -162,7 +177,7 @@ def shared_keys(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return k[start], 1 + (r[start] != r[end] if len(k) else np.zeros(0, dtype=np.int64)).astype(np.int64)
 
 
-def repeated_keys(docs: DataFrame, keys_of, label: str):
+def repeated_keys(docs: DataFrame, keys_of):
     """Bitmap of the keys that several rows of docs have; keys_of gives the keys and runs of a buffer."""
 
     def run(batches):
@@ -171,7 +186,7 @@ def repeated_keys(docs: DataFrame, keys_of, label: str):
             yield batch_of(["key", "n"], list(shared_keys(keys, row[piece])))
 
     counted = docs.select("text").mapInArrow(run, table(["key", "n"])).groupBy("key").agg(F.sum("n").alias("n"))
-    return bitmap(counted.where("n > 1").select("key"), label)
+    return bitmap(counted.where("n > 1").select("key"))
 
 
 def survivors(runs: Runs, grams: Bitmap, halves: Bitmap) -> None:
@@ -195,52 +210,75 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("doc_id").alias("doc_hash"), F.xxhash64("text").alias("text_hash"), "text")
     used = keyed.where("doc_id is not null")
 
-    grams = repeated_keys(used, lambda r: (r.hash(r.anchor, GRAM), r.piece), "suffix-grams")
+    grams = repeated_keys(used, lambda r: (r.hash(r.anchor, GRAM), r.piece))
 
     def half_keys(r: Runs):
         r.only(grams.value.has(r.hash(r.anchor, GRAM)))
         has_left, has_right, left, right = r.halves()
         return np.concatenate([left[has_left], right[has_right]]), np.concatenate([r.piece[has_left], r.piece[has_right]])
 
-    halves = repeated_keys(used, half_keys, "suffix-halves")
+    halves = repeated_keys(used, half_keys)
 
     def contexts(batches):
         for pieces, row, _, (ids,) in buffers(batches, ["doc_id"]):
             r = Runs(pieces)
             survivors(r, grams.value, halves.value)
-            d = r.digests(r.first, r.count + LENGTH - 1)
-            yield batch_of(["d1", "d2", "gram", "doc_id"], [d[:, 0], d[:, 1], r.hash(r.anchor, GRAM), np.array(ids, dtype=np.int64)[row[r.piece]]])
+            yield batch_of(["gram", "d", "doc_id"], [r.hash(r.anchor, GRAM), r.digests(r.first, r.count + LENGTH - 1), np.array(ids, dtype=np.int64)[row[r.piece]]])
 
-    held = used.select("doc_id", "text").mapInArrow(contexts, table(["d1", "d2", "gram", "doc_id"]))
-    first = stage(held.groupBy("d1", "d2", "gram").agg(F.min("doc_id").alias("first")), "suffix-contexts")
-    earliest = bitmap(first.select(F.col("d1").bitwiseXOR(F.xxhash64("first")).alias("key")), "suffix-earliest")
-    varied = bitmap(first.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("key")), "suffix-varied")
+    held = used.select("doc_id", "text").mapInArrow(contexts, table(["gram", "d", "doc_id"]))
+    first = held.groupBy("gram", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).persist(StorageLevel.DISK_ONLY)
+    earliest = bitmap(first.select(F.col("d").bitwiseXOR(F.xxhash64("first")).alias("key")))
+    varied = bitmap(first.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("key")))
+    several = bitmap(first.where("first < last").select(F.col("d").bitwiseXOR(F.col("gram")).alias("key")))
+    first.unpersist()
 
     def settled(r: Runs, doc_hash: np.ndarray):
         """Digests of the runs, which of them an earlier document surely holds, and which need windows."""
         survivors(r, grams.value, halves.value)
         d = r.digests(r.first, r.count + LENGTH - 1)
-        gone = ~earliest.value.has(d[:, 0].view(np.uint64) ^ doc_hash[r.piece])
+        gone = ~earliest.value.has(d.view(np.uint64) ^ doc_hash[r.piece])
         return d, gone, varied.value.has(r.hash(r.anchor, GRAM))
 
-    names = ["d1", "d2", "doc_id", "text_hash", "start", "n"]
+    def windows_of(r: Runs, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start of every window of some runs, and its run."""
+        count = r.count[which]
+        start = np.repeat(r.first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return start, np.repeat(which, count)
+
+    def open_windows(batches):
+        for pieces, row, _, (hashes,) in buffers(batches, ["doc_hash"]):
+            r = Runs(pieces)
+            _, gone, windows = settled(r, np.array(hashes, dtype=np.int64).view(np.uint64)[row])
+            start, run = windows_of(r, np.flatnonzero(~gone & windows))
+            yield batch_of(["key", "n"], list(shared_keys(r.hash(start, LENGTH), row[r.piece[run]])))
+
+    counted = used.select("doc_hash", "text").mapInArrow(open_windows, table(["key", "n"])).groupBy("key").agg(F.sum("n").alias("n"))
+    repeats = bitmap(counted.where("n > 1").select("key"))
+    del held, first, counted
+
+    names = ["gram", "d", "doc_id", "text_hash", "place"]  # place: start * 64 + number of windows
 
     def open_units(batches):
         for pieces, row, offset, (ids, hashes, texts) in buffers(batches, ["doc_id", "doc_hash", "text_hash"]):
             r = Runs(pieces)
             d, gone, windows = settled(r, np.array(hashes, dtype=np.int64).view(np.uint64)[row])
-            whole, parts = np.flatnonzero(~gone & ~windows), np.flatnonzero(~gone & windows)
-            count = r.count[parts]
-            one = np.repeat(r.first[parts], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            piece = np.concatenate([r.piece[whole], np.repeat(r.piece[parts], count)])
+            gram = r.hash(r.anchor, GRAM)
+            whole = np.flatnonzero(~gone & ~windows & several.value.has(d.view(np.uint64) ^ gram))
+            one, run = windows_of(r, np.flatnonzero(~gone & windows))
+            some = repeats.value.has(r.hash(one, LENGTH))
+            one, run = one[some], run[some]
+            run = np.concatenate([whole, run])
             digest = np.concatenate([d[whole], r.digests(one, np.full(len(one), LENGTH))])
+            piece = r.piece[run]
             start = np.concatenate([r.first[whole], one]) - r.begin[piece] + offset[piece]
             own = row[piece]
-            yield batch_of(names, [digest[:, 0], digest[:, 1], np.array(ids, dtype=np.int64)[own], np.array(texts, dtype=np.int64)[own], start, np.concatenate([r.count[whole], np.ones(len(one), dtype=np.int64)])])
+            n = np.concatenate([r.count[whole], np.ones(len(one), dtype=np.int64)])
+            yield batch_of(names, [gram[run], digest, np.array(ids, dtype=np.int64)[own], np.array(texts, dtype=np.int64)[own], start * 64 + n])
 
     units = stage(used.mapInArrow(open_units, table(names)), "suffix-units")
-    least = stage(units.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "suffix-least")
-    later = units.join(least, ["d1", "d2"]).where("first < doc_id").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("later"))
+    least = stage(units.groupBy("gram", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "suffix-least")
+    release(docs.sparkSession)
+    later = units.join(least, ["gram", "d"]).where("first < doc_id").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("later"))
 
     def apply(batches):
         for batch in batches:
@@ -262,9 +300,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 size.append(len(text))
                 x, y = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
                 if ids[r] is not None:
-                    own = later_of[r] or ()
-                    x = np.concatenate([start[part[r] : part[r + 1]], np.array([u["start"] for u in own], dtype=np.int64)])
-                    y = np.concatenate([end[part[r] : part[r + 1]], np.array([u["start"] + u["n"] + LENGTH - 1 for u in own], dtype=np.int64)])
+                    own = np.array(later_of[r] or (), dtype=np.int64)
+                    x = np.concatenate([start[part[r] : part[r + 1]], own // 64])
+                    y = np.concatenate([end[part[r] : part[r + 1]], own // 64 + own % 64 + LENGTH - 1])
                 a, b = merged(x, y)
                 edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(text)]
                 kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2])))
