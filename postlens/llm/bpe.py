@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 NONE = np.int64(1) << np.int64(62)
 #: Up to this width pre-tokens are merged side by side; longer ones have a tree of their own.
 SIDE_BY_SIDE = 256
-CACHED = 300_000
+CACHED = 100_000
 _MERGERS: dict[str, "Merger"] = {}
 
 
@@ -106,7 +106,7 @@ class Merger:
             else:
                 classes.setdefault(1 << (len(p) - 1).bit_length(), []).append(i)
         for width, members in classes.items():
-            step = max(1, (1 << 19) // width)
+            step = max(1, (1 << 18) // width)
             for at in range(0, len(members), step):
                 part = members[at : at + step]
                 for i, ids in zip(part, self._side_by_side([pieces[i] for i in part], width)):
@@ -220,7 +220,7 @@ class Merger:
         return [b"".join(map(cache.__getitem__, pieces)) for pieces in pieces_of]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], col: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], col: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a column's bytes stay near the bound; a single row may be larger."""
     for batch in batches:
         rows = max(1, int(batch.num_rows * most / max(batch.column(col).nbytes, 1)))

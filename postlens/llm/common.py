@@ -62,6 +62,21 @@ def word_hash(word: str) -> int:
     return ((zlib.crc32(b) << 32) | zlib.crc32(b, 0x9E3779B9)) & MASK64
 
 
+#: Words whose hash a Python worker keeps; the cache is emptied beyond that, as executors' memory is small.
+CACHED_WORDS = 100_000
+_HASHES: dict[str, int] = {}
+
+
+def hash_words(words: list[list[str]]) -> np.ndarray:
+    """Hashes of all words of some lists, one after the other."""
+    if len(_HASHES) > CACHED_WORDS:
+        _HASHES.clear()
+    for w in set().union(*words):
+        if w not in _HASHES:
+            _HASHES[w] = word_hash(w)
+    return mix64(np.fromiter((_HASHES[w] for ws in words for w in ws), dtype=np.uint64, count=sum(map(len, words))))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over uint64 arrays (splitmix64's, which is published)."""
     x = x.astype(np.uint64, copy=True)

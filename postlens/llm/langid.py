@@ -182,7 +182,7 @@ def predict(df: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
             _PARSERS[key] = Parser(sent.value)
         parser = _PARSERS[key]
         for batch in batches:
-            step = max(1, int(batch.num_rows * (1 << 21) / max(batch.column("text").nbytes, 1)))
+            step = max(1, int(batch.num_rows * (1 << 20) / max(batch.column("text").nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 lang, score = parser.predict(part.column("text").to_pylist())

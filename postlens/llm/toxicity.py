@@ -27,12 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import crc_bucket, mix64, word_hash
+from postlens.llm.common import crc_bucket, hash_words, mix64
 
 BITS = 20
 WORD = re.compile(r"\w+")
-CACHED = 300_000
-_SEEN: dict[str, int] = {}
 
 
 @dataclass
@@ -57,14 +55,9 @@ class Model:
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Row number and feature index of every gram of every text."""
-    if len(_SEEN) > CACHED:
-        _SEEN.clear()
     words = [WORD.findall(t.lower()) if t else [] for t in texts]
-    for w in set().union(*words):
-        if w not in _SEEN:
-            _SEEN[w] = word_hash(w)
     count = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    h = mix64(np.fromiter((_SEEN[w] for ws in words for w in ws), dtype=np.uint64, count=int(count.sum())))
+    h = hash_words(words)
     row = np.repeat(np.arange(len(texts)), count)
     rows, keys = [row], [h]
     one, two, three = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -124,13 +117,21 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), holdout: tup
             cut = np.searchsorted(pair >> BITS, np.arange(len(pdf) + 1))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "idx": [(pair[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]})
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(order=mix64(pdf["doc_id"].to_numpy(dtype=np.int64).view(np.uint64))).drop_duplicates("doc_id").sort_values(["order", "doc_id"])
-        m = fit_ftrl([np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in pdf["idx"]], pdf["toxic"].tolist(), p)
-        return pd.DataFrame({"index": np.append(m.index, -1), "weight": np.append(m.weight, m.bias)})
+    def fit(batches):
+        # the sample alone, as one array of indices per document: the batches it came in are let go
+        ids, labels_, examples = [], [], []
+        for batch in batches:
+            for doc, y, idx in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "toxic", "idx")]):
+                if not ids or ids[-1] != doc:
+                    ids.append(doc)
+                    labels_.append(y)
+                    examples.append(np.frombuffer(idx, dtype=np.int32))
+        if ids:
+            m = fit_ftrl(examples, labels_, p)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1)), pa.array(np.append(m.weight, m.bias))], names=["index", "weight"])
 
     rows = training_rows(docs, labels, p, holdout).mapInPandas(features, "doc_id long, toxic int, idx binary")
-    fitted = rows.groupBy(F.lit(1).alias("one")).applyInPandas(lambda pdf: fit(pdf), "index long, weight double").toPandas()
+    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx").mapInArrow(fit, "index long, weight double").toPandas()
     if not len(fitted):
         return Model()
     bias = float(fitted.loc[fitted["index"] < 0, "weight"].iloc[0])
@@ -150,14 +151,14 @@ def score(df: DataFrame, model: Model) -> DataFrame:
         dense = np.zeros(1 << BITS)
         dense[index] = weight
         for batch in batches:
-            step = max(1, int(batch.num_rows * (1 << 21) / max(batch.column("text").nbytes, 1)))
+            step = max(1, int(batch.num_rows * (1 << 20) / max(batch.column("text").nbytes, 1)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 row, idx = grams(part.column("text").to_pylist())
                 used = dense[idx] != 0
                 pair = np.unique(row[used] * (1 << BITS) + idx[used])
                 total = np.bincount(pair >> BITS, weights=dense[pair & ((1 << BITS) - 1)], minlength=part.num_rows) + bias
-                p = 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700)))
+                p = np.where(total < -700, 0.0, 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700))))
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
     return df.mapInArrow(run, schema)
