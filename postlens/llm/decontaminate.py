@@ -4,28 +4,45 @@ Fixed masks slide over the words of a text; each hashes the words at its ``1`` p
 ignores those at its ``0`` positions. Hashes of the corpus are joined with those of the benchmark,
 and every hit is verified on its diagonal: along the alignment of document and item, some window
 of ``window`` words (or the whole item, if shorter) must agree in at least ``share`` of its
-positions. Substituted words are thus tolerated twice, by the masks and by the window.
+positions. Substituted words are thus tolerated twice, by the masks and by the window. The masks of
+an item follow from the words that have to agree: of ``COVERS``, one hits whichever of them are
+substituted, so verification sees every diagonal that it would accept.
 
 Only the benchmark's distinct hashes meet the exploded hashes of the corpus. Their number is
 counted: up to ``BROADCAST_ROWS`` they are broadcast, beyond that the join shuffles, as do the joins
 of hits with items and with texts.
 
-Defined results: null or empty texts and items, and items shorter than the shortest mask, match
-nothing; very long texts are read whole; repeated documents are each reported once per doc_id and
+Defined results: null or empty texts and items, and items without a word, match nothing; an item of
+one to four words matches its copies; very long texts are read whole; repeated documents are each reported once per doc_id and
 item; repeated items are items of their own; null ids are never reported; empty tables give no
 rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.llm.common import stage
 
+#: The masks of the SQL, which miss some placements of substituted words.
 MASKS = ("11011011", "1110010101")
 WINDOW = 13
 SHARE = 0.8
+#: By window and tolerated substitutions: masks of which some placement avoids the substituted words, wherever they are.
+COVERS = {
+    (5, 1): ("111", "1101"),
+    (6, 1): ("1111", "11011"),
+    (7, 1): ("11011",),
+    (8, 1): ("11111", "111011"),
+    (9, 1): ("111111", "1110111"),
+    (10, 2): ("111011", "11010011", "11111"),
+    (11, 2): ("1101111", "111100011", "1100011011"),
+    (12, 2): ("11101011", "101100111", "111111"),
+    (13, 2): ("111111", "11001010011"),
+}
 BROADCAST_ROWS = 200_000
 SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -35,19 +52,32 @@ def words(text: str) -> Column:
     return F.filter(F.split(F.lower(F.col(text)), SPLIT), lambda w: w != "")
 
 
-def seeds(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """One row per mask and position: key, pos, h."""
-    hashed = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, F.transform(words(text), lambda w: F.xxhash64(w)).alias("w"))
+def masks(need: int, share: float = SHARE) -> tuple[str, ...]:
+    """Masks that hit every window of need words in which the share agrees."""
+    lost = need - math.ceil(need * share)
+    # one of lost + 1 blocks is whole
+    return COVERS.get((need, lost)) or ("1" * max(1, need // (lost + 1)),)
+
+
+def seeds(df: DataFrame, key: str, needs: list[int], window: int = WINDOW, share: float = SHARE, own: bool = False) -> DataFrame:
+    """One row per mask and position: key, pos, h. With own, a text has only the masks of its own length."""
+    hashed = df.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.transform(words("text"), lambda w: F.xxhash64(w)).alias("w"))
+    uses: dict[str, list[int]] = {}
+    for need in needs:
+        for mask in masks(need, share):
+            uses.setdefault(mask, []).append(need)
 
     def of(mask: str) -> Column:
         at = [i for i, c in enumerate(mask) if c == "1"]
         n = F.size("w") - len(mask)
         # element_at counts from 1; a text shorter than the mask gives no seeds
         last = F.when(n >= 0, n).otherwise(F.lit(0))
-        own = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.lit(mask), *[F.element_at("w", i + j) for j in at]))
-        return F.when(n >= 0, own).otherwise(F.expr("cast(array() as array<bigint>)"))
+        found = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.lit(mask), *[F.element_at("w", i + j) for j in at]))
+        fits = (n >= 0) & F.least(F.lit(window), F.size("w")).isin(uses[mask]) if own else n >= 0
+        return F.when(fits, found).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    per_mask = hashed.select(key, F.explode(F.array(*[of(m) for m in MASKS])).alias("hs"))
+    each = F.array(*[of(m) for m in uses]) if uses else F.expr("cast(array() as array<array<bigint>>)")
+    per_mask = hashed.select(key, F.explode(each).alias("hs"))
     return per_mask.select(key, F.posexplode("hs").alias("pos", "h"))
 
 
@@ -59,9 +89,11 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """Verified overlaps: doc_id, item_id, start_word, end_word (exclusive, of the document), best (most agreeing words in a window)."""
     items = stage(benchmark.select("item_id", "text").where("item_id is not null and text is not null").select("item_id", words("text").alias("item")).distinct(), "decon-items")
-    item_seeds = stage(seeds(benchmark.select("item_id", "text"), "item_id").withColumnRenamed("pos", "item_pos"), "decon-seeds")
+    # at most window lengths
+    needs = sorted(r.need for r in items.select(F.least(F.lit(window), F.size("item")).alias("need")).distinct().collect() if r.need)
+    item_seeds = stage(seeds(benchmark.select("item_id", "text"), "item_id", needs, window, share, True).withColumnRenamed("pos", "item_pos"), "decon-seeds")
     keys = stage(item_seeds.select("h").distinct(), "decon-keys")
-    hits = stage(seeds(docs.select("doc_id", "text"), "doc_id").join(sized(keys, keys.count()), "h"), "decon-hits")
+    hits = stage(seeds(docs.select("doc_id", "text"), "doc_id", needs, window, share).join(sized(keys, keys.count()), "h"), "decon-hits")
     n_seeds, n_items = item_seeds.count(), items.count()
     diagonals = hits.join(sized(item_seeds, n_seeds), "h").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     by_doc = stage(diagonals.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("found")), "decon-found")
