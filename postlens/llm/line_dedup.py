@@ -3,7 +3,7 @@
 Every text is cut at its separators; a unit is normalised (lower case, runs of blanks as one,
 trimmed) and digested. Digests are grouped over the whole table; the occurrences in the document
 with the smallest doc_id stay and later ones go, and so does a repeat within one text after its
-first. Units shorter than ``min_chars`` after normalisation always stay.
+first. Units shorter than ``min_chars`` after normalisation always stay: with 1, as in the registered query, blank ones alone.
 
 The minimum per digest is pre-aggregated by each task and staged, only for digests of several
 documents; the units then join that table, one row per digest, so a very common line is split
