@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.llm.common import stage
 from postlens.plans.predicates import Fields, compile_where, include_flags, validate
 
 
@@ -108,6 +109,22 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def places(df: DataFrame, order: list[Column], by: tuple[str, ...] = (), name: str = "place") -> DataFrame:
+    """Adds every row's place (from 1) in a total order, or in that of its group, with no row limit and no task for all rows.
+
+    Rows are range-partitioned by group and order and kept in the session's shared folder, so that both
+    readers see the same partitions; a partition's places follow those of the partitions before it. Only
+    the counts, one row per partition and group, meet in one window. Groups must not be null.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()), "places")
+    sizes = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    return dealt.withColumn("_nth", nth).join(offsets, ["_part", *by]).withColumn(name, F.col("_nth") + F.col("_before")).drop("_part", "_nth", "_before")
+
+
 def without_authors(df: DataFrame, authors: DataFrame, column: str) -> DataFrame:
     """Rows of unknown authors stay: a null never matches."""
     return df.join(authors.select(column).distinct(), column, "left_anti")

@@ -123,6 +123,13 @@ def o1_latest_all(spark, sf_dir):
     return top.withColumn("place", big(F.row_number().over(Window.orderBy(*history.latest_order("valid", "event_id", "event_id"))))).select("user_id", "event_id", "place")
 
 
+@query("o1_latest_places", LATEST + " select user_id, event_id, row_number() over (order by valid desc nulls last, event_id desc) as place from l")
+def o1_latest_places(spark, sf_dir):
+    """o1_latest_all without its limit: every key's latest row with its place."""
+    rows = history.latest_by_key(observations(spark, sf_dir), "user_id", "valid", "event_id", "event_id")
+    return search.places(rows, history.latest_order("valid", "event_id", "event_id")).select("user_id", "event_id", "place")
+
+
 @query("u1_keys_of_batches", "select distinct user_id from events where cast(ts as date) = date '2024-01-03' union select distinct user_id from events where cast(ts as date) = date '2024-01-05'")
 def u1_keys_of_batches(spark, sf_dir):
     df = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
@@ -590,6 +597,12 @@ def o3_query_order(spark, sf_dir):
     return top.select("id", big(F.row_number().over(Window.orderBy(*search.row_order()))).alias("place"))
 
 
+@query("o3_query_places", LISTED + f" select id, row_number() over (order by {SCORE} desc, {ORDER}) as place from r")
+def o3_query_places(spark, sf_dir):
+    """o3_query_order without its limit."""
+    return search.places(listing_rows(spark, sf_dir).withColumn("score", score_column()), search.row_order()).select("id", "place")
+
+
 @query("g8_group_variants", LISTED + f""", s as (select *, {SCORE} as score from r where fee is not null and dedupe_status <> 'duplicate' and status not in ('full', 'cancelled')),
   k as (select *, row_number() over (partition by grp order by score desc, {ORDER}) as n from s)
   select grp as group_id, round(max(score), 4) as score, max(id) filter (where n = 1) as primary_id, string_agg(id, ',' order by n) as variants from k group by grp""")
@@ -623,6 +636,30 @@ def o7_default_time_order(spark, sf_dir):
     return search.top_n(listing_rows(spark, sf_dir), order, 300).select("id", big(F.row_number().over(Window.orderBy(*order))).alias("place"))
 
 
+def _browse_places(name: str, direction: str):
+    @query(name, LISTED + f" select id, row_number() over (order by fee {direction} nulls last, {ORDER}) as place from r")
+    def run(spark, sf_dir):
+        order = search.browse_order(F.col("fee"), direction == "desc", search.row_order()[1:])
+        return search.places(listing_rows(spark, sf_dir), order).select("id", "place")
+
+
+# o5, o6 and o7 without their limits
+_browse_places("o5_browse_places_asc", "asc")
+_browse_places("o5_browse_places_desc", "desc")
+
+
+@query("o6_date_class_places", LISTED + " select id, row_number() over (order by case when id % 5 = 0 then 0 when date is not null then 1 else 2 end, coalesce(date, case when id % 5 = 0 then '1,3' end) desc nulls last, id) as place from r")
+def o6_date_class_places(spark, sf_dir):
+    df = listing_rows(spark, sf_dir).withColumn("weekdays", F.when(F.col("id") % 5 == 0, F.array(F.lit(1), F.lit(3))))
+    return search.places(df, search.date_class_order(F.col("date"), F.col("weekdays"), True, F.col("id"))).select("id", "place")
+
+
+@query("o7_default_time_places", LISTED + " select id, row_number() over (order by case when date is not null then 0 else 2 end, coalesce(date, ''), coalesce(start_time, '99:99'), id) as place from r")
+def o7_default_time_places(spark, sf_dir):
+    order = search.default_time_order(F.col("date"), F.lit(None).cast("array<int>"), F.col("start_time"), F.lit(None).cast("string"), F.lit(0), F.col("id"))
+    return search.places(listing_rows(spark, sf_dir), order).select("id", "place")
+
+
 @query("g14_group_headings", LISTED + " select id, count(*) over (partition by h) as n_group, row_number() over (partition by h order by coalesce(start_time, '99:99'), id) = 1 as is_heading from (select *, coalesce(date, 'unknown') as h from r)")
 def g14_group_headings(spark, sf_dir):
     df = listing_rows(spark, sf_dir).withColumn("h", values.date_group(F.col("date"), F.lit(None).cast("array<int>")))
