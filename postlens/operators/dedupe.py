@@ -1,11 +1,13 @@
-"""Duplicate listings inside an event: exact rules in window form, with no self-join."""
+"""Duplicate listings inside an event: exact rules from pre-aggregated minima and range positions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.ids import hash_id
+from postlens.llm.common import stage
+from postlens.operators.search import places
 
 
 def event_key(schedule: Column, venue: Column, type_: Column, fmt: Column, plain: str = "session") -> Column:
@@ -14,50 +16,83 @@ def event_key(schedule: Column, venue: Column, type_: Column, fmt: Column, plain
     return F.when(schedule.isNotNull() & venue.isNotNull(), F.concat_ws("|", scope, schedule, venue, F.nullif(fmt, F.lit(""))))
 
 
-def dedupe_events(df: DataFrame, id_: str, order: str, key: str, source: str, organisers: str, content: str) -> DataFrame:
-    """Adds event_group_id, status, key_complete, duplicate_of, candidate_ids and reasons.
+def match_events(df: DataFrame, order: str, key: str, source: str, organisers: str, content: str) -> DataFrame:
+    """Adds _m (order of the first earlier match), _src and _org (its kinds), position, group_rows and open.
 
-    In order, a row is a duplicate of the first earlier row of its event with the same source, a
-    shared organiser or the same text; else a possible duplicate of all earlier ones. The first row is a
-    possible duplicate of all others if any of those is. Candidates are gathered for rows of small
-    groups by nature (one event); rows without a key are unique and skip the windows' partitions.
+    First matches come from minima that tasks aggregate before they shuffle, joined back; positions from
+    range partitions and their offsets. No row holds another's id, so a group may be a large part of the table.
     """
     keyed = df.where(F.col(key).isNotNull())
-    by = Window.partitionBy(key)
-    before = by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = keyed.select(key, order, F.explode(organisers).alias("_o")).withColumn("_f", F.min(order).over(Window.partitionBy(key, "_o"))).groupBy(key, order).agg(F.min("_f").alias("_org"))
-    rows = keyed.join(firsts, [key, order], "left").withColumns(
-        {
-            "_src": F.min(order).over(Window.partitionBy(key, source)),
-            "_txt": F.when(F.col(content) != "", F.min(order).over(Window.partitionBy(key, content))),
-            "_first": F.min(order).over(by),
-            "_earlier": F.collect_list(id_).over(before),
-            "_all": F.collect_list(F.struct(F.col(order).alias("o"), F.col(id_).alias("i"))).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        }
-    )
-    least = F.least("_src", "_org", "_txt")
-    rows = rows.withColumn("_m", F.when(least < F.col(order), least))
-    open_ = F.col("_m").isNull() & (F.col(order) > F.col("_first"))
-    rows = rows.withColumn("_open", F.max(open_.cast("int")).over(by) == 1)
-    first = F.col(order) == F.col("_first")
-    none = F.expr("cast(array() as array<string>)")
-    reason = F.when(F.col("_src") == F.col("_m"), "same_source_post").when(F.col("_org") == F.col("_m"), "same_organizer").otherwise("same_source_content")
-    status = F.when(F.col("_m").isNotNull(), "duplicate").when(~first, "possible_duplicate").when(F.col("_open"), "possible_duplicate").otherwise("unique")
-    match = F.filter("_all", lambda x: x["o"] == F.col("_m"))
-    others = F.transform(F.filter("_all", lambda x: x["o"] != F.col(order)), lambda x: x["i"])
+
+    def least(rows: DataFrame, on: str, name: str) -> DataFrame:
+        return rows.groupBy(key, on).agg(F.min(order).alias(name))
+
+    rows = places(keyed, [F.col(order)], (key,), "position")
+    # a null source or organiser matches no other's value but its like, as in a window's partition
+    same = lambda a, b, *on: F.expr(" and ".join(f"{a}.`{c}` <=> {b}.`{c}`" for c in on))
+    sources = least(keyed, source, "_src").alias("s")
+    texts = least(keyed.where(F.col(content) != ""), content, "_txt").alias("t")
+    each = rows.select(key, order, F.explode(organisers).alias("_o"))
+    firsts = least(each, "_o", "_f").alias("f")
+    found = each.alias("e").join(firsts, same("e", "f", key, "_o")).groupBy(F.col(f"e.{key}").alias(key), F.col(f"e.{order}").alias(order)).agg(F.min("_f").alias("_org"))
+    rows = rows.alias("r").join(sources, same("r", "s", key, source), "left").select("r.*", "_src")
+    rows = rows.alias("r").join(texts, same("r", "t", key, content), "left").select("r.*", "_txt")
+    rows = rows.join(found, [key, order], "left")
+    least_ = F.least("_src", "_org", "_txt")
+    rows = stage(rows.withColumn("_m", F.when(least_ < F.col(order), least_)).drop("_txt"), "event-matches")
+    groups = rows.groupBy(key).agg(F.count("*").alias("group_rows"), F.max((F.col("_m").isNull() & (F.col("position") > 1)).cast("int")).alias("_open"))
+    return rows.join(groups, key).withColumn("open", F.col("_open") == 1).drop("_open")
+
+
+def judge_events(df: DataFrame, id_: str, order: str, key: str, source: str, organisers: str, content: str) -> DataFrame:
+    """Adds event_group_id, status, key_complete, duplicate_of, reasons, position, candidates_to and n_candidates.
+
+    The rules of dedupe_events at any size of a group: the candidates are the rows of the group at positions 1 to
+    candidates_to, without the row itself. Orders are distinct inside a group.
+    """
+    rows = match_events(df, order, key, source, organisers, content)
     ids_type = df.schema[id_].dataType.simpleString()
-    empty = F.expr(f"cast(array() as array<{ids_type}>)")
+    first = F.col("position") == 1
+    own = rows.select(F.col(key).alias("_k"), F.col(order).alias("_at"), F.col(id_).alias("duplicate_of"))
+    wanted = rows.where("_m is not null").select(F.col(key).alias("_k"), F.col("_m").alias("_at")).distinct()
+    rows = rows.join(own.join(wanted, ["_k", "_at"]), (F.col(key) == F.col("_k")) & (F.col("_m") == F.col("_at")), "left").drop("_k", "_at")
+    matched = F.col("_m").isNotNull()
+    status = F.when(matched, "duplicate").when(~first | F.col("open"), "possible_duplicate").otherwise("unique")
+    to = F.when(matched, 0).when(~first, F.col("position") - 1).when(F.col("open"), F.col("group_rows")).otherwise(0).cast("long")
+    reason = F.when(F.col("_src") == F.col("_m"), "same_source_post").when(F.col("_org") == F.col("_m"), "same_organizer").otherwise("same_source_content")
+    none = F.expr("cast(array() as array<string>)")
+    both = [F.lit("same_schedule"), F.lit("same_venue")]
     done = rows.withColumns(
         {
             "event_group_id": hash_id("event", F.col(key)),
             "status": status,
             "key_complete": F.lit(True),
-            "duplicate_of": F.get(match, 0)["i"],
-            "candidate_ids": F.when(F.col("_m").isNotNull(), empty).when(~first, F.col("_earlier")).when(F.col("_open"), others).otherwise(empty),
-            "reasons": F.when(F.col("_m").isNotNull(), F.array(F.lit("same_schedule"), F.lit("same_venue"), reason)).when(status == "possible_duplicate", F.array(F.lit("same_schedule"), F.lit("same_venue"))).otherwise(none),
+            "reasons": F.when(matched, F.array(*both, reason)).when(status == "possible_duplicate", F.array(*both)).otherwise(none),
+            "candidates_to": to,
+            "n_candidates": F.when(first & (to > 0), to - 1).otherwise(to),
         }
-    ).drop("_src", "_txt", "_org", "_first", "_earlier", "_all", "_m", "_open")
+    ).drop("_src", "_org", "_m", "open", "group_rows")
     rest = df.where(F.col(key).isNull()).withColumns(
-        {"event_group_id": F.lit(None).cast("string"), "status": F.lit("unique"), "key_complete": F.lit(False), "duplicate_of": F.lit(None).cast(ids_type), "candidate_ids": empty, "reasons": none}
-    )
+        {
+            "event_group_id": F.lit(None).cast("string"), "status": F.lit("unique"), "key_complete": F.lit(False), "duplicate_of": F.lit(None).cast(ids_type),
+            "reasons": none, "position": F.lit(1).cast("long"), "candidates_to": F.lit(0).cast("long"), "n_candidates": F.lit(0).cast("long"),
+        }
+    )
     return done.unionByName(rest)
+
+
+def dedupe_events(df: DataFrame, id_: str, order: str, key: str, source: str, organisers: str, content: str) -> DataFrame:
+    """Adds event_group_id, status, key_complete, duplicate_of, candidate_ids and reasons.
+
+    In order, a row is a duplicate of the first earlier row of its event with the same source, a
+    shared organiser or the same text; else a possible duplicate of all earlier ones. The first row is a
+    possible duplicate of all others if any of those is. Lists of ids are as long as the groups are: for groups
+    that are not small by nature take judge_events, which gives candidates as a range of positions.
+    """
+    rows = judge_events(df, id_, order, key, source, organisers, content)
+    listed = rows.where("n_candidates > 0").select(F.col(key).alias("_k"), F.col("position").alias("_p"), "candidates_to")
+    held = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("position").alias("_q"), F.col(id_).alias("_i"))
+    lists = listed.join(held, "_k").where("_q <= candidates_to and _q <> _p").groupBy("_k", "_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("_q", "_i"))), lambda x: x["_i"]).alias("candidate_ids"))
+    empty = F.expr(f"cast(array() as array<{df.schema[id_].dataType.simpleString()}>)")
+    out = rows.join(lists, (F.col(key) == F.col("_k")) & (F.col("position") == F.col("_p")), "left")
+    return out.withColumn("candidate_ids", F.coalesce("candidate_ids", empty)).drop("_k", "_p", "position", "candidates_to", "n_candidates")

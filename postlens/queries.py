@@ -688,21 +688,36 @@ EVENT_ROWS = """with r as (select l_orderkey * 10 + l_linenumber as id, l_orderk
   l_suppkey as org, case when l_linenumber % 4 = 0 then '' else cast(cast(floor(l_quantity) as integer) as varchar) end as content from lineitem where l_linenumber < 6)"""
 
 
+def event_rows(spark, sf_dir):
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    # source order first, then the position in the source: no global numbering is needed
+    rows = table(spark, sf_dir, "lineitem").withColumn("ord", F.col("l_orderkey") * 1000 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order[1:])))
+    return rows.select(
+        big("ord").alias("ord"), "l_linenumber", F.col("l_orderkey").alias("source"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string"), F.lit("|"), F.date_format("l_shipdate", "yyyy-MM")).alias("key"),
+        F.array(F.col("l_suppkey")).alias("organisers"), F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.floor("l_quantity").cast("int").cast("string")).alias("content"),
+    )
+
+
+def _judged(rows):
+    out = dedupe.judge_events(rows, "ord", "ord", "key", "source", "organisers", "content")
+    return out.select("ord", "status", "duplicate_of", "n_candidates", F.when(F.col("status") == "duplicate", F.get("reasons", 2)).alias("reason"))
+
+
 @query("w6_dedupe_events", EVENT_ROWS + """, m as (select *, min(ord) over (partition by key, source) as fs, min(ord) over (partition by key, org) as fo, case when content <> '' then min(ord) over (partition by key, content) end as ft, min(ord) over (partition by key) as f0 from r),
   s as (select *, least(fs, fo, coalesce(ft, fs)) as l from m), o as (select *, max(case when l >= ord and ord > f0 then 1 else 0 end) over (partition by key) as open_, count(*) over (partition by key order by ord) - 1 as n_before, count(*) over (partition by key) as n_all from s)
   select ord, case when l < ord then 'duplicate' when ord > f0 then 'possible_duplicate' when open_ = 1 then 'possible_duplicate' else 'unique' end as status, case when l < ord then l end as duplicate_of,
   case when l < ord then 0 when ord > f0 then n_before when open_ = 1 then n_all - 1 else 0 end as n_candidates, case when l < ord then case when fs = l then 'same_source_post' when fo = l then 'same_organizer' else 'same_source_content' end end as reason from o""")
 def w6_dedupe_events(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").where("l_linenumber < 6")
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    # source order first, then the position in the source: no global numbering is needed
-    rows = df.withColumn("ord", F.col("l_orderkey") * 1000 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order[1:])))
-    rows = rows.select(
-        big("ord").alias("ord"), F.col("l_orderkey").alias("source"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string"), F.lit("|"), F.date_format("l_shipdate", "yyyy-MM")).alias("key"),
-        F.array(F.col("l_suppkey")).alias("organisers"), F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.floor("l_quantity").cast("int").cast("string")).alias("content"),
-    )
-    out = dedupe.dedupe_events(rows, "ord", "ord", "key", "source", "organisers", "content")
-    return out.select("ord", "status", "duplicate_of", big(F.size("candidate_ids")).alias("n_candidates"), F.when(F.col("status") == "duplicate", F.get("reasons", 2)).alias("reason"))
+    return _judged(event_rows(spark, sf_dir).where("l_linenumber < 6"))
+
+
+@query("w6_dedupe_all_events", EVENT_ROWS.replace(" where l_linenumber < 6", "") + """, m as (select *, min(ord) over (partition by key, source) as fs, min(ord) over (partition by key, org) as fo, case when content <> '' then min(ord) over (partition by key, content) end as ft, min(ord) over (partition by key) as f0 from r),
+  s as (select *, least(fs, fo, coalesce(ft, fs)) as l from m), o as (select *, max(case when l >= ord and ord > f0 then 1 else 0 end) over (partition by key) as open_, count(*) over (partition by key order by ord) - 1 as n_before, count(*) over (partition by key) as n_all from s)
+  select ord, case when l < ord then 'duplicate' when ord > f0 then 'possible_duplicate' when open_ = 1 then 'possible_duplicate' else 'unique' end as status, case when l < ord then l end as duplicate_of,
+  case when l < ord then 0 when ord > f0 then n_before when open_ = 1 then n_all - 1 else 0 end as n_candidates, case when l < ord then case when fs = l then 'same_source_post' when fo = l then 'same_organizer' else 'same_source_content' end end as reason from o""")
+def w6_dedupe_all_events(spark, sf_dir):
+    """w6_dedupe_events over every line."""
+    return _judged(event_rows(spark, sf_dir))
 
 
 @query("p13_listings", "select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as listing_index, l_partkey from lineitem where l_orderkey % 3 > 0")
@@ -968,6 +983,13 @@ def r14_quality_warnings(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").where(n < 3).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(w, ",").alias("warnings"))
 
 
+@query("r14_all_quality_warnings", "select l_orderkey, l_linenumber, l_partkey, case when l_linenumber % 5 = 0 then 'missing_price,' || l_returnflag when l_linenumber % 5 = 1 then 'missing_price' else l_returnflag end as warnings from lineitem")
+def r14_all_quality_warnings(spark, sf_dir):
+    n = F.col("l_linenumber") % 5
+    w = rules.quality_warnings(F.when(n == 0, F.array(F.lit("missing_price"))), F.when(n != 1, F.array("l_returnflag")), {"missing_price": n < 2})
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(w, ",").alias("warnings"))
+
+
 @query("r15_registry", "select 'bad_id' as problem, c_name as what from customer union all select 'repeated_id', c_mktsegment from customer group by 2 having count(*) > 1 union all select 'bad_id', c_mktsegment from customer")
 def r15_registry(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
