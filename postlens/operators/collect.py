@@ -43,27 +43,31 @@ def merge_stable(df: DataFrame, by: list[str], order: str, fill: list[str], last
     row's value. Text: the first non-empty, but a complete one replaces a truncated one; the text that fills
     an empty one counts as complete. ``content_truncated`` leaves a ``warnings`` union once the text is complete.
     """
+    # equal orders are parted by the other fields; every policy is an aggregate that tasks begin before the shuffle
     item = F.struct(order, *dict.fromkeys([*fill, *last, text, truncated, *unions, *latest]))
-    groups = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_rows"))
-    start = F.struct(F.get("_rows", 0)[text].alias("t"), F.get("_rows", 0)[truncated].alias("c"))
-
-    def step(acc, x):
-        empty = F.coalesce(acc["t"], F.lit("")) == ""
-        fills = empty & (F.coalesce(x[text], F.lit("")) != "")
-        better = (acc["c"] == True) & (x[truncated] == False) & (F.coalesce(x[text], F.lit("")) != "")  # noqa: E712
-        return F.struct(F.when(fills | better, x[text]).otherwise(acc["t"]).alias("t"), F.when(fills | better, F.lit(False)).otherwise(acc["c"]).alias("c"))
-
-    folded = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), start, step)
-    every = lambda c: F.transform("_rows", lambda x: x[c])
-    known = lambda c: F.filter(every(c), lambda v: v.isNotNull())
-    out = {c: F.get(known(c), 0) for c in fill}
-    out |= {c: F.try_element_at(known(c), F.lit(-1)) for c in last}
-    out |= {c: F.element_at(every(c), -1) for c in latest}
-    out |= {c: F.array_distinct(F.flatten(known(c))) for c in unions}
-    out |= {text: F.col("_f")["t"], truncated: F.col("_f")["c"], "n_records": F.size("_rows").cast("long")}
+    said = F.coalesce(F.col(text), F.lit("")) != ""
+    at = lambda pick, c, where: pick(F.when(where, F.col(c)), F.when(where, item))
+    every = F.lit(True)
+    picks = [F.count("*").alias("n_records")]
+    picks += [at(F.min_by, c, F.col(c).isNotNull()).alias(c) for c in fill]
+    picks += [at(F.max_by, c, F.col(c).isNotNull()).alias(c) for c in last]
+    picks += [at(F.max_by, c, every).alias(c) for c in latest]
+    picks += [at(F.min_by, text, every).alias("_t"), at(F.min_by, truncated, every).alias("_c"), at(F.min_by, text, said).alias("_said"), at(F.min_by, text, said & (F.col(truncated) == False)).alias("_whole")]  # noqa: E712
+    out = df.groupBy(*by).agg(*picks)
+    empty = F.coalesce("_t", F.lit("")) == ""
+    taken = F.when(empty, F.col("_said")).when(F.col("_c") == True, F.col("_whole"))  # noqa: E712
+    out = out.withColumns({text: F.coalesce(taken, F.col("_t")), truncated: F.when(taken.isNotNull(), F.lit(False)).otherwise(F.col("_c"))}).drop("_t", "_c", "_said", "_whole")
+    for c in unions:
+        # one row per distinct element, at its first place
+        each = df.where(F.col(c).isNotNull()).select(*by, item.alias("_item"), F.posexplode(c).alias("_pos", "_e"))
+        first = each.groupBy(*by, "_e").agg(F.min(F.struct("_item", "_pos")).alias("_at"))
+        listed = first.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(by)]).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_e"))), lambda x: x["_e"]).alias(c))
+        on = F.expr(" and ".join(f"`{k}` <=> `_k{n}`" for n, k in enumerate(by)))
+        out = out.join(listed, on, "left").drop(*[f"_k{n}" for n in range(len(by))])
+        out = out.withColumn(c, F.coalesce(c, F.array().cast(df.schema[c].dataType)))
     if "warnings" in unions:
-        out["warnings"] = F.when(F.col("_f")["c"] == False, F.array_remove(out["warnings"], "content_truncated")).otherwise(out["warnings"])  # noqa: E712
-    return groups.withColumn("_f", folded).withColumns(out).drop("_rows", "_f")
+        out = out.withColumn("warnings", F.when(F.col(truncated) == False, F.array_remove("warnings", "content_truncated")).otherwise(F.col("warnings")))  # noqa: E712
+    return out
 
 
 def batch_stats(df: DataFrame, batch: str, outcome: str, reason: str | None = None) -> DataFrame:

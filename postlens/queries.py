@@ -1040,7 +1040,7 @@ def g12_distinct(spark, sf_dir):
 
 @query("g16_distinct_sets", "select user_id, count(distinct event_type) as n from events group by 1")
 def g16_distinct_sets(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(big(F.size(F.array_distinct(F.collect_list("event_type")))).alias("n"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("n"))
 
 
 @query("p24_extract_media", f"""select page_id, 1 + case when {PAGE_HOST} = 'example.com' or {PAGE_HOST} like '%.example.com' then 0 else 1 end as n_media from pages""")
