@@ -1,14 +1,15 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of 16 or more key characters that have a digit, or are quoted and assigned.
+Candidates are runs of 16 or more key characters that have a digit, or are quoted and assigned, and
+what is assigned to a credential's name: at least ``SHORTEST`` characters other than blanks, of any kind.
 The forest sees the length, the character classes and the transitions between them, the share of
 letters in dictionary words (words that the same text uses elsewhere), whether the candidate is part
 of a path, and the words beside it.
 
 Findings carry no labels in the tables, so the labelled findings come from rules that decide only the
-clear cases: a credential word assigned to a random-looking string is a secret; digits alone, dictionary
-words, parts of paths and strings with no credential word or assignment near are none. The rest is
-left for the forest to judge. It is fitted on a bounded sample (``per_class`` distinct labelled
+clear cases: a credential word assigned to a random-looking string is a secret; bare digits, dictionary
+words and parts of paths (a string with slashes is a path if most of its segments are words) are none. The
+rest, such as bare random strings, is left for the forest to judge. It is fitted on a bounded sample (``per_class`` distinct labelled
 findings of each label, those with the least hash); every tree is grown in a task of its own.
 
 Defined results: null or empty texts have no findings; very long texts are scanned whole in linear
@@ -36,6 +37,13 @@ from postlens.llm.common import mix64, stage
 #: Words that name credentials.
 CREDENTIAL = frozenset("token secret key apikey password passwd pwd auth bearer credential credentials private access signature".split())
 RUN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+#: A credential's name and the value assigned to it; what a match takes is not read again, so time is linear.
+NAMED = re.compile(
+    r"(?i)(?:(?<![a-z])(?:key|passwd|pwd|auth|bearer|credentials?|private|access|signature)|token|secret|password|api[_-]?key)[\"'`]?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}"
+    r"(?:\"(?P<d>[^\s\"]++)|'(?P<s>[^\s']++)|`(?P<b>[^\s`]++)|(?P<v>[^\s\"'`]\S*+))"
+)
+SHORTEST = 4
+SEGMENT = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[_-]?(?:[A-Z]?[a-z]+|[A-Z]+))*[0-9]{0,4}")
 WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"[0-9]")
 MARK = "[SECRET]"
@@ -53,30 +61,58 @@ class Params:
 
 
 def _classes(s: str) -> np.ndarray:
-    b = np.frombuffer(s.encode("ascii"), dtype=np.uint8)
+    b = np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)
     return np.select([(b >= 48) & (b <= 57), (b >= 65) & (b <= 90), (b >= 97) & (b <= 122)], [0, 1, 2], 3)
 
 
+def _is_path(s: str) -> bool:
+    """Whether most segments of a string with slashes are words."""
+    segments = [x for x in s.split("/") if x]
+    return s.count("/") >= 2 and 2 * sum(len(x) > 1 and bool(SEGMENT.fullmatch(x)) for x in segments) > len(segments)
+
+
+def values(text: str) -> list[tuple[int, int]]:
+    """Start and end of every value that is assigned to a credential's name."""
+    out = []
+    for m in NAMED.finditer(text):
+        a, b = m.span(m.lastgroup)
+        if m.lastgroup == "v":
+            b = a + len(m["v"].rstrip(".,;:!?)]}>\"'`"))
+        if b - a >= SHORTEST and not text.startswith("//", a):
+            out.append((a, b))
+    return out
+
+
 def candidates(text: str | None) -> list[tuple[int, int, list[float], int]]:
     """(start, end, features, rule label: 1, 0, or -1 where the rules don't decide)."""
+    if not text:
+        return []
     out = []
     words: dict[str, int] | None = None
-    for m in RUN.finditer(text) if text else ():
-        s, a, b = m.group(), m.start(), m.end()
+    given = values(text)
+    runs_, at = [], 0
+    for m in RUN.finditer(text):
+        while at < len(given) and given[at][1] <= m.start():
+            at += 1
+        if at == len(given) or given[at][0] >= m.end():
+            runs_.append((m.start(), m.end()))
+    spans = sorted([(a, b, True) for a, b in given] + [(a, b, False) for a, b in runs_])
+    for a, b, whole in spans:
+        s = text[a:b]
         before, after = text[max(0, a - 40) : a], text[b : b + 1]
         quoted = before[-1:] in ("'", '"', "`") and after == before[-1:]
         head = before.rstrip("'\"` ")
-        assigned = head[-1:] in ("=", ":") and not head.endswith("://")
-        if "=" in s.rstrip("="):  # name=value without blanks
+        assigned = whole or head[-1:] in ("=", ":") and not head.endswith("://")
+        if not whole and "=" in s.rstrip("="):  # name=value without blanks
             cut = s.index("=") + 1
             head, assigned, s, a = before + s[:cut], True, s[cut:], a + cut
-        if len(s) < 16 or not DIGIT.search(s) and not (quoted and assigned):
+        if not whole and (len(s) < 16 or not DIGIT.search(s) and not (quoted and assigned)):
             continue
         near = [w.lower() for w in WORD.findall(head)][-2:]
         named = [w for w in near if w in CREDENTIAL or any(w.endswith(c) for c in ("token", "secret", "password", "apikey"))]
         kind = _classes(s)
         counts = np.bincount(kind, minlength=4) / len(s)
-        chars = np.unique(np.frombuffer(s.encode("ascii"), dtype=np.uint8), return_counts=True)[1] / len(s)
+        chars = np.unique(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)[1] / len(s)
         entropy = float(-(chars * np.log2(chars)).sum())
         runs = [w for w in WORD.findall(s) if len(w) >= 4]
         covered = 0
@@ -88,20 +124,21 @@ def candidates(text: str | None) -> list[tuple[int, int, list[float], int]]:
                         words[w.lower()] = words.get(w.lower(), 0) + 1
             own = s.lower()
             covered = sum(len(w) for w in runs if words.get(w.lower(), 0) > own.count(w.lower()))
-        slashes = s.count("/")
-        path = before[-1:] in ("/", ".", "\\") or after in ("/", ".") and text[b + 1 : b + 2].isalpha() or slashes >= 2
+        path = before[-1:] in ("/", ".", "\\") or after in ("/", ".") and text[b + 1 : b + 2].isalpha() or _is_path(s)
         features = [
-            math.log(len(s)), *counts.tolist(), float((kind[1:] != kind[:-1]).mean()), entropy, covered / len(s), float(path), float(bool(re.fullmatch(r"[0-9a-fA-F-]+", s))),
+            math.log(len(s)), *counts.tolist(), float((kind[1:] != kind[:-1]).mean()) if len(s) > 1 else 0.0, entropy, covered / len(s), float(path), float(bool(re.fullmatch(r"[0-9a-fA-F-]+", s))),
             float(assigned), float(quoted), float(bool(named)), float(len(named) > 0 and near[-1] in named),
         ]
-        random_like = entropy >= 3 and counts[0] > 0 and counts[0] < 1
-        if named and assigned and random_like and covered / len(s) < 0.5 and not path:
+        # a short string cannot have the entropy of a long one
+        random_like = entropy >= min(3, 0.8 * math.log2(len(s))) and counts[0] > 0 and counts[0] < 1
+        plain = counts[0] + counts[3] == 1 and not (named and assigned)
+        if named and assigned and random_like and counts[1] + counts[2] > 0 and covered / len(s) < 0.5 and not path:
             label = 1
-        elif counts[0] + counts[3] == 1 or covered / len(s) >= 0.6 or path or not named and not assigned:
+        elif plain or covered / len(s) >= 0.6 or path or whole and not quoted and s.isalpha():
             label = 0
         else:
             label = -1
-        out.append((a, b if s == m.group() or text[a:b] == s else a + len(s), features, label))
+        out.append((a, b, features, label))
     return out
 
 
