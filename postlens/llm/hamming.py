@@ -40,8 +40,8 @@ def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
-    """Shift and width of each segment: 8 bits for small tables, else 16, wider once more than a few million codes are indexed."""
-    m = 8 if n_codes < 4096 else max(2, min(4, round(BITS / math.log2(n_codes / 4))))
+    """Shift and width of each segment: 8 bits for small tables, else 16, wider once more than a few million codes are indexed; never so wide that the masks overflow an array."""
+    m = 8 if n_codes < 4096 else max(3, min(4, round(BITS / math.log2(n_codes / 4))))
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 

@@ -75,7 +75,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12:
