@@ -109,7 +109,7 @@ class Runs:
         new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))  # other pieces have other anchors
         self.first, self.anchor = at[new], a[new]
         self.count = np.diff(np.append(new, len(at)))
-        self.piece = np.searchsorted(self.begin + (size == 0), self.first, side="right") - 1
+        self.piece = np.searchsorted(end, self.first, side="right")  # the first piece that ends beyond; empty ones never do
 
     def hash(self, at: np.ndarray, length: int) -> np.ndarray:
         """Well mixed hash of the length bytes from each offset."""

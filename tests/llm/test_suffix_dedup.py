@@ -58,3 +58,9 @@ def test_empty_and_clashing_columns(spark):
     for c in ("kept", "n_bytes", "doc_hash", "text_hash", "later", "start"):
         df = df.withColumn(c, F.lit("clash"))
     assert sorted(r.n_removed > 0 for r in suffix_dedup.digest(df).collect()) == [False, True]
+
+
+def test_empty_texts_between(spark):
+    """Runs are credited to the right document when several empty and null texts lie before, between and after full ones."""
+    text = prose(7, 40)
+    check(spark, [(1, ""), (2, None), (3, text), (4, ""), (5, ""), (6, None), (7, text[:90] + " " + prose(8, 20)), (8, ""), (9, prose(9, 30)), (10, None), (11, text), (12, "")])
