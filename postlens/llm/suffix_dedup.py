@@ -46,7 +46,7 @@ from postlens.llm.common import Bitmap, bitmap, mix64, release, stage
 LENGTH = 50
 GRAM = 24
 SIDE = (LENGTH - GRAM) // 2
-PIECE = 1 << 20
+PIECE = 1 << 18
 LOW = np.uint64((1 << 28) - 1)
 PICK = np.uint64(0xD1342543DE82EF95)
 #: Odd base of the rolling hash and its inverse modulo 2**64.
@@ -142,12 +142,18 @@ class Runs:
         return np.frombuffer(out, dtype=np.int64)
 
 
+def texts_of(batch):
+    """The texts of a batch as bytes, a few rows at a time, so that only those are Python objects."""
+    for at in range(0, batch.num_rows, 128):
+        yield from batch.column("text").slice(at, 128).cast(pa.binary()).to_pylist()
+
+
 def buffers(batches, columns: list[str]):
     """(pieces, row of each piece, offset of each piece in its text, rows' columns): long texts in overlapping pieces."""
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in columns]
         pieces, row, offset, held = [], [], [], 0
-        for r, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+        for r, text in enumerate(texts_of(batch)):
             for at in range(0, max(1, len(text or b"") - LENGTH + 1), PIECE):
                 pieces.append((text or b"")[at : at + PIECE + LENGTH - 1])
                 row.append(r)
@@ -295,7 +301,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             part = np.searchsorted(row, np.arange(batch.num_rows + 1))
             kept, size, removed = [], [], []
             later_of = batch.column("later").to_pylist()
-            for r, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            for r, text in enumerate(texts_of(batch)):
                 text = text or b""
                 size.append(len(text))
                 x, y = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
