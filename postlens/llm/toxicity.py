@@ -1,9 +1,12 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-``train`` fits on a bounded sample of labelled documents (``per_class`` rows of each label, those
-with the smallest hash of doc_id), one sequential pass per epoch in a single task, as FTRL with
-per-coordinate rates is a sequential method. L1 sparsity leaves a few thousand weights, at most
-2**BITS, which are sent to every scoring task. ``score`` reads every whole text.
+``train`` fits on a bounded sample of labelled documents (the ``sample_rows`` with the smallest hash of
+doc_id, whatever their label, so that the labels keep their true shares at every size of the table),
+one sequential pass per epoch in a single task, as FTRL with per-coordinate rates is a sequential
+method. Every ``slice_of``-th row of the sample is kept from the fit: on these rows a slope and an offset of
+the log-odds are fitted, as L1 shrinks what the weights say, and folded into weights and bias. L1
+sparsity leaves some hundreds of weights, at most 2**BITS, which are sent to every scoring task.
+``score`` reads every whole text.
 
 A feature is the presence in a text of a word, a pair or triple of adjacent words, or a pair with
 one or two words skipped, hashed to BITS bits. Words are maximal runs of word characters, lower case.
@@ -35,13 +38,13 @@ WORD = re.compile(r"\w+")
 
 @dataclass
 class Params:
-    per_class: int = 4000
+    sample_rows: int = 10000
     epochs: int = 5
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 16.0
     l2: float = 1.0
-    toxic_weight: float = 4.0  # at most; the rarer label's gradients count this much more
+    slice_of: int = 5
 
 
 @dataclass
@@ -83,14 +86,11 @@ def fit_ftrl(examples: list[np.ndarray], labels: list[int], p: Params) -> Model:
         shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - l1, 0.0)
         return -shrunk / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2)
 
-    toxic = sum(labels)
-    heavier = min(p.toxic_weight, max(1.0, (len(labels) - toxic) / max(toxic, 1)))
     for _ in range(p.epochs):
         for idx, y in zip(examples, labels):
             at = np.append(idx, n_dim - 1)
             w = weights(at)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-            g *= heavier if y else 1.0
             rate = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha
             z[at] += g - rate * w
             n[at] += g * g
@@ -99,13 +99,42 @@ def fit_ftrl(examples: list[np.ndarray], labels: list[int], p: Params) -> Model:
     return Model(index, w[index], float(w[-1]))
 
 
+def calibrate(model: Model, examples: list[np.ndarray], labels: list[int]) -> Model:
+    """The model with its log-odds stretched and moved to what rows outside the fit show (Newton steps; the slope is held near 1)."""
+    if len(set(labels)) < 2:
+        return model
+    dense = np.zeros(1 << BITS)
+    dense[model.index] = model.weight
+    s, y = np.array([dense[e].sum() for e in examples]) + model.bias, np.array(labels, dtype=np.float64)
+    slope, offset = 1.0, 0.0
+    for _ in range(50):
+        p = 1.0 / (1.0 + np.exp(-np.clip(slope * s + offset, -35, 35)))
+        q = p * (1 - p)
+        gradient = np.array([((p - y) * s).sum() + slope - 1, (p - y).sum()])
+        curve = np.array([[(q * s * s).sum() + 1, (q * s).sum()], [(q * s).sum(), q.sum() + 1e-6]])
+        step = np.clip(np.linalg.solve(curve, gradient), -1, 1)
+        slope, offset = slope - step[0], offset - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return Model(model.index, slope * model.weight, slope * model.bias + offset) if slope > 0 else model
+
+
+def fit(examples: list[np.ndarray], labels: list[int], p: Params) -> Model:
+    """FTRL on most of the sample, log-odds settled on the rest."""
+    rest = range(0, len(labels), p.slice_of)
+    most = [i for i in range(len(labels)) if i % p.slice_of]
+    if len({labels[i] for i in most}) < 2 or len({labels[i] for i in rest}) < 2:
+        return fit_ftrl(examples, labels, p)  # too few rows to keep some aside
+    model = fit_ftrl([examples[i] for i in most], [labels[i] for i in most], p)
+    return calibrate(model, [examples[i] for i in rest], [labels[i] for i in rest])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, p: Params, holdout: tuple[int, int] = (5, 0)) -> DataFrame:
     """The bounded labelled sample: doc_id, text, toxic. Rows of the held-out remainder are not in it."""
     mod, out = holdout
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(crc_bucket("doc_id", mod) != out)
     each = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    pick = lambda y: each.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.per_class)
-    few = pick(0).unionByName(pick(1))  # at most 2 * per_class rows: that bounds the broadcast
+    few = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows)  # that bounds the broadcast
     return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
@@ -117,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), holdout: tup
             cut = np.searchsorted(pair >> BITS, np.arange(len(pdf) + 1))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "idx": [(pair[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]})
 
-    def fit(batches):
+    def fit_sample(batches):
         # the sample alone, as one array of indices per document: the batches it came in are let go
         ids, labels_, examples = [], [], []
         for batch in batches:
@@ -127,11 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), holdout: tup
                     labels_.append(y)
                     examples.append(np.frombuffer(idx, dtype=np.int32))
         if ids:
-            m = fit_ftrl(examples, labels_, p)
+            m = fit(examples, labels_, p)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1)), pa.array(np.append(m.weight, m.bias))], names=["index", "weight"])
 
     rows = training_rows(docs, labels, p, holdout).mapInPandas(features, "doc_id long, toxic int, idx binary")
-    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx").mapInArrow(fit, "index long, weight double").toPandas()
+    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx").mapInArrow(fit_sample, "index long, weight double").toPandas()
     if not len(fitted):
         return Model()
     bias = float(fitted.loc[fitted["index"] < 0, "weight"].iloc[0])
