@@ -63,9 +63,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_lines", line_dedup.ORACLE)
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier document, or an earlier line of its own, holds."""
-    # all but blank lines, however short; the SQL still exempts those under MIN_CHARS
-    out = line_dedup.dedup(documents(spark, sf_dir), min_chars=1)
-    return out.select("doc_id", "n_units", "n_removed", "removed_spans", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    out = line_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_units", "n_removed", "removed_spans", "n_shared", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 TOP_K = 10

@@ -64,18 +64,21 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
 def test_lines(spark):
     long = "A line that is shared by all."
     docs = frame(spark, [(1, f"{long}\nown line number one here\nshort\n{long}", "", "", 0), (2, f"short\n  a LINE that is  shared by all.\nown line number two here", "", "", 0), (3, None, "", "", 0), (4, "", "", "", 0), (5, long, "", "", 0), (6, "\n\n", "", "", 0)])
-    out = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    out = {r.doc_id: r for r in line_dedup.dedup(docs, min_words=4).collect()}
     assert out[1].n_removed == 1 and out[1].text == f"{long}\nown line number one here\nshort"
     assert out[2].removed_spans == "6:38" and out[5].text == "" and out[3].text is None and out[6].n_removed == 0
-    q = line_dedup.dedup(docs).select("doc_id", "n_units", "n_removed", "removed_spans", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    assert [out[i].n_shared for i in range(1, 7)] == [1, 1, 0, 0, 1, 0]
+    wide = " ".join(f"w{i}" for i in range(20))
+    docs = docs.union(frame(spark, [(7, f"{wide} a\n{wide} b\nx", "", "", 0), (8, f"{wide}  A\n{wide} c\n{wide} c\n" + "短い文です" * 3, "", "", 0), (9, "短い文です" * 3 + "\n短い文です", "", "", 0), (10, "短い文です", "", "", 0)]))
+    q = line_dedup.dedup(docs).select("doc_id", "n_units", "n_removed", "removed_spans", "n_shared", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
     assert rows(q) == sql(line_dedup.ORACLE, documents=docs)
 
 
 def test_lines_odd_rows(spark):
-    out = line_dedup.dedup(frame(spark).withColumn("starts", F.lit("clash"))).collect()
+    out = line_dedup.dedup(frame(spark).withColumn("starts", F.lit("clash")).withColumn("n_shared", F.lit("clash"))).collect()
     assert len(out) == 13 and sum(r.n_removed for r in out) == 2  # both rows of doc 4
     assert line_dedup.dedup(empty(spark)).count() == 0
-    assert line_dedup.dedup(frame(spark, [(1, "a paragraph of some length\n\nb", "", "", 0), (2, "x\n\na paragraph of some length", "", "", 0)]), "paragraph").where("doc_id = 2").first().text == "x"
+    assert line_dedup.dedup(frame(spark, [(1, "a paragraph of some length\n\nb", "", "", 0), (2, "x\n\na paragraph of some length", "", "", 0)]), "paragraph", 1).where("doc_id = 2").first().text == "x"
 
 
 def vectors(spark, rows_):
