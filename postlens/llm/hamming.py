@@ -1,7 +1,7 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
 A vector's code holds the signs of its elements (1 where positive), up to 64 of them in one long.
-Codes are cut into m segments of 16 bits, or wider ones for very large tables. In round r every open
+Codes are cut into m segments of about log2 of their number in bits. In round r every open
 query looks up the segment values that differ from its own in exactly r bits. After round r all
 codes within distance m * (r + 1) - 1 have been seen, as a nearer one differs by at most r bits in
 some segment; a query is closed when its k-th verified distance is within that. A pair counts in one
@@ -20,7 +20,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,8 +39,11 @@ def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
-    """Shift and width of each segment: 8 bits for small tables, else 16, wider once more than a few million codes are indexed; never so wide that the masks overflow an array."""
-    m = 8 if n_codes < 4096 else max(3, min(4, round(BITS / math.log2(n_codes / 4))))
+    """Shift and width of each segment: about log2 of the number of codes wide, 8 bits at least and 22 at most.
+
+    A segment value then has about one code, and a query never asks for more than m * 2**22 values, however far its neighbours are.
+    """
+    m = min(8, max(3, round(BITS / math.log2(max(n_codes, 2)))))
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
@@ -50,11 +52,13 @@ def _value(code: str, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(F.col(code), shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _masks(width: int, r: int) -> Column:
-    """All masks of r bits, as an array: written out while few, else filtered from the range."""
-    if math.comb(width, r) <= 2000:
-        return F.array(*[F.lit(sum(1 << i for i in c)).cast("long") for c in itertools.combinations(range(width), r)])
-    return F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) = {r})")
+def _flipped(rows: DataFrame, width: int, r: int) -> DataFrame:
+    """Every row once for each mask of r of width bits: one bit after the other, each above the last, so no list of masks is held."""
+    out = rows.withColumn("mask", F.lit(0).cast("long")).withColumn("above", F.lit(0))
+    for left in range(r, 0, -1):
+        out = out.withColumn("bit", F.explode(F.sequence("above", F.lit(width - left))))
+        out = out.withColumn("mask", F.col("mask").bitwiseOR(F.expr("shiftleft(1L, bit)"))).withColumn("above", F.col("bit") + 1).drop("bit")
+    return out.drop("above")
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -79,7 +83,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for s, (shift, width) in enumerate(parts):
             if r > width:
                 continue
-            own = open_.select("q", "most", F.lit(s).alias("seg"), F.explode(_masks(width, r)).alias("mask"))
+            own = _flipped(open_.select("q", "most", F.lit(s).alias("seg")), width, r)
             own = own.select("q", "most", "seg", _value("q", shift, width).bitwiseXOR(F.col("mask")).alias("val"))
             probes = own if probes is None else probes.unionByName(own)
         # the exploded probes look as small to the planner as what they were exploded from: never broadcast them

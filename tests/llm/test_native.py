@@ -5,6 +5,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
+import itertools
+import random
+
 import duckdb
 import numpy as np
 import pytest
@@ -104,3 +107,44 @@ def test_hamming(spark, n, k):
 def test_hamming_empty(spark):
     index = hamming.codes(vectors(spark, []))
     assert hamming.top_k(index, index, 3).count() == 0
+
+
+@pytest.mark.parametrize("m", [2, 3, 4, 6, 8])
+def test_hamming_segments_of_any_width(spark, monkeypatch, m):
+    """Segments of 32 down to 8 bits give what brute force gives; near codes, so that wide segments close early."""
+    cuts = [64 * i // m for i in range(m + 1)]
+    monkeypatch.setattr(hamming, "segments", lambda n: [(a, b - a) for a, b in zip(cuts, cuts[1:])])
+    rng = random.Random(m)
+    base = rng.getrandbits(63)
+    codes = [base ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 4))) for _ in range(120)]
+    index = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+    got = rows(hamming.top_k(index, index.where("id % 20 = 0"), 4))
+    wanted = []
+    for q in range(0, 120, 20):
+        near = sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:4]
+        wanted += [(d, q, r, i) for r, (d, i) in enumerate(near, 1)]
+    assert got == (["distance", "query_id", "rank", "vec_id"], sorted(wanted))
+
+
+def test_hamming_segments_cover_the_code():
+    for n in (0, 1, 2, 500, 4095, 4096, 10**6, 3 * 10**8, 10**13):
+        parts = hamming.segments(n)
+        assert sum(w for _, w in parts) == 64 and 8 <= min(w for _, w in parts) and max(w for _, w in parts) <= 22
+        assert [a for a, _ in parts] == [sum(w for _, w in parts[:i]) for i in range(len(parts))]
+
+
+def test_hamming_masks_are_the_combinations(spark):
+    one = spark.range(1)
+    for width, r in ((1, 0), (5, 2), (5, 5), (22, 3)):
+        masks = [x.mask for x in hamming._flipped(one, width, r).collect()]
+        assert sorted(masks) == sorted(sum(1 << b for b in c) for c in itertools.combinations(range(width), r))
+
+
+def test_hamming_odd_vectors(spark):
+    """Repeated ids count once, null elements as not positive, other lengths are padded, over 64 elements is an error."""
+    df = vectors(spark, [(0, [1.0, None, -1.0], 0), (0, [1.0, None, -1.0], 1), (1, [1.0, 1.0, -1.0], 0), (2, [], 0), (3, [1.0, -2.0, 0.0], 0)])
+    index = hamming.codes(df.withColumn("id", F.lit("clash")).withColumn("q", F.lit("clash")))
+    got = [(r.vec_id, r.distance) for r in hamming.top_k(index, index.where("id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(3, 0), (1, 1), (2, 1)]
+    with pytest.raises(Exception, match="more than 64"):
+        hamming.codes(vectors(spark, [(0, [1.0] * 65, 0)])).collect()
