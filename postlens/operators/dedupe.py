@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.ids import hash_id
-from postlens.llm.common import stage
 from postlens.operators.search import places
+from postlens.workspace import stage
 
 
 def event_key(schedule: Column, venue: Column, type_: Column, fmt: Column, plain: str = "session") -> Column:

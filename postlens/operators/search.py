@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import stage
 from postlens.plans.predicates import Fields, compile_where, include_flags, validate
+from postlens.workspace import stage
 
 
 @dataclass(frozen=True)
