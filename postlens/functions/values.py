@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The accepted formats of times and of a clock.
 STRICT_TIME = r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 LOOSE_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 CLOCK = r"^([01]\d|2[0-3]):[0-5]\d$"
-#: The multipliers that count texts use.
-MULTIPLIERS = {"k": 1_000, "m": 1_000_000, "千": 1_000, "萬": 10_000, "万": 10_000, "億": 100_000_000, "亿": 100_000_000}
+#: The multipliers that count texts use, and the form of such a text.
+MULTIPLIERS = {"k": 1_000, "m": 1_000_000, "萬": 10_000, "万": 10_000}
+COUNT = r"^(\d+(?:\.\d+)?)\s*([km萬万]?)$"
 SAFE_INTEGER = 9_007_199_254_740_991
 
 
@@ -65,10 +67,9 @@ def date_group(date: Column, weekdays: Column) -> Column:
 def normalize_count(c: Column) -> Column:
     """1.2K, 3 萬 or 1,234 as a whole number; null if it is not one, or not a safe integer. Decimal arithmetic throughout."""
     text = F.lower(F.regexp_replace(F.trim(c), ",", ""))
-    pattern = r"^(\d+(?:\.\d+)?)\s*([km千萬万億亿]?)$"
-    number = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("decimal(20,6)")
+    number = F.nullif(F.regexp_extract(text, COUNT, 1), F.lit("")).try_cast("decimal(20,6)")
     table = F.create_map(*[F.lit(x) for sign, by in MULTIPLIERS.items() for x in (sign, by)])
-    times = F.coalesce(F.try_element_at(table, F.regexp_extract(text, pattern, 2)), F.lit(1))
+    times = F.coalesce(F.try_element_at(table, F.regexp_extract(text, COUNT, 2)), F.lit(1))
     value = number * times.cast("decimal(9,0)")
     whole = value.cast("decimal(24,0)")
     return F.when((value == whole) & (whole <= SAFE_INTEGER), whole.cast("bigint"))

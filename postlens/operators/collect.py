@@ -5,29 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.operators.components import components
 
-def clusters(df: DataFrame, batch: str, order: str, keys: list[str], checkpoint_every: int = 3, reliable: bool = False) -> DataFrame:
+def clusters(df: DataFrame, batch: str, order: str, keys: list[str]) -> DataFrame:
     """Adds ``cluster``: the least order of the records that shared keys connect inside a batch.
 
-    Labels spread through groupBy(key).min until none changes; records without any key are alone.
-    Clusters are small (one post's sightings), so few rounds do. Lineage is cut with checkpoint()
-    where the session names a checkpoint folder.
+    Orders are whole numbers, distinct over the table. A record is linked to the first record of each of its keys,
+    a minimum that tasks aggregate before they shuffle, and the links' components are found by star steps, so
+    neither an id that very many records share nor a long chain meets in one task. Records without any key are alone.
     """
-    spark = df.sparkSession
-    now, rounds = df.withColumn("cluster", F.col(order)), 0
-    can_cut = spark.conf.get("spark.checkpoint.dir", None) is not None
-    while True:
-        new = now
-        for k in keys:
-            least = F.min("cluster").over(Window.partitionBy(batch, k))
-            new = new.withColumn("cluster", F.when(F.col(k).isNotNull(), least).otherwise(F.col("cluster")))
-        rounds += 1
-        if can_cut and rounds % checkpoint_every == 0:
-            new = new.checkpoint()
-        before, after = now.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0], new.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]
-        if before == after:
-            return new
-        now = new
+    links = None
+    for k in keys:
+        own = df.where(F.col(k).isNotNull()).select(batch, k, F.col(order).cast("long").alias("a"))
+        first = own.groupBy(batch, k).agg(F.min("a").alias("b"))
+        both = own.alias("o").join(first.alias("f"), F.expr(f"o.`{batch}` <=> f.`{batch}` and o.`{k}` = f.`{k}`")).select("a", "b")
+        links = both if links is None else links.unionByName(both)
+    roots = components(links)
+    return df.join(roots, F.col(order) == F.col("node"), "left").withColumn("cluster", F.coalesce("root", F.col(order))).drop("node", "root")
 
 
 def first_fingerprints(df: DataFrame, batch: str, order: str, fingerprint: str, keyed: str) -> DataFrame:

@@ -77,3 +77,35 @@ def left_lookup(df: DataFrame, ids: str, other: DataFrame, id_: str, prefix: str
     """One row per id in an array column, with the other table's columns beside it."""
     named = other.select(F.col(id_).alias("_id"), *[F.col(c).alias(prefix + c) for c in other.columns if c != id_])
     return df.withColumn("_id", F.explode_outer(ids)).join(named, "_id", "left").withColumnRenamed("_id", prefix + id_)
+
+
+def batch_lookup(source: DataFrame, batches: DataFrame, batch: str, post: str) -> Joined:
+    """Source rows with their batch's columns; unknown: batches that rows name but no table has; duplicates: posts or batches that occur twice.
+
+    missing: batches without any post. Spark broadcasts the batches where their size is known to be small.
+    """
+    twice = duplicates(source, post).select(F.lit("post").alias("kind"), F.col(post).cast("string").alias("id"), "n")
+    twice = twice.unionByName(duplicates(batches, batch).select(F.lit("batch").alias("kind"), F.col(batch).cast("string").alias("id"), "n"))
+    named = source.select(batch).distinct()
+    return Joined(source.join(batches, batch), named.join(batches.select(batch), batch, "left_anti"), batches.select(batch).join(named, batch, "left_anti").distinct(), twice)
+
+
+def missing_from(part: DataFrame, whole: DataFrame, id_: str) -> DataFrame:
+    """Ids of a part that the whole lacks; no rows means it is a subset."""
+    return part.select(id_).distinct().join(whole.select(id_), id_, "left_anti")
+
+
+def same_ids(a: DataFrame, b: DataFrame, id_: str) -> DataFrame:
+    """id and side (only_a, only_b) of ids that two results do not share, whatever their order; no rows means the same set."""
+    left, right = a.select(id_).distinct().withColumn("_a", F.lit(True)), b.select(id_).distinct().withColumn("_b", F.lit(True))
+    return left.join(right, id_, "full_outer").where("_a is null or _b is null").select(id_, F.when(F.col("_b").isNull(), "only_a").otherwise("only_b").alias("side"))
+
+
+def keys_of_batches(df: DataFrame, key: str, batch: str, batches: list) -> DataFrame:
+    """The distinct keys that any of the batches has."""
+    return df.where(F.col(batch).isin(*batches)).select(key).distinct()
+
+
+def distinct_counts(df: DataFrame, by: list[str] | None = None, **columns: str) -> DataFrame:
+    """The number of distinct values of columns, over all rows or by others."""
+    return df.groupBy(*by or []).agg(*[F.count_distinct(c).alias(name) for name, c in columns.items()])

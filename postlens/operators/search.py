@@ -87,6 +87,26 @@ def date_class_order(date: Column, weekdays: Column, descending: bool, id_: Colu
     return [kind, value.desc() if descending else value.asc(), id_]
 
 
+#: Fixed value: the collation of the page's texts.
+LOCALE = "zh_Hant_TWN"
+
+
+def locale_key(c: Column) -> Column:
+    """A text that sorts by the page's locale instead of by its bytes."""
+    return F.collate(c, LOCALE)
+
+
+def grouped_order(date: Column, weekdays: Column, field_: str, value: Column, descending: bool, ties: list[Column]) -> list[Column]:
+    """Weekly groups, then days, then unknown; inside a group by a field, missing values last. Only the field ``date`` turns the groups round."""
+    days = F.array_join(F.transform(weekdays, lambda x: x.cast("string")), ",")
+    weekly = date.isNull() & (F.coalesce(days, F.lit("")) != "")
+    kind = F.when(date.isNotNull(), 1).when(weekly, 0).otherwise(2)
+    group = F.when(date.isNotNull(), date).when(weekly, days).otherwise(F.lit("unknown"))
+    turned = field_ == "date" and descending
+    own = [] if field_ == "date" else browse_order(value, descending, [])
+    return [kind, group.desc() if turned else group.asc(), *own, *ties]
+
+
 def group_headings(df: DataFrame, group: str, order: list[Column], id_: str) -> DataFrame:
     """Adds n_group (rows of the group) and is_heading (first row of its group in the order)."""
     w = Window.partitionBy(group)
@@ -100,9 +120,9 @@ def selection(df: DataFrame, wanted: list, id_: str, text: str, source: str, mos
 
 
 def source_numbers(df: DataFrame, source: str, position: str) -> DataFrame:
-    """Numbers sources by their first appearance in a selection (a bounded one, as selections are)."""
-    first = df.groupBy(source).agg(F.min(position).alias("_first")).withColumn("source_number", F.row_number().over(Window.orderBy("_first", source)))
-    return df.join(first.drop("_first"), source)
+    """Numbers sources by their first appearance in a selection; no task sees all of them."""
+    first = df.groupBy(source).agg(F.min(position).alias("_first"))
+    return df.join(places(first, [F.col("_first"), F.col(source)], name="source_number").drop("_first"), source)
 
 
 def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:

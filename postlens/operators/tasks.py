@@ -8,10 +8,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.operators.joins import keys_of_batches
+
 #: Allowed transitions: (status, event) to the new status. Success never changes.
 TRANSITIONS = {("pending", "start"): "running", ("running", "succeed"): "succeeded", ("running", "fail"): "failed", ("failed", "retry"): "pending", ("running", "recover"): "pending"}
 
 
+def select_tasks(latest: DataFrame, observed: DataFrame, key: str, batch: str, post_key=None, batches: list | None = None, rerun: bool = False) -> DataFrame:
+    """The latest observations to prepare: of one key, of all keys that some batches saw, or all.
+
+    An unknown key, an unknown or empty batch, and a rerun without a key are errors.
+    """
+    if rerun and post_key is None:
+        raise ValueError("a rerun needs a key, so that other results stay")
+    out = latest
+    if batches:
+        known = {r[0] for r in observed.where(F.col(batch).isin(*batches)).select(batch).distinct().collect()}
+        if lacking := sorted(set(batches) - known):
+            raise ValueError(f"unknown or empty batches: {lacking}")
+        out = out.join(keys_of_batches(observed, key, batch, batches), key, "left_semi")
+    if post_key is not None:
+        out = out.where(F.col(key) == post_key)
+        if out.isEmpty():
+            raise ValueError(f"unknown key: {post_key}")
+    return out
+
+
+def targets(pointers: DataFrame, tasks: DataFrame, id_: str = "task_id") -> DataFrame:
+    """The task that each target names."""
+    return pointers.join(tasks, id_)
+
+
 def reuse(tasks: DataFrame, contract: list[str], finished: str = "finished_at", id_: str = "task_id") -> DataFrame:
     """The newest succeeded task of every key and contract."""
     w = Window.partitionBy(*contract).orderBy(F.desc(finished), F.desc(id_))
@@ -50,6 +77,18 @@ def claimable(tasks: DataFrame, most_attempts: int, limit: int, order: list[str]
     return tasks.where((F.col("status") == "pending") | (F.col("status") == "failed") & (F.col("attempts") < most_attempts)).orderBy(*order).limit(limit)
 
 
+def claim_posts(tasks: DataFrame, post: str, order: str, most_attempts: int, limit: int) -> DataFrame:
+    """Claimable tasks of the first ``limit`` distinct posts in order; a post's tasks are claimed together."""
+    able = tasks.where((F.col("status") == "pending") | (F.col("status") == "failed") & (F.col("attempts") < most_attempts))
+    first = able.groupBy(post).agg(F.min(order).alias("_first")).orderBy("_first", post).limit(limit)
+    return able.join(first.select(post), post, "left_semi")
+
+
+def open_ids(tasks: DataFrame, id_: str = "task_id") -> DataFrame:
+    """The ids that a summary calls incomplete, and whether they failed."""
+    return tasks.where("status <> 'succeeded'").select(id_, (F.col("status") == "failed").alias("failed"))
+
+
 def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Adds chunk: the number of a row's group of ``size`` rows in order (of a claim, which is bounded)."""
     if not 1 <= size <= 100:
@@ -88,30 +127,43 @@ def accept_results(tasks: DataFrame, results: DataFrame, valid: Column, contract
 def extract(tasks: DataFrame, call: Callable[[pd.DataFrame], list], most_attempts: int = 3, batch_size: int = 50) -> DataFrame:
     """task_id, result, error and attempts, from a user's function over batches of tasks.
 
-    call gets a pandas frame (task_id, context, error of the attempt before) and returns one JSON text a row; an
-    exception fails its rows alone, which are tried again with their error. Runs where the tasks are.
+    call gets a pandas frame of up to batch_size tasks (task_id, context, error of the attempt before) and returns a JSON
+    text for each row, None or an exception where there is none. Rows without a text are tried again together, with
+    their error; after a call that raises, each of its rows by itself, so that one cannot fail the others. Runs where the tasks are.
     """
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), batch_size):
                 left = pdf.iloc[at : at + batch_size][["task_id", "context"]].assign(error=None, result=None, attempts=0)
+                alone = False
                 for n in range(1, most_attempts + 1):
-                    open_ = left["result"].isna()
-                    if not open_.any():
-                        break
-                    for i in left.index[open_]:
-                        left.loc[i, "attempts"] = n
+                    open_ = left.index[left["result"].isna()]
+                    for rows in [open_[k : k + 1] for k in range(len(open_))] if alone else [open_] if len(open_) else []:
+                        left.loc[rows, "attempts"] = n
                         try:
-                            left.loc[i, "result"], left.loc[i, "error"] = call(left.loc[[i]])[0], None
+                            said = list(call(left.loc[rows]))
+                            if len(said) != len(rows):
+                                raise ValueError(f"{len(said)} answers for {len(rows)} tasks")
                         except Exception as e:  # noqa: BLE001  a user's function may raise anything; its text is the result
-                            left.loc[i, "error"] = str(e)[:500]
+                            said, alone = [e] * len(rows), True
+                        for i, text in zip(rows, said):
+                            wrong = text is None or isinstance(text, Exception)
+                            left.loc[i, "result"] = None if wrong else text
+                            left.loc[i, "error"] = (str(text)[:500] if isinstance(text, Exception) else "no answer") if wrong else None
                 yield left[["task_id", "result", "error", "attempts"]]
 
     return tasks.mapInPandas(run, "task_id string, result string, error string, attempts long")
 
 
-def frozen(selection: DataFrame, now: DataFrame, id_: str = "task_id") -> DataFrame:
-    """What changed since a selection was frozen: (task_id, change); no rows means the handoff still holds."""
+def frozen(selection: DataFrame, now: DataFrame, id_: str = "task_id", settings: tuple[dict, dict] = ({}, {})) -> DataFrame:
+    """What changed since a selection was frozen: (task_id, change); no rows means the handoff still holds.
+
+    settings: contract versions and dataset, frozen and now; each that differs is a row without an id.
+    """
     gone, new = selection.select(id_).exceptAll(now.select(id_)), now.select(id_).exceptAll(selection.select(id_))
-    return gone.withColumn("change", F.lit("gone")).unionByName(new.withColumn("change", F.lit("new")))
+    out = gone.withColumn("change", F.lit("gone")).unionByName(new.withColumn("change", F.lit("new")))
+    then, since = settings
+    for name in sorted(n for n in {*then, *since} if then.get(n) != since.get(n)):
+        out = out.unionByName(selection.sparkSession.range(1).select(F.lit(None).cast(selection.schema[id_].dataType).alias(id_), F.lit(f"changed {name}").alias("change")))
+    return out

@@ -131,17 +131,32 @@ def expand_hierarchy(values: list[str], children: dict[str, list[str]]) -> list[
     return list(dict.fromkeys(x for v in values for x in (v, *children.get(v, []))))
 
 
+#: The columns without which rows cannot be searched.
+REQUIRED = ("listing_id", "event_group_id", "status", "dedupe_status", "contactability", "primary_contact_label", "primary_contact_url")
+
+
+def require_columns(df, required: tuple[str, ...] = REQUIRED):
+    """df, or an error that lists every required column it lacks."""
+    lacking = [c for c in required if c not in df.columns]
+    if lacking:
+        raise ValueError(f"missing required columns: {', '.join(lacking)}")
+    return df
+
+
 def facet_plan(values: dict, children: dict[str, list[str]] | None = None) -> dict:
-    """Form values as a plan. Dates and weekdays are alternatives; the other facets all hold."""
+    """Form values as a plan. Dates and weekdays are alternatives, or both hold with date_mode ``all``; the other facets all hold.
+
+    A weekday is a listing's own or one of its recurrence. Rows of excluded authors go; an unknown author stays.
+    """
     every: list[dict] = []
     leaf = lambda f, op, v: {"field": f, "op": op, "value": v}
     when = []
     if values.get("dates"):
         when.append(leaf("date", "in", list(values["dates"])))
     if values.get("weekdays"):
-        when += [leaf("weekday", "in", list(values["weekdays"])), leaf("recurrence_weekdays", "in", list(values["weekdays"]))]
+        when.append({"any": [leaf("weekday", "in", list(values["weekdays"])), *[leaf("recurrence_weekdays", "contains", d) for d in values["weekdays"]]]})
     if when:
-        every.append({"any": when})
+        every.append({"all" if values.get("date_mode") == "all" else "any": when})
     if values.get("text"):
         every.append(leaf("search_text", "includes_text", values["text"]))
     if values.get("from_time"):
@@ -153,4 +168,6 @@ def facet_plan(values: dict, children: dict[str, list[str]] | None = None) -> di
             every.append(leaf(name, op, values[name]))
     if values.get("play_format"):
         every.append(leaf("play_format", "in", expand_hierarchy([values["play_format"]], children or {})))
+    if values.get("excluded_authors"):
+        every.append({"any": [leaf("author_url", "is_known", False), {"all": [leaf("author_url", "neq", a) for a in values["excluded_authors"]]}]})
     return {"interpretation": "facets", "where": {"all": every}, "preferences": {}, "include": values.get("include", {})}

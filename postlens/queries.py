@@ -883,9 +883,7 @@ def t14_frozen(spark, sf_dir):
 @query("t10_extract", "select 'd' || doc_id as task_id, case when doc_id % 7 > 0 then cast(length(coalesce(text, '')) as varchar) end as result, case when doc_id % 7 = 0 then 2 else 1 end as attempts from documents")
 def t10_extract(spark, sf_dir):
     def call(pdf):
-        if int(pdf["task_id"].iloc[0][1:]) % 7 == 0:
-            raise ValueError("no answer")
-        return [str(len(t)) for t in pdf["context"]]
+        return [None if int(i[1:]) % 7 == 0 else str(len(t)) for i, t in zip(pdf["task_id"], pdf["context"])]
 
     df = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("task_id"), F.coalesce("text", F.lit("")).alias("context"))
     return tasks.extract(df, call, most_attempts=2).select("task_id", "result", "attempts")

@@ -39,9 +39,9 @@ def csv_columns(df: DataFrame, mode: str = "strict") -> DataFrame:
 
 
 def write_listing_csv(df: DataFrame, path: str) -> None:
-    """With a byte order mark before the first header and all formulas guarded."""
+    """With a byte order mark before the first header, CRLF line ends, and all formulas guarded."""
     out = csv_columns(df)
-    out.toDF(BOM + out.columns[0], *out.columns[1:]).write.csv(path, header=True, escape='"', emptyValue="")
+    out.toDF(BOM + out.columns[0], *out.columns[1:]).write.csv(path, header=True, escape='"', emptyValue="", lineSep="\r\n")
 
 
 def post_rows(envelopes: DataFrame) -> DataFrame:

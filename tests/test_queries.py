@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import postlens.more_queries  # noqa: F401  adds to the registry
 from postlens.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
