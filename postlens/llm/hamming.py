@@ -1,7 +1,7 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
 A vector's code holds the signs of its elements (1 where positive), up to 64 of them in one long.
-Codes are cut into m segments of about log2 of their number in bits. In round r every open
+Codes are cut into m segments, four of 16 bits at every size of the table. In round r every open
 query looks up the segment values that differ from its own in exactly r bits. After round r all
 codes within distance m * (r + 1) - 1 have been seen, as a nearer one differs by at most r bits in
 some segment; a query is closed when its k-th verified distance is within that. A pair counts in one
@@ -20,14 +20,13 @@ columns are not read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.llm.common import stage
 
 BITS = 64
+SEGMENTS = 4
 
 
 def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -38,13 +37,9 @@ def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return rows.select(F.col(id_col).cast("long").alias("id"), F.when(F.size(vector_col) > BITS, short.cast("long")).otherwise(signs).alias("code")).groupBy("id").agg(F.min("code").alias("code"))
 
 
-def segments(n_codes: int) -> list[tuple[int, int]]:
-    """Shift and width of each segment: about log2 of the number of codes wide, 8 bits at least and 22 at most.
-
-    A segment value then has about one code, and a query never asks for more than m * 2**22 values, however far its neighbours are.
-    """
-    m = min(8, max(3, round(BITS / math.log2(max(n_codes, 2)))))
-    cuts = [BITS * i // m for i in range(m + 1)]
+def segments() -> list[tuple[int, int]]:
+    """Shift and width of each segment: the same for every size of the index, so that a query's probes depend on how far its neighbours are alone."""
+    cuts = [BITS * i // SEGMENTS for i in range(SEGMENTS + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -69,7 +64,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     members = stage(index.withColumn("nth", F.row_number().over(per_code)).where(F.col("nth") <= k + 1), "mih-members")
     entries = stage(members.groupBy("code").agg(F.min("id").alias("least"), F.count("*").alias("n")), "mih-entries")
     n_codes = entries.count()
-    parts = segments(n_codes)
+    parts = segments()
     m = len(parts)
     lookup = stage(entries.select("code", "least", "n", F.posexplode(F.array(*[_value("code", *p) for p in parts])).alias("seg", "val")), "mih-lookup")
     open_ = stage(queries.select(F.col("code").alias("q"), F.lit(BITS).alias("most")).distinct(), "mih-open")
