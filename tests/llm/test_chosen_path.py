@@ -79,6 +79,52 @@ def test_recall_of_runs():
     assert met >= 299
 
 
+def test_recall_of_split_buckets():
+    """Pairs just over the threshold still meet where every bucket is split twice."""
+    rng, met = np.random.default_rng(4), 0
+    for _ in range(150):
+        x = rng.integers(0, 1 << 63, 180, dtype=np.uint64)
+        a, b = np.unique(x[:170]), np.unique(np.concatenate([x[:152], x[160:178]]))
+        p, q = chosen_path.paths(a), chosen_path.paths(b)
+        for _ in range(chosen_path.LEVELS):
+            p = q = np.intersect1d(p, q)  # buckets of one alone cannot hold the pair
+            p, q = chosen_path.deeper(a, p), chosen_path.deeper(b, q)
+        met += bool(np.intersect1d(p, q).size)
+    assert met >= 145
+
+
+def boilerplate(n, share, size=100, seed=0):
+    passage = prose(999, round(size * share))
+    return [passage + " " + " ".join(f"own{seed}x{i}x{k}" for k in range(size - round(size * share))) for i in range(n)]
+
+
+def test_boilerplate_is_split(spark, monkeypatch):
+    """Thousands of texts that share 30 % (some half): what is left to compare grows with the texts, not with their square."""
+    monkeypatch.setattr(chosen_path, "RUNS", 20)
+    left = {}
+    for n in (1000, 2000):
+        texts = boilerplate(n, 0.3) + boilerplate(n // 2, 0.5, seed=1)
+        docs = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])
+        nodes = chosen_path.sets(docs).withColumn("copies", F.lit(1).cast("long"))
+        small, large = chosen_path.buckets(docs, nodes)
+        whole = nodes.select(F.explode("paths").alias("b")).groupBy("b").count().where(F.col("count") > chosen_path.SMALL).count()
+        pairs = small.select("bucket", "n").distinct().agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()[0]
+        dense = large.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0))).first()[0]
+        assert whole > 0  # there was something to split
+        left[n] = pairs + dense
+    assert left[1000] < 60 * 1000 and left[2000] < 60 * 2000
+
+
+def test_near_copies_within_boilerplate_are_found(spark, monkeypatch):
+    """Splitting keeps the links of near copies in a crowd that shares a passage."""
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    crowd = boilerplate(150, 0.5)
+    copies = [crowd[i].replace(f"own0x{i}x7 ", "changed ") for i in range(0, 40, 2)]
+    rows = list(enumerate(crowd + copies))
+    got = sorted(map(tuple, chosen_path.join(frame(spark, [(i, t, "", "", 0) for i, t in rows])).collect()))
+    assert got == brute(rows) and sum(n for *_, n in got) == 40
+
+
 def test_similar_is_exact():
     a = np.arange(1, 11, dtype=np.uint64)
     near = chosen_path.similar([a, a[:8], a[:7], a])
