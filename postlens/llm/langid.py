@@ -1,16 +1,20 @@
 """Language identification by cross-parsing entropy.
 
 Labelled text of each language goes into a suffix automaton. A text is cut greedily into the
-longest phrases that occur in that labelled text (each step follows one transition; where there is
-none a phrase ends and the walk starts again from the root). The language with the fewest phrases
-per character wins; ties go to the alphabetically first.
+longest phrases that occur in that labelled text: each step follows one transition; where there is
+none a phrase ends and the next begins with that character (or, if the language lacks it, after it). By the
+cross-parsing estimate of entropy a phrase of a language stands for log2 of the length of its
+labelled text in bits, so phrases are counted in these units: unequal samples compare. The language
+with the fewest normalised phrases wins; ties go to the alphabetically first.
 
-Text is lower-cased, and a run of what is not a letter counts as one blank. Texts are parsed whole,
-in segments of SEGMENT characters that many lanes of numpy follow side by side; a phrase ends at a
-segment's end, for every language alike.
+Text is lower-cased, and a run of what is not a letter counts as one blank. Texts are parsed whole.
+Numpy follows many segments of SEGMENT characters side by side, each from the root at first; then the
+state in which a segment really begins, the end of the one before, is followed until it meets the
+state found from the root, from where on both are the same, so the phrases are those of an uncut parse.
 
 ``train`` takes a bounded sample: in each language, per slot of a hash of doc_id the row with the
-smallest hash, at most ``slots`` rows of ``chars`` characters each. Everything else covers all rows.
+smallest hash, at most ``slots`` rows; of a text over ``chars`` characters a stretch of that length, at an
+offset by the hash. Everything else covers all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; without any
 labelled row all are ``und``; very long texts are parsed whole; repeated rows get the same answer,
@@ -76,6 +80,7 @@ class Parser:
         self.code = {c: i for i, c in enumerate(sorted(set(" ").union(*texts.values())))}
         self.unknown = len(self.code)
         self.width = self.unknown + 1
+        self.bits = np.log2([max(len(texts[k]), 2) for k in self.langs])
         tables, self.roots, base = [], [], 0
         for k in self.langs:
             go = suffix_automaton([self.code[c] for c in texts[k]])
@@ -111,45 +116,86 @@ class Parser:
         keep[1:] |= code[:-1] != 0
         return code[keep], some
 
-    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases per row and language, characters per row, and whether the row has a letter."""
-        seg_row, segs, some, size = [], [], np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=np.int64)
+    def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases per language and row, and whether the row has a letter."""
+        seg_row, segs, some = [], [], np.zeros(len(texts), dtype=bool)
         for i, t in enumerate(texts):
             if not t:
                 continue
             code, some[i] = self.codes(t)
-            size[i] = len(code)
             if some[i]:
                 for at in range(0, len(code), SEGMENT):
                     seg_row.append(i)
                     segs.append(code[at : at + SEGMENT])
-        total = np.zeros((len(self.langs), len(texts)), dtype=np.int64)
+        total = np.repeat(some[None, :].astype(np.int64), len(self.langs), axis=0)
         if segs and self.langs:
-            length = np.array([len(s) for s in segs])
-            order = np.argsort(-length, kind="stable")
-            length = length[order]
-            grid = np.zeros((int(length[0]), len(segs)), dtype=np.uint32)
-            for lane, k in enumerate(order.tolist()):
-                grid[: len(segs[k]), lane] = segs[k]
-            state = np.repeat(np.array(self.roots, dtype=np.uint32)[:, None], len(segs), axis=1)
-            count = np.ones((len(self.langs), len(segs)), dtype=np.uint32)
-            active = np.searchsorted(-length, -np.arange(len(grid)), side="left")
-            width = np.uint32(self.width)
-            for t, n in enumerate(active.tolist()):
-                v = self.table[state[:, :n] * width + grid[t, :n]]
-                count[:, :n] += v >> np.uint32(31)
-                state[:, :n] = v & np.uint32(0x7FFFFFFF)
-            rows = np.array(seg_row)[order]
+            rows = np.array(seg_row)
+            breaks = self.breaks(segs, rows)
             for k in range(len(self.langs)):
-                total[k] = np.bincount(rows, weights=count[k], minlength=len(texts)).astype(np.int64)
-        return total, size, some
+                total[k] += np.bincount(rows, weights=breaks[k], minlength=len(texts)).astype(np.int64)
+        return total, some
+
+    def breaks(self, segs: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+        """Phrases that end in each segment, per language; segments of one row follow each other."""
+        length = np.array([len(s) for s in segs])
+        order = np.argsort(-length, kind="stable")
+        length = length[order]
+        lane = np.empty(len(order), dtype=np.int64)
+        lane[order] = np.arange(len(order))
+        grid = np.zeros((int(length[0]), len(segs)), dtype=np.uint32)
+        for at, k in enumerate(order.tolist()):
+            grid[: len(segs[k]), at] = segs[k]
+        root = np.array(self.roots, dtype=np.uint32)
+        state = np.repeat(root[:, None], len(segs), axis=1)
+        count = np.zeros((len(root), len(segs)), dtype=np.int64)
+        active = np.searchsorted(-length, -np.arange(len(grid)), side="left")
+        width = np.uint32(self.width)
+        low = np.uint32(0x7FFFFFFF)
+        for t, n in enumerate(active.tolist()):
+            v = self.table[state[:, :n] * width + grid[t, :n]]
+            count[:, :n] += v >> np.uint32(31)
+            state[:, :n] = v & low
+        # where a segment really begins: the end of the one before, followed until it meets the walk from the root
+        after = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+        before_of, lanes = np.full(len(segs), -1), lane[after]
+        before_of[lanes] = lane[after - 1]
+        after_of = np.full(len(segs), -1)
+        after_of[before_of[lanes]] = lanes
+        more, met = np.zeros_like(count), state.copy()
+        lang, at = np.repeat(np.arange(len(root)), len(lanes)), np.tile(lanes, len(root))
+        while len(at):
+            own, free = state[lang, before_of[at]], root[lang]
+            extra = np.zeros(len(at), dtype=np.int64)
+            live = np.flatnonzero(own != free)
+            own, free = own[live], free[live]
+            new = met[lang, at]
+            t = 0
+            while len(live):
+                c = grid[t, at[live]]
+                v, w = self.table[own * width + c], self.table[free * width + c]
+                extra[live] += (v >> np.uint32(31)).astype(np.int64) - (w >> np.uint32(31))
+                own, free = v & low, w & low
+                t += 1
+                apart = own != free
+                over = apart & (length[at[live]] == t)
+                if over.any():  # never met: the segment ends in another state
+                    new[live[over]] = own[over]
+                stay = apart & ~over
+                live, own, free = live[stay], own[stay], free[stay]
+            more[lang, at] = extra
+            moved = state[lang, at] != new
+            lang, at, new = lang[moved], at[moved], new[moved]
+            state[lang, at] = new
+            lang, at = lang[after_of[at] >= 0], after_of[at][after_of[at] >= 0]
+        return (count + more)[:, lane]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        total, _, some = self.phrases(texts)
+        total, some = self.phrases(texts)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        best = np.argmin(total, axis=0)
-        ordered = np.sort(total, axis=0)
+        need = total * self.bits[:, None]
+        best = np.argmin(need, axis=0)
+        ordered = np.sort(need, axis=0)
         least, next_ = ordered[0], ordered[1] if len(self.langs) > 1 else ordered[0] * 2
         score = np.where(some, 1.0 - least / np.maximum(next_, 1), 0.0)
         return [self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())], score
@@ -161,7 +207,8 @@ def sample(docs: DataFrame, holdout: tuple[int, int] = (4, 2), slots: int = 128,
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null").where(crc_bucket("doc_id", mod) != out)
     hashed = known.withColumn("h", F.xxhash64("doc_id")).withColumn("slot", F.pmod("h", F.lit(slots)))
     first = hashed.groupBy("lang", "slot").agg(F.min("h").alias("h"))  # at most slots rows a language
-    texts = hashed.join(F.broadcast(first), ["lang", "slot", "h"]).select("lang", "h", F.substring("text", 1, chars).alias("text")).dropDuplicates(["lang", "h"])
+    offset = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int")
+    texts = hashed.join(F.broadcast(first), ["lang", "slot", "h"]).select("lang", "h", F.substr("text", offset + 1, F.lit(chars)).alias("text")).dropDuplicates(["lang", "h"])
     got: dict[str, set[str]] = {}
     for lang, _, text in texts.toPandas().itertuples(index=False):
         got.setdefault(lang, set()).add(text)

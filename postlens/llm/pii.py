@@ -4,13 +4,16 @@ The base patterns give spans of four kinds. Tokens with a digit or an ``@`` are
 random field with the labels none, email, ip, card and phone (any other token is none by
 definition). Neighbouring nodes with only blanks between them share a chain potential; consecutive
 occurrences of one normal form (the digits, from six on, else the word without punctuation) share a
-skip potential. Nodes inside a base span are observed. Loopy belief propagation runs over each
-document; a node that is not observed becomes a span of its own if one kind's marginal is at least
-``sure``. Base spans always stay.
+skip potential, and consecutive occurrences of one likeness (the last seven digits, half of a long number,
+the name before an ``@``) of different normal forms share another. Nodes inside a base span are observed. Loopy
+belief propagation runs over each document until messages settle; a node that is not observed becomes a span of
+its own if one kind's marginal is at least ``sure``. Base spans always stay.
 
-Potentials are tables, fitted piece by piece in closed form: smoothed log-odds of the observed
-labels by token shape (hashed to SHAPES cells), by chain neighbours and by skip neighbours. The
-counts cover all documents and are summed by Spark; the tables have at most 5 * SHAPES + 50 cells.
+The weights (by token shape, hashed to SHAPES cells, and by pair of labels for each kind of edge) maximise
+the field's pseudo-likelihood of the observed labels with a Gaussian prior: unary and pair weights are fitted
+together, so none counts another's evidence. Its sufficient statistics are how often each node occurs
+with its shape, its label and its neighbours' labels; they are counted over all documents and summed by
+Spark, and their number depends on the shapes, not on the documents.
 
 Defined results: a null or empty text has no spans; very long texts are read whole, in time linear
 in their length; repeated rows get the same answer, each by itself; of base spans that start at the
@@ -42,7 +45,8 @@ SIGN = re.compile(r"[0-9@]")
 EDGE = "\"'`,;:!?()[]{}<>*#$&%|=."
 SHAPES = 4096
 LABELS = 1 + len(KINDS)
-ROUNDS = 6
+EDGES = ("chain", "skip", "near")
+ROUNDS, SETTLED = 60, 1e-5
 
 
 def luhn(digits: str) -> bool:
@@ -109,7 +113,7 @@ def nodes(text: str | None) -> list[tuple[int, int]]:
 
 
 def shape(token: str) -> int:
-    s = re.sub(r"[^\W\d_]+", "a", token[:200])
+    s = re.sub(r"[^\W\d_]+", "a", token)
     s = re.sub(r"[0-9]+", lambda m: f"<{min(len(m.group()), 20)}>", s)
     return zlib.crc32(s.encode("utf-8", "surrogatepass")) % SHAPES
 
@@ -119,6 +123,15 @@ def normal_form(token: str) -> str:
     return d if len(d) >= 6 and not re.search(r"[^\W\d_]", token) else token.lower()
 
 
+def likenesses(token: str) -> list[str]:
+    """What similar tokens have in common: the end of a number, half of a long one, the name of an address."""
+    d, (name, at, _) = _digits(token), token.lower().partition("@")
+    out = [f"end {d[-7:]}"] if len(d) >= 7 else []
+    if len(d) >= 12:
+        out += [f"left {d[: len(d) // 2]}", f"right {d[len(d) // 2 :]}"]
+    return [*out, f"name {name}"] if at and len(name) >= 3 else out
+
+
 class Field:
     """The random field of one text: nodes, observed labels (0 where none), shapes, edges."""
 
@@ -139,54 +152,85 @@ class Field:
         self.shape = np.array([shape(text[a:b]) for a, b in self.at], dtype=np.int64)
         chain = [(i, i + 1) for i in range(n - 1) if text[self.at[i][1] : self.at[i + 1][0]].strip(EDGE + " \t\r\n") == "" and self.at[i + 1][0] - self.at[i][1] <= 8]
         seen: dict[str, int] = {}
-        skip = []
+        skip, near, forms = [], set(), []
         for i, (a, b) in enumerate(self.at):
-            form = normal_form(text[a:b])
+            forms.append(form := normal_form(text[a:b]))
             if form in seen:
                 skip.append((seen[form], i))
             seen[form] = i
-        self.chain = np.array(chain, dtype=np.int64).reshape(-1, 2)
-        self.skip = np.array(skip, dtype=np.int64).reshape(-1, 2)
+            for like in likenesses(text[a:b]):
+                if like in seen and forms[seen[like]] != form:
+                    near.add((seen[like], i))
+                seen[like] = i
+        self.chain, self.skip, self.near = [np.array(e, dtype=np.int64).reshape(-1, 2) for e in (chain, skip, sorted(near))]
+
+    def surroundings(self) -> np.ndarray:
+        """Per node the number of neighbours (3 at most) with each label by each kind of edge, as digits of base 4."""
+        n = np.zeros((len(self.at), len(EDGES), LABELS), dtype=np.int64)
+        for k, e in enumerate((self.chain, self.skip, self.near)):
+            np.add.at(n, (e[:, 0], k, self.label[e[:, 1]]), 1)
+            np.add.at(n, (e[:, 1], k, self.label[e[:, 0]]), 1)
+        return np.minimum(n, 3).reshape(len(n), -1) @ (4 ** np.arange(len(EDGES) * LABELS))
 
 
-def _tables(docs: DataFrame) -> DataFrame:
-    """Counts over all documents: what ('shape', 'chain' or 'skip'), x, y, n."""
+def _statistics(docs: DataFrame) -> DataFrame:
+    """Over all documents: node (shape * LABELS + label), around (its surroundings), n."""
 
     def run(batches):
         for batch in batches:
-            shapes, chain, skip = np.zeros((SHAPES, LABELS), dtype=np.int64), np.zeros((LABELS, LABELS), dtype=np.int64), np.zeros((LABELS, LABELS), dtype=np.int64)
-            for text in batch.column("text").to_pylist():
-                f = Field(text)
-                if len(f.at):
-                    np.add.at(shapes, (f.shape, f.label), 1)
-                    np.add.at(chain, (f.label[f.chain[:, 0]], f.label[f.chain[:, 1]]), 1)
-                    np.add.at(skip, (f.label[f.skip[:, 0]], f.label[f.skip[:, 1]]), 1)
-            for what, table in (("shape", shapes), ("chain", chain), ("skip", skip)):
-                x, y = np.nonzero(table)
-                yield pa.RecordBatch.from_arrays([pa.array([what] * len(x), pa.string()), pa.array(x), pa.array(y), pa.array(table[x, y])], names=["what", "x", "y", "n"])
+            for at in range(0, batch.num_rows, 1000):
+                fields = [f for f in map(Field, batch.column("text").slice(at, 1000).to_pylist()) if len(f.at)]
+                if fields:
+                    rows = np.concatenate([np.stack([f.shape * LABELS + f.label, f.surroundings()]) for f in fields], axis=1)
+                    (node, around), n = np.unique(rows, axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(around), pa.array(n)], names=["node", "around", "n"])
 
-    return docs.select("text").mapInArrow(run, "what string, x long, y long, n long").groupBy("what", "x", "y").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "node long, around long, n long").groupBy("node", "around").agg(F.sum("n").alias("n"))
 
 
 class Potentials:
-    def __init__(self, counts: pd.DataFrame):
-        def table(what: str, rows: int) -> np.ndarray:
-            out = np.zeros((rows, LABELS))
-            own = counts[counts["what"] == what]
-            out[own["x"].to_numpy(dtype=int), own["y"].to_numpy(dtype=int)] = own["n"]
-            return out
-
-        shapes = table("shape", SHAPES)
-        prior = (shapes.sum(axis=0) + 1) / (shapes.sum() + LABELS)
-        self.unary = np.log((shapes + 2 * prior) / (shapes.sum(axis=1, keepdims=True) + 2))
-
-        def pair(t: np.ndarray) -> np.ndarray:
-            t = t + t.T + 0.5
-            joint = t / t.sum()
-            edge = joint.sum(axis=1)
-            return np.clip(np.log(joint / (edge[:, None] * edge[None, :])), -4, 4)
-
-        self.chain, self.skip = pair(table("chain", LABELS)), pair(table("skip", LABELS))
+    """Log-potentials: unary (shape, label) and, for each kind of edge, a symmetric table of labels."""
+
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, near: np.ndarray):
+        self.unary, self.chain, self.skip, self.near = unary, chain, skip, near
+
+
+def fit(counts: pd.DataFrame, prior: float = 1.0, steps: int = 600, rate: float = 0.1) -> Potentials:
+    """Maximum pseudo-likelihood with a Gaussian prior of that precision, by Adam's steps over the statistics (node, around, n)."""
+    counts = counts.sort_values(["node", "around"])
+    node, around = counts["node"].to_numpy(dtype=np.int64), counts["around"].to_numpy(dtype=np.int64)
+    n = counts["n"].to_numpy(dtype=np.float64)
+    seen, shape = np.unique(node // LABELS, return_inverse=True)
+    y = node % LABELS
+    beside = (around[:, None] // 4 ** np.arange(len(EDGES) * LABELS) % 4).reshape(-1, len(EDGES), LABELS).astype(np.float64)
+    size = [LABELS, len(seen) * LABELS, len(EDGES) * LABELS * LABELS]
+    cut = np.cumsum(size)[:-1]
+    w = np.zeros(sum(size))
+    first, second = np.zeros_like(w), np.zeros_like(w)
+
+    def tables(w: np.ndarray):
+        bias, own, pairs = np.split(w, cut)
+        pairs = pairs.reshape(len(EDGES), LABELS, LABELS)
+        return bias, own.reshape(-1, LABELS), (pairs + pairs.transpose(0, 2, 1)) / 2
+
+    for step in range(1, steps + 1):
+        bias, own, pairs = tables(w)
+        score = bias + own[shape] + np.einsum("nkl,klm->nm", beside, pairs)
+        p = np.exp(score - np.logaddexp.reduce(score, axis=1, keepdims=True))
+        p[np.arange(len(y)), y] -= 1
+        p *= n[:, None]
+        of_shape = np.zeros((len(seen), LABELS))
+        np.add.at(of_shape, shape, p)
+        of_pairs = np.einsum("nkl,nm->klm", beside, p)
+        of_pairs = (of_pairs + of_pairs.transpose(0, 2, 1)) / 2
+        gradient = np.concatenate([p.sum(axis=0), of_shape.ravel(), of_pairs.ravel()]) + prior * w
+        first = 0.9 * first + 0.1 * gradient
+        second = 0.99 * second + 0.01 * gradient**2
+        w -= rate * min(1.0, 2 * (1 - step / (steps + 1))) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    bias, own, pairs = tables(w)
+    unary = np.tile(bias, (SHAPES, 1))
+    unary[seen] += own
+    return Potentials(unary, *pairs)
 
 
 def marginals(fields: list[Field], pot: Potentials) -> list[np.ndarray]:
@@ -196,23 +240,25 @@ def marginals(fields: list[Field], pot: Potentials) -> list[np.ndarray]:
     label = np.concatenate([f.label for f in fields])
     score = pot.unary[np.concatenate([f.shape for f in fields])].copy()
     seen = np.flatnonzero(label)
-    score[seen] = -30.0
+    score[seen] = -50.0
     score[seen, label[seen]] = 0.0
-    chain = np.concatenate([f.chain + b for f, b in zip(fields, begin)])
-    skip = np.concatenate([f.skip + b for f, b in zip(fields, begin)])
-    a, b = np.concatenate([chain, skip]).T
-    tables = np.concatenate([np.broadcast_to(pot.chain, (len(chain), LABELS, LABELS)), np.broadcast_to(pot.skip, (len(skip), LABELS, LABELS))])
+    edges = [np.concatenate([getattr(f, kind) + b for f, b in zip(fields, begin)]) for kind in EDGES]
+    a, b = np.concatenate(edges).T
+    tables = np.concatenate([np.broadcast_to(getattr(pot, kind), (len(e), LABELS, LABELS)) for kind, e in zip(EDGES, edges)])
     source, target = np.concatenate([a, b]), np.concatenate([b, a])
     back = np.concatenate([np.arange(len(a), 2 * len(a)), np.arange(len(a))])
     both = np.concatenate([tables, tables.transpose(0, 2, 1)])
-    sent = np.zeros((len(source), LABELS))
-    for _ in range(ROUNDS):
+    sent = np.full((len(source), LABELS), -np.log(LABELS))
+    for _ in range(ROUNDS if len(source) else 0):
         belief = score.copy()
         np.add.at(belief, target, sent)
         cavity = belief[source] - sent[back]
-        new = np.logaddexp.reduce(cavity[:, :, None] + both, axis=1) if len(source) else sent
-        new -= np.logaddexp.reduce(new, axis=1, keepdims=True) if len(source) else 0
-        sent = 0.5 * sent + 0.5 * new
+        new = np.logaddexp.reduce(cavity[:, :, None] + both, axis=1)
+        new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+        moved = np.abs(new - sent).max()
+        sent = 0.3 * sent + 0.7 * new
+        if moved < SETTLED:
+            break
     belief = score.copy()
     np.add.at(belief, target, sent)
     p = np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
@@ -232,9 +278,9 @@ def added(fields: list[Field], pot: Potentials, sure: float) -> list[list[tuple[
 
 def find(docs: DataFrame, sure: float = 0.9) -> DataFrame:
     """doc_id, base and every: arrays of (start, kind, end) in code points, sorted by start, then kind."""
-    counts = _tables(docs).toPandas()
-    seen = len(counts) and bool(((counts["what"] == "shape") & (counts["y"] > 0)).any())
-    pot = Potentials(counts) if seen else None
+    counts = _statistics(docs).toPandas()
+    seen = len(counts) and bool((counts["node"] % LABELS > 0).any())
+    pot = fit(counts) if seen else None
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
     def run(batches):

@@ -6,11 +6,14 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 
 import hashlib
+import itertools
 import os
 import random
 import re
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
 from fixtures import empty, frame, prose
 from pyspark.sql import functions as F
@@ -64,31 +67,43 @@ def test_language(spark):
     assert langid.predict(empty(spark), langid.sample(empty(spark))).count() == 0
 
 
-def test_cross_parse_is_the_greedy_one():
-    samples = {"a": ["abcabd abx"], "b": ["xyzzy"]}
+def greedy(text, train):
+    phrases, now = 1, ""
+    for c in text:
+        if now + c in train:
+            now += c
+        else:
+            phrases, now = phrases + 1, c if c in train else ""
+    return phrases
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7, 1024])
+def test_cross_parse_is_the_greedy_one(monkeypatch, segment):
+    """Texts in segments of any length have exactly the phrases of a plain parse of the whole."""
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    samples = {"a": ["abcabd abx"], "b": ["xyzzy"], "c": ["ab" * 40 + "c"]}
     parser = langid.Parser(samples)
-    for text in ("abcabdabx", "xyzzyabc", "q", "ab" * 700, "zzyx abd"):
-        total, size, some = parser.phrases([text])
-        for k, lang in enumerate(parser.langs):
-            train = " ".join(samples[lang])
-            phrases = 0
-            for at in range(0, len(text), langid.SEGMENT):
-                part, i, n = text[at : at + langid.SEGMENT], 0, 1
-                while i < len(part):
-                    m = 0
-                    while i + m < len(part) and part[i : i + m + 1] in train:
-                        m += 1
-                    # a phrase ends where the next character does not follow; an unknown one ends a phrase, too
-                    if i + m < len(part) and m:
-                        n += 1
-                        i += m
-                    elif m == 0:
-                        n += 1
-                        i += 1
-                    else:
-                        i += m
-                phrases += n
-            assert abs(int(total[k, 0]) - phrases) <= 1 + text.count("q")
+    rng = random.Random(segment)
+    texts = ["abcabdabx", "xyzzyabc", "q", "ab" * 700, "zzyx abd", "a" * 50 + "qq" + "xyz" * 9] + ["".join(rng.choice("abcdxyzq ") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts = [" ".join(t.split()) or "a" for t in texts]
+    total, some = parser.phrases([*texts, None, "12"])
+    assert some.tolist() == [True] * len(texts) + [False, False] and total[:, -2:].sum() == 0
+    for i, text in enumerate(texts):
+        assert total[:, i].tolist() == [greedy(text, " ".join(samples[k])) for k in parser.langs]
+
+
+def test_language_of_unequal_samples_and_ties(spark):
+    """A language with fifty times the labelled text does not win by that alone; equal languages: the first by name; long texts are read whole."""
+    def de(i):
+        rng = random.Random(i)
+        return " ".join(rng.choice("der und nicht ein für öffnung straße über keit lich".split()) for _ in range(60))
+
+    samples = {"de": [de(i) for i in range(2)], "en": [prose(i, 60) for i in range(100)]}
+    rows = [(i, de(100 + i) if i % 2 else prose(500 + i, 60), "", "", 0) for i in range(40)] + [(100, prose(9, 300) + " " + " ".join(de(i) for i in range(60)), "", "", 0)]
+    out = {r.doc_id: r for r in langid.predict(frame(spark, rows).withColumn("score", F.lit("clash")), samples).collect()}
+    assert all(out[i].lang_pred == ("de" if i % 2 else "en") for i in range(40)) and out[100].lang_pred == "de"
+    same = {"x": ["some words"], "w": ["some words"]}
+    assert [tuple(r)[-2:] for r in langid.predict(frame(spark, [(1, "some", "", "", 0)]), same).collect()] == [("w", 0.0)]
 
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
@@ -127,16 +142,75 @@ def test_pii(spark):
 
 
 def test_propagation_pulls_repeated_tokens_together():
-    """A repeated token takes the label of its observed twin, through the skip potential."""
-    import pandas as pd
-
-    counts = pd.DataFrame([("shape", 1, 0, 50), ("shape", 1, 4, 50), ("skip", 4, 4, 500), ("skip", 0, 0, 500), ("chain", 0, 0, 10)], columns=["what", "x", "y", "n"])
-    pot = pii.Potentials(counts)
+    """A repeated token takes the label of its observed twin, through the fitted skip potential; a similar one nearly so."""
+    pair = lambda kind, label: 4 ** (5 * pii.EDGES.index(kind) + label)
+    rows = [(5 + 0, 0, 50), (5 + 4, 0, 50)]  # alone, a token of shape 1 is a phone as often as not
+    rows += [(5 + 4, pair("skip", 4), 200), (5 + 0, pair("skip", 0), 200), (5 + 4, pair("near", 4), 90), (5 + 0, pair("near", 0), 90), (5 + 4, pair("near", 0), 10), (5 + 0, pair("near", 4), 10)]
+    pot = pii.fit(pd.DataFrame(rows, columns=["node", "around", "n"]))
     f = pii.Field("")
-    f.at, f.label, f.shape = [(0, 1), (5, 6), (9, 10)], __import__("numpy").array([4, 0, 0]), __import__("numpy").array([1, 1, 1])
-    f.skip = __import__("numpy").array([[0, 1]])
+    f.at, f.label, f.shape = [(0, 1), (5, 6), (9, 10), (12, 13)], np.array([4, 0, 0, 0]), np.array([1, 1, 1, 1])
+    f.skip, f.near = np.array([[0, 1]]), np.array([[0, 3]])
     p = pii.marginals([f], pot)[0]
-    assert p[0, 4] > 0.99 and p[1, 4] > 0.9 and p[2, 4] < 0.6
+    assert p[0, 4] > 0.99 and p[1, 4] > 0.9 and 0.4 < p[2, 4] < 0.6 and 0.7 < p[3, 4] < p[1, 4]
+
+
+def test_fit_is_a_maximum_of_the_pseudo_likelihood():
+    """The gradient, by differences, is near zero at the fitted weights."""
+    rng = np.random.default_rng(1)
+    counts = pd.DataFrame({"node": rng.integers(0, 15, 40), "around": [int(4 ** rng.integers(0, 15)) for _ in range(40)], "n": rng.integers(1, 30, 40)}).groupby(["node", "around"], as_index=False).sum()
+    pot = pii.fit(counts)
+
+    def loss(unary, chain):
+        total = 0.0
+        for node, around, n in counts.itertuples(index=False):
+            score = unary[node // 5].copy()
+            for k, table in enumerate((chain, pot.skip, pot.near)):
+                for label in range(5):
+                    score += (around // 4 ** (5 * k + label) % 4) * table[label]
+            total -= n * (score[node % 5] - np.logaddexp.reduce(score))
+        return total
+
+    for i in range(5):
+        for j in range(i, 5):
+            step = np.zeros((5, 5))
+            step[i, j] = step[j, i] = 1e-4
+            slope = (loss(pot.unary, pot.chain + step) - loss(pot.unary, pot.chain - step)) / 2e-4
+            assert abs(slope + pot.chain[i, j] * (1 if i == j else 2)) < 0.5  # the prior pulls back as hard
+
+
+def exact(f, pot):
+    """Marginals by enumerating all labelings that agree with what is observed."""
+    p = np.zeros((len(f.at), pii.LABELS))
+    for labels_ in itertools.product(range(pii.LABELS), repeat=len(f.at)):
+        if all(o in (0, x) for o, x in zip(f.label, labels_)):
+            s = sum(pot.unary[f.shape[i], x] for i, x in enumerate(labels_) if not f.label[i])
+            s += sum(getattr(pot, kind)[labels_[a], labels_[b]] for kind in pii.EDGES for a, b in getattr(f, kind))
+            for i, x in enumerate(labels_):
+                p[i, x] += np.exp(s)
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_beliefs_are_exact_on_trees_and_close_on_loops():
+    rng = np.random.default_rng(5)
+    for case in range(12):
+        sym = lambda scale: (lambda t: (t + t.T) / 2)(rng.normal(size=(5, 5)) * scale)
+        pot = pii.Potentials(rng.normal(size=(pii.SHAPES, 5)), sym(1), sym(1), sym(0.7))
+        f = pii.Field("")
+        f.at, f.shape, f.label = [(i, i + 1) for i in range(5)], rng.integers(0, 9, 5), np.array([0, 0, 2, 0, 0]) if case % 2 else np.zeros(5, dtype=np.int64)
+        f.chain, f.skip, f.near = np.array([[0, 1], [1, 2]]), np.array([[1, 3]]), np.array([[3, 4]])
+        assert np.abs(pii.marginals([f], pot)[0] - exact(f, pot)).max() < 1e-3
+        f.near = np.array([[3, 4], [0, 4]])  # one loop
+        assert np.abs(pii.marginals([f], pot)[0] - exact(f, pot)).max() < 0.1
+
+
+def test_edges_join_equal_and_similar_tokens():
+    text = "call +1 212 555 7713 or (212) 555-7713. ann.lee@mail.example.org, ANN.LEE@mail 4111111111111111 41111111-11111111 4111111199999999 x" + "9" * 5000
+    f = pii.Field(text)
+    token = [text[a:b] for a, b in f.at]
+    named = lambda edges: {(token[a], token[b]) for a, b in edges.tolist()}
+    assert ("4111111111111111", "41111111-11111111") in named(f.skip) and not named(f.skip) & named(f.near)
+    assert {("ann.lee@mail.example.org", "ANN.LEE@mail"), ("41111111-11111111", "4111111199999999")} <= named(f.near)
+    assert pii.shape("9" * 300 + "a") != pii.shape("9" * 300 + "-a") and pii.likenesses("a@b") == []
 
 
 def test_secrets(spark):
