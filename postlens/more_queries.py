@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.functions import ids, urls, values
+from postlens.functions import ids, text, urls, values
 from postlens.operators import collect, history, joins, release, rules, search, tasks
 from postlens.plans import predicates
 from postlens.queries import LATEST, LISTED, TASKS, big, listing_rows, observations, query, table, task_rows
@@ -61,8 +61,8 @@ def p10_hierarchy(spark, sf_dir):
 
 @query("p22_safe_link", "select s_suppkey, case s_suppkey % 4 when 0 then 'https://a.example/' || s_suppkey when 1 then 'TEL:+' || s_suppkey end as link from supplier")
 def p22_safe_link(spark, sf_dir):
-    k, text = F.col("s_suppkey") % 4, F.col("s_suppkey").cast("string")
-    raw = F.when(k == 0, F.concat(F.lit("https://a.example/"), text)).when(k == 1, F.concat(F.lit("TEL:+"), text)).when(k == 2, F.concat(F.lit("javascript:"), text))
+    k, n = F.col("s_suppkey") % 4, F.col("s_suppkey").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("https://a.example/"), n)).when(k == 1, F.concat(F.lit("TEL:+"), n)).when(k == 2, F.concat(F.lit("javascript:"), n))
     return table(spark, sf_dir, "supplier").select("s_suppkey", urls.safe_link(raw).alias("link"))
 
 
@@ -288,6 +288,31 @@ def s10_post_rows(spark, sf_dir):
 # --- functions and rules ----------------------------------------------------------------------------
 
 
+NARROW = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in NARROW)
+
+
+@query("f2_folded_fingerprint", "select p_partkey, sha256(lower(p_name)) as fingerprint from part")
+def f2_folded_fingerprint(spark, sf_dir):
+    """Full-width letters and digits have the fingerprint of the plain ones."""
+    wide = F.translate("p_name", NARROW, WIDE)
+    return table(spark, sf_dir, "part").select("p_partkey", F.sha2(text.fingerprint_part(wide), 256).alias("fingerprint"))
+
+
+@query("f3_folded_identity", r"select p_partkey, case when p_partkey % 2 = 0 then '' else '106' end || 'town' || regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') as identity from part")
+def f3_folded_identity(spark, sf_dir):
+    """Full-width text folds; a postal code goes only before a place that is listed."""
+    place = F.when(F.col("p_partkey") % 2 == 0, "106Town ").otherwise("106 Town ")
+    wide = F.translate(F.concat(place, "p_brand"), NARROW, WIDE)
+    return table(spark, sf_dir, "part").select("p_partkey", text.identity_text(wide, ("town",)).alias("identity"))
+
+
+@query("f4_folded_search_text", "select p_partkey, lower(p_name || ' ' || p_brand) as search_text from part")
+def f4_folded_search_text(spark, sf_dir):
+    wide = F.translate("p_name", NARROW, WIDE)
+    return table(spark, sf_dir, "part").select("p_partkey", text.search_text(wide, F.lit(""), F.col("p_brand")).alias("search_text"))
+
+
 @query("f30_valid_date", "select o_orderkey, case o_orderkey % 3 when 0 then cast(o_orderdate as date) end as day from orders")
 def f30_valid_date(spark, sf_dir):
     k = F.col("o_orderkey") % 3
@@ -317,8 +342,8 @@ def f42_anchor(spark, sf_dir):
 )
 def t4_merge_unions(spark, sf_dir):
     """Text, truncation and the union of lists when records merge."""
-    text = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat("event_type", F.col("event_id").cast("string")))
-    df = table(spark, sf_dir, "events").select("user_id", "event_id", text.alias("text"), (F.col("event_id") % 2 == 0).alias("cut"), F.array("event_type").alias("kinds"))
+    said = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat("event_type", F.col("event_id").cast("string")))
+    df = table(spark, sf_dir, "events").select("user_id", "event_id", said.alias("text"), (F.col("event_id") % 2 == 0).alias("cut"), F.array("event_type").alias("kinds"))
     out = collect.merge_stable(df, ["user_id"], "event_id", [], [], "text", "cut", ["kinds"], [])
     return out.select("user_id", "text", "cut", F.array_join("kinds", ",").alias("kinds"))
 

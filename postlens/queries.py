@@ -116,16 +116,14 @@ def j5_latest_of_batch_keys(spark, sf_dir):
     return history.latest_of_batches(df, days, "user_id", "day", "valid", "event_id", "event_id").select("user_id", "event_id")
 
 
-@query("o1_latest_all", LATEST + " select user_id, event_id, row_number() over (order by valid desc nulls last, event_id desc) as place from l qualify place <= 100")
+@query("o1_latest_all", LATEST + " select user_id, event_id, row_number() over (order by valid desc nulls last, event_id desc) as place from l")
 def o1_latest_all(spark, sf_dir):
-    rows = history.latest_by_key(observations(spark, sf_dir), "user_id", "valid", "event_id", "event_id")
-    top = search.top_n(rows, history.latest_order("valid", "event_id", "event_id"), 100)
-    return top.withColumn("place", big(F.row_number().over(Window.orderBy(*history.latest_order("valid", "event_id", "event_id"))))).select("user_id", "event_id", "place")
+    return o1_latest_places(spark, sf_dir)
 
 
 @query("o1_latest_places", LATEST + " select user_id, event_id, row_number() over (order by valid desc nulls last, event_id desc) as place from l")
 def o1_latest_places(spark, sf_dir):
-    """o1_latest_all without its limit: every key's latest row with its place."""
+    """Every key's latest row with its place."""
     rows = history.latest_by_key(observations(spark, sf_dir), "user_id", "valid", "event_id", "event_id")
     return search.places(rows, history.latest_order("valid", "event_id", "event_id")).select("user_id", "event_id", "place")
 
@@ -198,10 +196,11 @@ def f19_classify_link(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.classify_link(F.col("url"), {"example.org": "messenger", "example.com": "site"}).alias("kind"))
 
 
-@query("f21_group_source", rf"""select page_id, case when {PAGE_PATH} ~ '^/en/[^/]+.*' then regexp_extract({PAGE_PATH}, '^/en/([^/]+)', 1) end as name from pages where {PAGE_HOST} like '%.example.com'""")
+@query("f21_group_source", rf"""select page_id, case when {PAGE_HOST} like '%.example.com' and {PAGE_PATH} ~ '^/en/[^/]+.*' then regexp_extract({PAGE_PATH}, '^/en/([^/]+)', 1) end as name from pages""")
 def f21_group_source(spark, sf_dir):
     g = urls.group_source(F.col("url"), SITE, "en")
-    return table(spark, sf_dir, "pages").where(urls.of_family(urls.host(F.col("url")), "example.com")).select("page_id", F.coalesce(g["id"], g["slug"]).alias("name"))
+    own = urls.of_family(urls.host(F.col("url")), "example.com")
+    return table(spark, sf_dir, "pages").select("page_id", F.when(own, F.coalesce(g["id"], g["slug"])).alias("name"))
 
 
 @query("f22_post_id", rf"select page_id, nullif(regexp_extract({PAGE_PATH}, '/[a-z]+/([0-9]+)', 1), '') as post_id from pages")
@@ -280,9 +279,9 @@ def f52_preview(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.preview_text(F.col("text")).alias("preview"))
 
 
-@query("f51_page_title", r"""select page_id, nullif(trim(regexp_replace(trim(coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), '')), '^\(\d+\+?\)\s*', '')), '') as title from pages where html like '%<title>%'""")
+@query("f51_page_title", r"""select page_id, nullif(trim(regexp_replace(trim(coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), '')), '^\(\d+\+?\)\s*', '')), '') as title from pages""")
 def f51_page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.col("html").contains("<title>")).select("page_id", text.page_title(F.col("html")).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", text.page_title(F.col("html")).alias("title"))
 
 
 @query("f4_search_text", "select p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_type) as search_text from part")
@@ -353,10 +352,10 @@ def f34_normalize_count(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", values.normalize_count(shown).alias("n"))
 
 
-@query("f37_metric_from_text", "select event_id, cast(floor(value) as bigint) as n from events where event_type = 'view'")
+@query("f37_metric_from_text", "select event_id, cast(floor(value) as bigint) as n from events")
 def f37_metric_from_text(spark, sf_dir):
     shown = F.concat(F.lit("All reactions: "), F.floor("value").cast("string"), F.lit(" Like"))
-    return table(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", values.metric_from_text(shown, [r"(\d+) comments", r"reactions: (\d[\d,.]*)"]).alias("n"))
+    return table(spark, sf_dir, "events").select("event_id", values.metric_from_text(shown, [r"(\d+) comments", r"reactions: (\d[\d,.]*)"]).alias("n"))
 
 
 def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -591,15 +590,14 @@ def f36_score(spark, sf_dir):
     return listing_rows(spark, sf_dir).select("id", F.round(score_column(), 4).alias("score"))
 
 
-@query("o3_query_order", LISTED + f" select id, place from (select id, row_number() over (order by {SCORE} desc, {ORDER}) as place from r) where place <= 200")
+@query("o3_query_order", LISTED + f" select id, row_number() over (order by {SCORE} desc, {ORDER}) as place from r")
 def o3_query_order(spark, sf_dir):
-    top = search.top_n(listing_rows(spark, sf_dir).withColumn("score", score_column()), search.row_order(), 200)
-    return top.select("id", big(F.row_number().over(Window.orderBy(*search.row_order()))).alias("place"))
+    return o3_query_places(spark, sf_dir)
 
 
 @query("o3_query_places", LISTED + f" select id, row_number() over (order by {SCORE} desc, {ORDER}) as place from r")
 def o3_query_places(spark, sf_dir):
-    """o3_query_order without its limit."""
+    """Every row with its place in the order of a query."""
     return search.places(listing_rows(spark, sf_dir).withColumn("score", score_column()), search.row_order()).select("id", "place")
 
 
@@ -613,27 +611,27 @@ def g8_group_variants(spark, sf_dir):
 
 
 def _browse(name: str, direction: str):
-    @query(name, LISTED + f" select id, place from (select id, row_number() over (order by fee {direction} nulls last, {ORDER}) as place from r) where place <= 300")
+    @query(name, LISTED + f" select id, row_number() over (order by fee {direction} nulls last, {ORDER}) as place from r")
     def run(spark, sf_dir):
         order = search.browse_order(F.col("fee"), direction == "desc", search.row_order()[1:])
-        return search.top_n(listing_rows(spark, sf_dir), order, 300).select("id", big(F.row_number().over(Window.orderBy(*order))).alias("place"))
+        return search.places(listing_rows(spark, sf_dir), order).select("id", "place")
 
 
 _browse("o5_browse_fee_asc", "asc")
 _browse("o5_browse_fee_desc", "desc")
 
 
-@query("o6_date_class_order", LISTED + " select id, place from (select id, row_number() over (order by case when id % 5 = 0 then 0 when date is not null then 1 else 2 end, coalesce(date, case when id % 5 = 0 then '1,3' end) desc nulls last, id) as place from r) where place <= 300")
+@query("o6_date_class_order", LISTED + " select id, row_number() over (order by case when id % 5 = 0 then 0 when date is not null then 1 else 2 end, coalesce(date, case when id % 5 = 0 then '1,3' end) desc nulls last, id) as place from r")
 def o6_date_class_order(spark, sf_dir):
     df = listing_rows(spark, sf_dir).withColumn("weekdays", F.when(F.col("id") % 5 == 0, F.array(F.lit(1), F.lit(3))))
     order = search.date_class_order(F.col("date"), F.col("weekdays"), True, F.col("id"))
-    return search.top_n(df, order, 300).select("id", big(F.row_number().over(Window.orderBy(*order))).alias("place"))
+    return search.places(df, order).select("id", "place")
 
 
-@query("o7_default_time_order", LISTED + " select id, place from (select id, row_number() over (order by case when date is not null then 0 else 2 end, coalesce(date, ''), coalesce(start_time, '99:99'), id) as place from r) where place <= 300")
+@query("o7_default_time_order", LISTED + " select id, row_number() over (order by case when date is not null then 0 else 2 end, coalesce(date, ''), coalesce(start_time, '99:99'), id) as place from r")
 def o7_default_time_order(spark, sf_dir):
     order = search.default_time_order(F.col("date"), F.lit(None).cast("array<int>"), F.col("start_time"), F.lit(None).cast("string"), F.lit(0), F.col("id"))
-    return search.top_n(listing_rows(spark, sf_dir), order, 300).select("id", big(F.row_number().over(Window.orderBy(*order))).alias("place"))
+    return search.places(listing_rows(spark, sf_dir), order).select("id", "place")
 
 
 def _browse_places(name: str, direction: str):
@@ -685,7 +683,7 @@ def p20_without_authors(spark, sf_dir):
 # --- listings, duplicates, publication ------------------------------------------------------------
 
 EVENT_ROWS = """with r as (select l_orderkey * 10 + l_linenumber as id, l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as ord, l_orderkey as source, 'p' || l_partkey % 50 || '|' || strftime(l_shipdate, '%Y-%m') as key,
-  l_suppkey as org, case when l_linenumber % 4 = 0 then '' else cast(cast(floor(l_quantity) as integer) as varchar) end as content from lineitem where l_linenumber < 6)"""
+  l_suppkey as org, case when l_linenumber % 4 = 0 then '' else cast(cast(floor(l_quantity) as integer) as varchar) end as content from lineitem)"""
 
 
 def event_rows(spark, sf_dir):
@@ -708,16 +706,12 @@ def _judged(rows):
   select ord, case when l < ord then 'duplicate' when ord > f0 then 'possible_duplicate' when open_ = 1 then 'possible_duplicate' else 'unique' end as status, case when l < ord then l end as duplicate_of,
   case when l < ord then 0 when ord > f0 then n_before when open_ = 1 then n_all - 1 else 0 end as n_candidates, case when l < ord then case when fs = l then 'same_source_post' when fo = l then 'same_organizer' else 'same_source_content' end end as reason from o""")
 def w6_dedupe_events(spark, sf_dir):
-    return _judged(event_rows(spark, sf_dir).where("l_linenumber < 6"))
+    return _judged(event_rows(spark, sf_dir))
 
 
-@query("w6_dedupe_all_events", EVENT_ROWS.replace(" where l_linenumber < 6", "") + """, m as (select *, min(ord) over (partition by key, source) as fs, min(ord) over (partition by key, org) as fo, case when content <> '' then min(ord) over (partition by key, content) end as ft, min(ord) over (partition by key) as f0 from r),
-  s as (select *, least(fs, fo, coalesce(ft, fs)) as l from m), o as (select *, max(case when l >= ord and ord > f0 then 1 else 0 end) over (partition by key) as open_, count(*) over (partition by key order by ord) - 1 as n_before, count(*) over (partition by key) as n_all from s)
-  select ord, case when l < ord then 'duplicate' when ord > f0 then 'possible_duplicate' when open_ = 1 then 'possible_duplicate' else 'unique' end as status, case when l < ord then l end as duplicate_of,
-  case when l < ord then 0 when ord > f0 then n_before when open_ = 1 then n_all - 1 else 0 end as n_candidates, case when l < ord then case when fs = l then 'same_source_post' when fo = l then 'same_organizer' else 'same_source_content' end end as reason from o""")
+@query("w6_dedupe_all_events", ORACLES["w6_dedupe_events"])
 def w6_dedupe_all_events(spark, sf_dir):
-    """w6_dedupe_events over every line."""
-    return _judged(event_rows(spark, sf_dir))
+    return w6_dedupe_events(spark, sf_dir)
 
 
 @query("p13_listings", "select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1 as listing_index, l_partkey from lineitem where l_orderkey % 3 > 0")
@@ -756,9 +750,9 @@ def p19_can_refresh(spark, sf_dir):
     return publish.can_refresh(a, b, "o_orderkey", ["x", "o_orderstatus"])
 
 
-@query("p12_split_by_type", "select case when p_type in ('ECONOMY') or p_type is null then 'main' else p_type end as part, count(*) as n from part where p_type in ('ECONOMY', 'SMALL', 'LARGE') group by 1")
+@query("p12_split_by_type", "select case when p_type in ('ECONOMY') or p_type is null then 'main' else p_type end as part, count(*) as n from part group by 1")
 def p12_split_by_type(spark, sf_dir):
-    parts = publish.split_by_type(table(spark, sf_dir, "part"), "p_type", "ECONOMY", ("SMALL", "LARGE"))
+    parts = publish.split_by_type(table(spark, sf_dir, "part"), "p_type", "ECONOMY", ("SMALL", "LARGE", "STANDARD", "PROMO", "MEDIUM"))
     out = None
     for name, df in parts.items():
         n = df.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(name).alias("part"), "n")
@@ -974,11 +968,11 @@ def r7_quotes(spark, sf_dir):
     return df.select("doc_id", ((F.length("text") > 0) & ~wrong).alias("ok"))
 
 
-@query("r14_quality_warnings", "select l_orderkey, l_linenumber, l_partkey, case when l_linenumber % 5 = 0 then 'missing_price,' || l_returnflag when l_linenumber % 5 = 1 then 'missing_price' else l_returnflag end as warnings from lineitem where l_linenumber % 5 < 3")
+@query("r14_quality_warnings", "select l_orderkey, l_linenumber, l_partkey, case when l_linenumber % 5 = 0 then 'missing_price,' || l_returnflag when l_linenumber % 5 = 1 then 'missing_price' else l_returnflag end as warnings from lineitem")
 def r14_quality_warnings(spark, sf_dir):
     n = F.col("l_linenumber") % 5
     w = rules.quality_warnings(F.when(n == 0, F.array(F.lit("missing_price"))), F.when(n != 1, F.array("l_returnflag")), {"missing_price": n < 2})
-    return table(spark, sf_dir, "lineitem").where(n < 3).select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(w, ",").alias("warnings"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array_join(w, ",").alias("warnings"))
 
 
 @query("r14_all_quality_warnings", "select l_orderkey, l_linenumber, l_partkey, case when l_linenumber % 5 = 0 then 'missing_price,' || l_returnflag when l_linenumber % 5 = 1 then 'missing_price' else l_returnflag end as warnings from lineitem")
