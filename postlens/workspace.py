@@ -41,11 +41,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_staged(spark: SparkSession, since: int = 0) -> None:
-    """Remove the tables staged since a mark (``len_staged``), once nothing that was made of them will be read again."""
-    for path in _STAGED[since:]:
+def drop_staged(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
+    """Remove the tables staged since a mark (``len_staged``), but for the last ones, once nothing that was made of them will be read again."""
+    end = len(_STAGED) - keep_last
+    for path in _STAGED[since:end]:
         drop_path(spark, path)
-    del _STAGED[since:]
+    del _STAGED[since:end]
 
 
 def len_staged() -> int:
