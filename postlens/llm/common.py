@@ -3,31 +3,18 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlens import workspace
 from postlens.shipping import ship as ship
 
 MASK64 = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in spark.checkpoint.dir.
-
-    A folder of our own is taken only where the setting is absent (single-machine tests).
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="postlens-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that the driver no longer holds."""
     gc.collect()
@@ -40,11 +27,9 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Shuffle files of earlier passes, which nothing can ask for any more, are then given up: Spark
     removes them when the driver's garbage collector finds their plans unused.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = workspace.stage(df, label)
+    release(df.sparkSession)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -7,8 +7,10 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import pytest
 from fixtures import prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from postlens import workspace
 from postlens.llm.queries import ORACLES, QUERIES
 
 
@@ -45,6 +47,42 @@ def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() == 43
 
 
+def test_odd_documents_pass(spark, tables, tmp_path):
+    """Nulls in every column, repeated rows and ids, a very long text, ties, and columns named like the operators' own."""
+    long = prose(300, 30000)
+    rows = [(None, prose(301, 50), None, None, None), (1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (4, prose(302, 40), "en", "s", 1), (5, prose(302, 40), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = ("score", "predicted", "class_id", "n_links", "shift", "probability", "key")
+    for c in clash:
+        docs = docs.withColumn(c, F.lit("clash"))
+    columns = docs.columns
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, tables)
+        assert docs.columns == columns, name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    got = docs.collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == [-1, 1, 1, 2, 3, 3, 4] and all(r.score == "clash" for r in got)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, tables).collect()
+    assert len(last) == 7 and all((r.n_tokens == 0) == (r.doc_id in (1, 2)) for r in last)
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    base = tmp_path / "none"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{base}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(base)).count() == 0
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 5")
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        docs = f(spark, docs, str(base))
+    assert docs.count() == 5
+
+
+def test_run_leaves_one_table_in_the_shared_folder(spark, tables):
+    mark = workspace.len_staged()
+    out = corpus_pipeline.run(spark, tables)
+    assert workspace.len_staged() == mark + 1 and out.count() == 43
+
+
 def test_registration():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(ORACLES) <= set(QUERIES)
     assert list(corpus_pipeline.QUERIES) == ["pipeline"] and len(corpus_pipeline.STAGES) == 5
