@@ -110,6 +110,23 @@ def time_label(date: Column, weekdays: Column, start: Column, end: Column, offse
     return F.coalesce(F.nullif(F.concat_ws(" ", day, span), F.lit("")), F.lit("time not given"))
 
 
+def duration_label(minutes: Column, unknown: str = "not given") -> Column:
+    """Hours with up to two decimals."""
+    hours = F.regexp_replace(F.regexp_replace(F.round(minutes.cast("decimal(10,4)") / 60, 2).cast("decimal(10,2)").cast("string"), r"0+$", ""), r"\.$", "")
+    return F.coalesce(F.concat(hours, F.lit(" HR")), F.lit(unknown))
+
+
+def hourly_label(rate: Column) -> Column:
+    """A rate an hour, grouped and with up to two decimals; empty where it is unknown."""
+    shown = F.regexp_replace(F.regexp_replace(F.format_number(rate, 2), r"0+$", ""), r"\.$", "")
+    return F.coalesce(F.concat(shown, F.lit("/hr")), F.lit(""))
+
+
+def capacity_label(courts: Column, capacity: Column, unknown: str = "not given") -> Column:
+    named = lambda n, unit: F.coalesce(F.concat(n.cast("string"), F.lit(f" {unit}")), F.lit(unknown))
+    return F.concat(F.lit("courts: "), named(courts, "courts"), F.lit("; people: "), named(capacity, "people"))
+
+
 def venue_identity(address: Column, city: Column, district: Column, name: Column) -> Column:
     """By address, else by city, district and name; null if neither is known. Arguments are normalised texts."""
     return F.when(address != "", F.concat(F.lit("address:"), address)).when(name != "", F.concat(F.lit("name:"), F.concat_ws(":", F.coalesce(city, F.lit("")), F.coalesce(district, F.lit("")), name)))

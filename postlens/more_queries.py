@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.functions import ids, text, urls, values
-from postlens.operators import collect, history, joins, release, rules, search, tasks
+from postlens.operators import collect, history, joins, publish, release, rules, search, tasks
 from postlens.plans import predicates
 from postlens.queries import LATEST, LISTED, TASKS, big, listing_rows, observations, query, table, task_rows
+from postlens.sources import cards as cards_source
 from postlens.sources import csvio, envelopes, releases
 from postlens.workspace import fresh
 
@@ -288,6 +289,51 @@ def s10_post_rows(spark, sf_dir):
 # --- functions and rules ----------------------------------------------------------------------------
 
 
+@query(
+    "f10_labels",
+    """select o_orderkey, case when o_orderkey % 5 = 0 then 'not given' else rtrim(rtrim(cast(cast(round(cast(o_orderkey % 300 + 30 as decimal(10,4)) / 60, 2) as decimal(10,2)) as varchar), '0'), '.') || ' HR' end as duration,
+       'courts: ' || case when o_orderkey % 2 = 0 then (o_orderkey % 7) || ' courts' else 'not given' end || '; people: ' || case when o_orderkey % 3 = 0 then (o_orderkey % 40) || ' people' else 'not given' end as capacity,
+       case when o_orderkey % 4 = 0 then '' else format('{:,}', o_orderkey) || '.5/hr' end as rate from orders""",
+)
+def f10_labels(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", values.duration_label(F.when(k % 5 > 0, k % 300 + 30)).alias("duration"), values.capacity_label(F.when(k % 2 == 0, k % 7), F.when(k % 3 == 0, k % 40)).alias("capacity"),
+        values.hourly_label(F.when(k % 4 > 0, k + 0.5)).alias("rate"),
+    )
+
+
+@query(
+    "g2_publication_report",
+    """with r as (select cast(ts as date) as day, user_id, value > 10 as a, event_type = 'purchase' as p, case when event_type = 'error' then 'duplicate' else 'unique' end as s, case when event_id % 9 = 0 then 'camp' when event_id % 10 = 0 then 'class' end as t, event_id % 3 as c from events)
+       select count(distinct day) as batches, count(distinct user_id) as posts, count(distinct case when a then user_id end) as analysed, count(distinct case when p then user_id end) as recruitment, count(*) filter (where t is null) as listings,
+       count(*) filter (where t is null and s = 'duplicate') as duplicates, 0 as possible_duplicates, count(*) as total_records, count(*) filter (where t = 'camp') as table_camp, count(*) filter (where t = 'class') as table_class,
+       count(distinct case when a and not p then user_id end) as non_recruitment, count(distinct case when not coalesce(a, false) then user_id end) as unanalysed, count(*) filter (where t is null and c = 0) as direct, count(*) filter (where t is null and c > 0) as unavailable from r""",
+)
+def g2_publication_report(spark, sf_dir):
+    n = F.col("event_id")
+    df = table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("day"), "user_id", (F.col("value") > 10).alias("a"), (F.col("event_type") == "purchase").alias("r"), F.when(F.col("event_type") == "error", "duplicate").otherwise("unique").alias("s"),
+        F.when(n % 9 == 0, "camp").when(n % 10 == 0, "class").alias("t"), (n % 3).alias("c"),
+    )
+    return publish.publication_stats(df, "day", "user_id", "a", "r", "s", {"direct": "c = 0", "unavailable": "c > 0"}, ("t", ["camp", "class"]))
+
+
+@query(
+    "p23_card_identity",
+    """select o_orderkey, case when o_orderkey % 2 = 0 then 'https://s.test/groups/1/posts/' || o_orderkey || '/' end as post_url, case when o_orderkey % 2 = 0 then cast(o_orderkey as varchar) end as post_id, case when o_orderkey % 3 = 0 then true end as is_pinned,
+       '3h' as published_time_raw, (o_orderkey % 50) || 'K' as likes_raw, o_orderkey % 50 * 1000 as likes, case when o_orderkey % 4 > 0 then cast(o_orderkey as varchar) end as comments_raw, case when o_orderkey % 4 > 0 then o_orderkey end as comments from orders""",
+)
+def p23_card_identity(spark, sf_dir):
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    links = F.when(k % 2 == 0, F.array(F.lit("https://s.test/u/ann"), F.concat(F.lit("https://s.test/groups/1/posts/"), n, F.lit("/")))).otherwise(F.array(F.lit("https://s.test/u/bob")))
+    said = F.concat_ws(" · ", F.when(k % 3 == 0, F.lit("Pinned post")), F.lit("3h ago"), F.concat((k % 50).cast("string"), F.lit("K likes")), F.when(k % 4 > 0, F.concat(n, F.lit(" comments"))))
+    cards = table(spark, sf_dir, "orders").select("o_orderkey", links.alias("links"), said.alias("text"))
+    out = cards_source.card_identity(cards, r"/posts/(\d+)", ["pinned post"], r"(\d+[hd]) ago", {"likes": r"([\d.,]+ ?[KkMm]?) likes", "comments": r"([\d.,]+) comments"})
+    return out.select("o_orderkey", "post_url", "post_id", "is_pinned", "published_time_raw", "likes_raw", "likes", "comments_raw", "comments")
+
+
 NARROW = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 WIDE = "".join(chr(ord(c) + 0xFEE0) for c in NARROW)
 

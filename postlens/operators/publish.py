@@ -45,12 +45,26 @@ def warning_histogram(df: DataFrame, warnings: str) -> DataFrame:
     return df.select(F.explode(warnings).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
-def publication_stats(df: DataFrame, batch: str, post: str, analysed: str, recruitment: str, status: str) -> DataFrame:
-    """One row of counts over listings with their posts."""
+def publication_stats(df: DataFrame, batch: str, post: str, analysed: str, recruitment: str, status: str, contact: dict[str, str] | None = None, types: tuple[str, list[str]] | None = None) -> DataFrame:
+    """One row of counts over listings with their posts.
+
+    contact: output name to (a condition, as SQL) of each kind of contactability; types: the type column and the types that
+    have tables of their own, whose rows are counted by type and not as listings.
+    """
+    more = []
+    own = F.lit(True)
+    if types:
+        type_, names = types
+        own = ~F.coalesce(F.col(type_).isin(*names), F.lit(False))
+        more += [F.count("*").alias("total_records"), *[F.count_if(F.col(type_) == t).alias(f"table_{t}") for t in names]]
+    known, is_, not_ = F.coalesce(F.col(analysed), F.lit(False)), F.col(recruitment), ~F.col(recruitment)
+    distinct = lambda c: F.count_distinct(F.when(c, F.col(post)))
+    if contact:
+        more += [distinct(known & not_).alias("non_recruitment"), distinct(~known).alias("unanalysed"), *[F.count_if(own & F.expr(c)).alias(name) for name, c in contact.items()]]
     return df.agg(
-        F.count_distinct(batch).alias("batches"), F.count_distinct(post).alias("posts"), F.count_distinct(F.when(F.col(analysed), F.col(post))).alias("analysed"),
-        F.count_distinct(F.when(F.col(recruitment), F.col(post))).alias("recruitment"), F.count("*").alias("listings"),
-        F.count_if(F.col(status) == "duplicate").alias("duplicates"), F.count_if(F.col(status) == "possible_duplicate").alias("possible_duplicates"),
+        F.count_distinct(batch).alias("batches"), F.count_distinct(post).alias("posts"), distinct(F.col(analysed)).alias("analysed"),
+        distinct(is_).alias("recruitment"), F.count_if(own).alias("listings"),
+        F.count_if(own & (F.col(status) == "duplicate")).alias("duplicates"), F.count_if(own & (F.col(status) == "possible_duplicate")).alias("possible_duplicates"), *more,
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.text import contains_any
+from postlens.functions.values import normalize_count
 from postlens.functions.urls import host, of_family
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -75,6 +76,18 @@ def classify(text: Column, label: Column, excluded: list[str], ignored: list[str
     return F.when(contains_any(label, ignored), "ignored").when(contains_any(text, excluded), "excluded").when(evidence, "supported").otherwise("unknown")
 
 
+def card_identity(cards: DataFrame, post: str, pinned: list[str], displayed: str, metrics: dict[str, str]) -> DataFrame:
+    """Adds post_url and post_id (of the first link whose path has one), is_pinned (null if unknown), the displayed time, and each metric's raw text and count.
+
+    post, displayed and the metrics are patterns with one group.
+    """
+    found = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    link = F.get(F.filter("links", lambda u: u.rlike(post)), 0)
+    raw = {f"{name}_raw": found(F.col("text"), p) for name, p in metrics.items()}
+    counts = {name: normalize_count(c) for name, c in zip(metrics, raw.values())}
+    return cards.withColumns({"post_url": link, "post_id": found(link, post), "is_pinned": F.when(contains_any(F.col("text"), pinned), True), "published_time_raw": found(F.col("text"), displayed), **raw, **counts})
+
+
 def parse_card(cards: DataFrame, anonymous: str, more: list[str]) -> DataFrame:
     """Adds author fields, truncated (null if unknown) and media to cards."""
     author = F.nullif(F.split_part("label", F.lit("|"), F.lit(1)), F.lit(""))
