@@ -24,6 +24,9 @@ lose one and what is kept is compared by digest in a join. Every pass reads the
 cheaper than moving suffixes: nothing with a row per byte is ever written. Minima are pre-aggregated
 in each task, so a passage that a third of all documents hold is one row per task.
 
+The document that keeps the earliest copy loses nothing, but shares what the others lose: ``n_passages`` counts the
+stretches of PASSAGE bytes or more (some forty words) that 50-byte strings of any other document cover, earlier or later.
+
 Defined results: a null or empty text, or one under 50 bytes, keeps all; very long texts are read in
 pieces that overlap, with the same result; rows that share a doc_id do not remove each other's
 bytes; a row with a null doc_id neither loses bytes nor removes others'; an empty table gives an
@@ -46,6 +49,7 @@ from postlens.llm.common import Bitmap, bitmap, mix64, release, stage
 LENGTH = 50
 GRAM = 24
 SIDE = (LENGTH - GRAM) // 2
+PASSAGE = 250
 PIECE = 1 << 18
 LOW = np.uint64((1 << 28) - 1)
 PICK = np.uint64(0xD1342543DE82EF95)
@@ -212,7 +216,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (binary, the bytes that stay), n_bytes, n_removed, removed (array of start, end in bytes)."""
+    """doc_id, kept (binary, the bytes that stay), n_bytes, n_removed, removed (array of start, end in bytes), n_passages."""
     keyed = docs.select("doc_id", F.xxhash64("doc_id").alias("doc_hash"), F.xxhash64("text").alias("text_hash"), "text")
     used = keyed.where("doc_id is not null")
 
@@ -236,6 +240,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     earliest = bitmap(first.select(F.col("d").bitwiseXOR(F.xxhash64("first")).alias("key")))
     varied = bitmap(first.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("key")))
     several = bitmap(first.where("first < last").select(F.col("d").bitwiseXOR(F.col("gram")).alias("key")))
+    shared = stage(first.where("first < last").select("gram", "d", "first"), "suffix-shared")
     first.unpersist()
 
     def settled(r: Runs, doc_hash: np.ndarray):
@@ -269,7 +274,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             r = Runs(pieces)
             d, gone, windows = settled(r, np.array(hashes, dtype=np.int64).view(np.uint64)[row])
             gram = r.hash(r.anchor, GRAM)
-            whole = np.flatnonzero(~gone & ~windows & several.value.has(d.view(np.uint64) ^ gram))
+            whole = np.flatnonzero(~gone & several.value.has(d.view(np.uint64) ^ gram))
             one, run = windows_of(r, np.flatnonzero(~gone & windows))
             some = repeats.value.has(r.hash(one, LENGTH))
             one, run = one[some], run[some]
@@ -282,9 +287,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield batch_of(names, [gram[run], digest, np.array(ids, dtype=np.int64)[own], np.array(texts, dtype=np.int64)[own], start * 64 + n])
 
     units = stage(used.mapInArrow(open_units, table(names)), "suffix-units")
-    least = stage(units.groupBy("gram", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "suffix-least")
+    repeated = units.groupBy("gram", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    least = stage(repeated.unionByName(shared).groupBy("gram", "d").agg(F.min("first").alias("first")), "suffix-least")
     release(docs.sparkSession)
-    later = units.join(least, ["gram", "d"]).where("first < doc_id").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("later"))
+    own = lambda c: F.collect_set(F.when(c, F.col("place")))
+    later = units.join(least, ["gram", "d"]).groupBy("doc_id", "text_hash").agg(own(F.col("first") < F.col("doc_id")).alias("later"), own(F.col("first") == F.col("doc_id")).alias("held"))
 
     def apply(batches):
         for batch in batches:
@@ -299,8 +306,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 ends.append(at + runs.count[gone] + LENGTH - 1)
             row, start, end = np.concatenate(rows), np.concatenate(starts), np.concatenate(ends)
             part = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            kept, size, removed = [], [], []
-            later_of = batch.column("later").to_pylist()
+            kept, size, removed, passages = [], [], [], []
+            later_of, held_of = batch.column("later").to_pylist(), batch.column("held").to_pylist()
             for r, text in enumerate(texts_of(batch)):
                 text = text or b""
                 size.append(len(text))
@@ -309,36 +316,44 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     own = np.array(later_of[r] or (), dtype=np.int64)
                     x = np.concatenate([start[part[r] : part[r + 1]], own // 64])
                     y = np.concatenate([end[part[r] : part[r + 1]], own // 64 + own % 64 + LENGTH - 1])
+                    first = np.array(held_of[r] or (), dtype=np.int64)
+                    c, d = merged(np.concatenate([x, first // 64]), np.concatenate([y, first // 64 + first % 64 + LENGTH - 1]))
+                passages.append(int((d - c >= PASSAGE).sum()) if ids[r] is not None else 0)
                 a, b = merged(x, y)
                 edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(text)]
                 kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2])))
                 removed.append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, kind)], names=["doc_id", "kept", "n_bytes", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, kind), pa.array(passages, pa.int64())], names=["doc_id", "kept", "n_bytes", "removed", "n_passages"])
 
-    out = keyed.join(later, ["doc_id", "text_hash"], "left").mapInArrow(apply, "doc_id long, kept binary, n_bytes long, removed array<struct<start: long, end: long>>")
+    out = keyed.join(later, ["doc_id", "text_hash"], "left").mapInArrow(apply, "doc_id long, kept binary, n_bytes long, removed array<struct<start: long, end: long>>, n_passages long")
     return out.withColumn("n_removed", F.col("n_bytes") - F.octet_length("kept").cast("long"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     out = remove_repeats(docs)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passages")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
-    """The definition itself, for tests: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """The definition itself, for tests: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages."""
     texts = [(i, (t or "").encode()) for i, t in rows]
-    first: dict[bytes, int] = {}
+    holders: dict[bytes, set[int]] = {}
     for i, t in texts:
         for p in range(len(t) - LENGTH + 1) if i is not None else ():
-            w = t[p : p + LENGTH]
-            first[w] = min(first.get(w, i), i)
+            holders.setdefault(t[p : p + LENGTH], set()).add(i)
+
+    def runs(covered: np.ndarray) -> np.ndarray:
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(int), [0]])))
+        return edge[1::2] - edge[::2]
+
     out = []
     for i, t in texts:
-        gone = np.zeros(len(t), dtype=bool)
+        gone, shared = np.zeros(len(t), dtype=bool), np.zeros(len(t), dtype=bool)
         for p in range(len(t) - LENGTH + 1) if i is not None else ():
-            if first[t[p : p + LENGTH]] < i:
-                gone[p : p + LENGTH] = True
+            own = holders[t[p : p + LENGTH]]
+            gone[p : p + LENGTH] |= min(own) < i
+            shared[p : p + LENGTH] |= len(own) > 1
         kept = bytes(b for b, g in zip(t, gone) if not g)
-        out.append((i, len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(t), int(gone.sum()), len(runs(gone)), hashlib.sha256(kept).hexdigest(), int((runs(shared) >= PASSAGE).sum())))
     return out

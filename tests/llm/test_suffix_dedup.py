@@ -26,8 +26,9 @@ def test_odd_rows(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_random_overlaps(spark, seed):
+def test_random_overlaps(spark, seed, monkeypatch):
     """Passages cut, shifted and spliced at random, periodic texts and texts of around 50 bytes."""
+    monkeypatch.setattr(suffix_dedup, "PASSAGE", 90)
     rng = random.Random(seed)
     pool = [prose(100 + i, 60) for i in range(5)] + ["ab" * 200, "x" * 300]
     rows = []
@@ -64,3 +65,12 @@ def test_empty_texts_between(spark):
     """Runs are credited to the right document when several empty and null texts lie before, between and after full ones."""
     text = prose(7, 40)
     check(spark, [(1, ""), (2, None), (3, text), (4, ""), (5, ""), (6, None), (7, text[:90] + " " + prose(8, 20)), (8, ""), (9, prose(9, 30)), (10, None), (11, text), (12, "")])
+
+
+def test_passages_of_the_first_holder(spark):
+    """The first of three copies in different surroundings loses nothing, and all three hold the passage; a short common stretch is none."""
+    p, short = prose(20, 60), prose(21, 14)[:80]
+    rows = [(1, prose(22, 30) + " " + p + " " + prose(23, 10)), (2, p), (3, prose(24, 5) + " " + p), (4, prose(25, 40) + short), (5, short + prose(26, 40)), (None, p)]
+    check(spark, rows)
+    got = {r.doc_id: (r.n_passages, r.n_removed > 0) for r in suffix_dedup.digest(frame(spark, [(i, t, "", "", 0) for i, t in rows])).collect()}
+    assert got == {1: (1, False), 2: (1, True), 3: (1, True), 4: (0, False), 5: (0, True), None: (0, False)}
