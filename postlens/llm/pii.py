@@ -297,8 +297,8 @@ def find(docs: DataFrame, sure: float = 0.9) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns. n_email, n_ip, n_card and n_phone count the base spans, n_added the others."""
+    """The contract's columns. n_email, n_ip, n_card and n_phone count the base spans, n_added the others, n_spans all."""
     said = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     out = find(docs)
-    return out.select("doc_id", *[number(k) for k in KINDS], F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("every").alias("spans"), (F.size("every") - F.size("base")).cast("long").alias("n_added"))
+    return out.select("doc_id", *[number(k) for k in KINDS], F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("every").alias("spans"), (F.size("every") - F.size("base")).cast("long").alias("n_added"), F.size("every").cast("long").alias("n_spans"))

@@ -8,7 +8,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from fixtures import frame
+from fixtures import frame, prose
 
 from postlens.llm import decontaminate
 
@@ -51,3 +51,15 @@ def test_overlaps_of_every_length(spark):
     wanted = every_diagonal(docs, items)
     assert len({d for d, *_ in wanted}) > 300
     assert {(r.doc_id, r.item_id, r.start_word, r.end_word, r.best) for r in out.collect()} == wanted
+
+
+def test_long_repeated_and_clashing(spark):
+    """An item in the middle of a very long text is found; repeated rows report once; columns of other meaning do no harm."""
+    item = prose(80, 30)
+    text = prose(81, 40000) + " " + item + " " + prose(82, 20000)
+    docs = frame(spark, [(1, text, "", "", 0), (1, text, "", "", 0), (2, prose(83, 50), "", "", 0)])
+    for c in ("item_id", "h", "pos", "w", "found", "shift"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = [tuple(r)[:4] for r in decontaminate.overlaps(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()]
+    assert got == [(1, 7, 40000, 40030)]
+    assert [r.doc_id for r in decontaminate.clean(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [2]

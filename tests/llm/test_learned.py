@@ -141,6 +141,17 @@ def test_pii(spark):
     assert pii.digest(empty(spark)).count() == 0
 
 
+def test_ties_long_and_repeated_texts(spark):
+    """Spans that start together go in the order of kinds; a long text is read to its end; repeated rows are alike."""
+    long = "word " * 60000 + "1.2.3.4@x.example.com"
+    rows = [(1, "1.2.3.4@x.example.com", "", "", 0), (2, long, "", "", 0), (2, long, "", "", 0)]
+    out = pii.digest(frame(spark, rows).withColumn("spans", F.lit("clash")).withColumn("n_spans", F.lit("clash"))).collect()
+    at = len(long) - 21
+    assert next(r for r in out if r.doc_id == 1).spans == "email:0:21,ip:0:7"
+    assert [(r.spans, r.n_email, r.n_ip) for r in out if r.doc_id == 2] == [(f"email:{at}:{at + 21},ip:{at}:{at + 7}", 1, 1)] * 2
+    assert all(r.n_spans == 2 + r.n_added for r in out)
+
+
 def test_propagation_pulls_repeated_tokens_together():
     """A repeated token takes the label of its observed twin, through the fitted skip potential; a similar one nearly so."""
     pair = lambda kind, label: 4 ** (5 * pii.EDGES.index(kind) + label)
