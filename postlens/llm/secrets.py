@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import stage
+from postlens.llm.common import slices, stage
 
 #: Words that name credentials.
 CREDENTIAL = frozenset("token secret key apikey password passwd pwd auth bearer credential credentials private access signature".split())
@@ -233,7 +233,7 @@ def findings(docs: DataFrame, given: DataFrame | None = None) -> DataFrame:
     schema = "doc_id long, start long, end long, label long, h long, own array<double>, length long, words array<string>, beside array<string>"
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r, a, b, label, zlib.crc32(t[a:b].encode("utf-8", "surrogatepass")), f.own, f.length, f.words, f.beside) for r, t in enumerate(batch.column("text").to_pylist()) for a, b, f, label in candidates(t)]
             col = lambda i, kind: pa.array([x[i] for x in rows], kind)
             numbers, texts = pa.list_(pa.float64()), pa.list_(pa.string())
@@ -311,7 +311,7 @@ def scan(docs: DataFrame, forest: Forest | None, p: Params = Params()) -> DataFr
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(r, *found) for r, t in enumerate(batch.column("text").to_pylist()) for found in judge(t, sent.value)]
             at = pa.array([r[0] for r in rows], pa.int64())
             prob = [r[3] for r in rows]
@@ -326,7 +326,7 @@ def redact(docs: DataFrame, forest: Forest | None, p: Params = Params()) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for r, t in enumerate(texts):
                 parts, done = [], 0
