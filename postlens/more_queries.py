@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.functions import ids, text, urls, values
-from postlens.operators import collect, history, joins, publish, release, rules, search, tasks
+from postlens.operators import collect, history, joins, publish, quality, release, rules, search, tasks
 from postlens.plans import predicates
 from postlens.queries import LATEST, LISTED, TASKS, big, listing_rows, observations, query, table, task_rows
 from postlens.sources import cards as cards_source
@@ -433,3 +433,30 @@ def r_schedule_rules(spark, sf_dir):
         ("", "tournament"): rules.bad_tournament(late, F.when(F.col("l_quantity") > 40, early), F.lit(None).cast("string")),
     }
     return rules.violations(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], broken).drop("path")
+
+
+@query(
+    "j12_sample_problems",
+    """select 'unknown' as problem, cast(doc_id + 1000000000 as varchar) as id from labels where doc_id % 31 = 0 union all select 'duplicate', cast(doc_id as varchar) from labels where doc_id % 31 = 1
+       union all select 'duplicate sample', cast(doc_id as varchar) from documents where doc_id % 37 = 0""",
+)
+def j12_sample_problems(spark, sf_dir):
+    gold = table(spark, sf_dir, "documents").select("doc_id")
+    said = table(spark, sf_dir, "labels").select(F.when(F.col("doc_id") % 31 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("doc_id"), "quality")
+    return quality.sample_problems(gold.unionByName(gold.where("doc_id % 37 = 0")), said.unionByName(said.where("doc_id < 1000000000 and doc_id % 31 = 1")), "doc_id")
+
+
+@query(
+    "r7_evidence",
+    """select l_orderkey, l_linenumber, l_partkey, l_suppkey % 3 = 1 as bad_quote, (l_suppkey % 4 > 0 and not (l_partkey % 2 = 0)) or (l_linenumber % 2 = 1) as no_evidence from lineitem""",
+)
+def r7_evidence(spark, sf_dir):
+    """Quotes that are not verbatim, and filled facts that nothing is quoted for; derived facts need none."""
+    text = F.concat(F.lit("at venue "), F.col("l_suppkey").cast("string"), F.lit(" for 20"))
+    quote = F.when(F.col("l_suppkey") % 3 == 1, "Venue").otherwise("venue")
+    of = lambda field, c: F.when(c, F.struct(F.lit(field).alias("field"), quote.alias("quote")))
+    evidence = F.array_compact(F.array(of("other", F.lit(True)), of("venue", F.col("l_partkey") % 2 == 0), of("fee", F.col("l_linenumber") % 2 == 0)))
+    facts = {"venue": F.when(F.col("l_suppkey") % 4 == 1, "hall").when(F.col("l_suppkey") % 4 > 1, "court").otherwise("unknown"), "fee": F.lit(20), "weekday": F.lit("3")}
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", rules.unsupported_quotes(text, evidence).alias("bad_quote"), rules.missing_evidence(facts, evidence, ("weekday",)).alias("no_evidence"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.operators.joins import check_joined, duplicates, join_by_id
+
 
 def field_accuracy(both: DataFrame, fields: list[str], expected: str = "expected_", actual: str = "actual_") -> DataFrame:
     """field, correct, total and accuracy (null where nothing was expected), null-safe."""
@@ -33,6 +35,16 @@ def sample_status(gold: DataFrame, predicted: DataFrame, id_: str, reviewed: str
     return both.select(id_, status.alias("status"))
 
 
+def sample_problems(gold: DataFrame, predicted: DataFrame, id_: str) -> DataFrame:
+    """problem and id of what makes an evaluation invalid: predictions for unknown samples, and ids that occur twice on either side.
+
+    A sample without a prediction is no problem but a case of its own (sample_status).
+    """
+    found = check_joined(join_by_id(gold, predicted, id_), id_, allow_partial=True)
+    twice = duplicates(gold, id_).select(F.lit("duplicate sample").alias("problem"), F.col(id_).cast("string").alias("id"))
+    return found.unionByName(twice)
+
+
 def gate(samples: DataFrame, required: list[str], categories: str = "categories", reviewed: str = "reviewed", status: str = "status", least: int = 30) -> DataFrame:
     """One row: enough reviewed samples, all categories covered, all passed, and all three."""
     own = samples.where(F.col(reviewed))

@@ -921,7 +921,11 @@ def s17_cards(spark, sf_dir):
     return cards_source.cards_from_pages(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("n_cards"))
 
 
-@query("p15_classify_cards")
+@query(
+    "p15_classify_cards",
+    r"""select page_id, 0 as position, case when contains(lower(t), 'sponsored') then 'excluded' when t <> '' then 'supported' else 'unknown' end as kind, 0 as n_media, case when t <> '' then contains(lower(t), 'see more') end as content_is_truncated
+        from (select page_id, trim(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<[^>]*>', '', 'g')) as t from pages where html like '%<article%')""",
+)
 def p15_classify_cards(spark, sf_dir):
     c = cards_source.parse_card(cards_source.cards_from_pages(table(spark, sf_dir, "pages")), "Anonymous", ["see more"])
     kind = cards_source.classify(F.col("text"), F.coalesce("label", F.lit("")), ["sponsored"], ["comment"], F.size("links") + F.length("text") > 0)
