@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlens.llm.common import tidied
+
 NONE = np.int64(1) << np.int64(62)
 #: Up to this width pre-tokens are merged side by side; longer ones have a tree of their own.
 SIDE_BY_SIDE = 256
@@ -273,12 +275,13 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         import regex
 
         table, find = merger(ranks_path), regex.compile(pattern).findall
-        for batch in _slices(batches, "text"):
+        for batch in _slices(batches, "text", 1 << 18):
             ids = table.encode([find(t) if t else [] for t in batch.column("text").to_pylist()])
             back = [b"".join(map(table.token.__getitem__, np.frombuffer(x, dtype="<u4").tolist())) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(back, pa.binary())], names=["doc_id", "ids", "n_tokens", "decoded"])
+        table.cache = {}
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, decoded binary")
+    return df.select("doc_id", "text").mapInArrow(tidied(run), "doc_id long, ids binary, n_tokens long, decoded binary")
 
 
 def digest(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

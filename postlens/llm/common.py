@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,26 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers for later stages, which need it."""
+    _HASHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run):
+    """A task's function over batches that tidies up after the last one."""
+
+    def whole(batches):
+        yield from run(batches)
+        tidy()
+
+    return whole
+
+
 def crc_bucket(col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))

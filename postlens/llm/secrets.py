@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import slices, stage
+from postlens.llm.common import slices, stage, tidied
 
 #: Words that name credentials.
 CREDENTIAL = frozenset("token secret key apikey password passwd pwd auth bearer credential credentials private access signature".split())
@@ -239,7 +239,7 @@ def findings(docs: DataFrame, given: DataFrame | None = None) -> DataFrame:
             numbers, texts = pa.list_(pa.float64()), pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(col(0, pa.int64())), *[col(i, pa.int64()) for i in range(1, 5)], col(5, numbers), col(6, pa.int64()), col(7, texts), col(8, texts)], names=["doc_id", "start", "end", "label", "h", "own", "length", "words", "beside"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), schema)
     if given is not None:
         said = given.groupBy("doc_id", "start", "end").agg(F.max("label").cast("long").alias("label"))
         out = out.drop("label").join(said, ["doc_id", "start", "end"], "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))
@@ -338,5 +338,5 @@ def redact(docs: DataFrame, forest: Forest | None, p: Params = Params()) -> Data
                     texts[r] = "".join([*parts, t[done:]])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    out = docs.mapInArrow(run, T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]))
+    out = docs.mapInArrow(tidied(run), T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

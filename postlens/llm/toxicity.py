@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import crc_bucket, hash_words, mix64
+from postlens.llm.common import crc_bucket, hash_words, mix64, tidied
 
 BITS = 20
 WORD = re.compile(r"\w+")
@@ -159,8 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), holdout: tup
             m = fit(examples, labels_, p)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1)), pa.array(np.append(m.weight, m.bias))], names=["index", "weight"])
 
-    rows = training_rows(docs, labels, p, holdout).mapInPandas(features, "doc_id long, toxic int, idx binary")
-    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx").mapInArrow(fit_sample, "index long, weight double").toPandas()
+    rows = training_rows(docs, labels, p, holdout).mapInPandas(tidied(features), "doc_id long, toxic int, idx binary")
+    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx").mapInArrow(tidied(fit_sample), "index long, weight double").toPandas()
     if not len(fitted):
         return Model()
     bias = float(fitted.loc[fitted["index"] < 0, "weight"].iloc[0])
@@ -190,4 +190,4 @@ def score(df: DataFrame, model: Model) -> DataFrame:
                 p = np.where(total < -700, 0.0, 1.0 / (1.0 + np.exp(-np.clip(total, -700, 700))))
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
