@@ -241,7 +241,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     varied = bitmap(first.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("key")))
     several = bitmap(first.where("first < last").select(F.col("d").bitwiseXOR(F.col("gram")).alias("key")))
     shared = stage(first.where("first < last").select("gram", "d", "first"), "suffix-shared")
-    first.unpersist()
+    # the kept table and the shuffle below it are not needed any more: their disk is, for the windows
+    first.unpersist(blocking=True)
+    del held, first
+    release(docs.sparkSession)
 
     def settled(r: Runs, doc_hash: np.ndarray):
         """Digests of the runs, which of them an earlier document surely holds, and which need windows."""
@@ -265,7 +268,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     counted = used.select("doc_hash", "text").mapInArrow(open_windows, table(["key", "n"])).groupBy("key").agg(F.sum("n").alias("n"))
     repeats = bitmap(counted.where("n > 1").select("key"))
-    del held, first, counted
+    del counted
+    release(docs.sparkSession)
 
     names = ["gram", "d", "doc_id", "text_hash", "place"]  # place: start * 64 + number of windows
 
