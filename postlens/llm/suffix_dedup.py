@@ -293,6 +293,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     units = stage(used.mapInArrow(open_units, table(names)), "suffix-units")
     repeated = units.groupBy("gram", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     least = stage(repeated.unionByName(shared).groupBy("gram", "d").agg(F.min("first").alias("first")), "suffix-least")
+    del repeated  # so that Spark may drop its shuffle
     release(docs.sparkSession)
     own = lambda c: F.collect_set(F.when(c, F.col("place")))
     later = units.join(least, ["gram", "d"]).groupBy("doc_id", "text_hash").agg(own(F.col("first") < F.col("doc_id")).alias("later"), own(F.col("first") == F.col("doc_id")).alias("held"))
