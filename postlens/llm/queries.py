@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, pii, secrets, suffix_dedup, toxicity
+from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, periodic, pii, secrets, suffix_dedup, toxicity
 from postlens.llm.common import crc_bucket, documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,20 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate secret in every whole text, with the forest's verdict."""
     docs = documents(spark, sf_dir)
     return secrets.scan(docs, secrets.train(docs))
+
+
+def _planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's change of a tenth of the documents; one without an id stays as it is."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+@query("op13_periodic")
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every whole text, of which a tenth is made periodic first."""
+    return periodic.digest(documents(spark, sf_dir), rewrite=_planted)
