@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, periodic, pii, secrets, suffix_dedup, toxicity
+from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, periodic, pii, secrets, suffix_dedup, token_files, toxicity
 from postlens.llm.common import crc_bucket, documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,11 @@ def _planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every whole text, of which a tenth is made periodic first."""
     return periodic.digest(documents(spark, sf_dir), rewrite=_planted)
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, written to flat files with 64-bit offsets and read back from them."""
+    import public_tokenizers as vocabularies
+
+    return token_files.digest(documents(spark, sf_dir), vocabularies.path("word_bpe_49k.json"), end_id=1)
