@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm import bpe, chosen_path, decontaminate, hamming, langid, line_dedup, periodic, pii, secrets, suffix_dedup, token_files, toxicity
+from postlens.llm import alignment, bpe, chosen_path, decontaminate, hamming, langid, line_dedup, periodic, pii, secrets, suffix_dedup, token_files, toxicity
 from postlens.llm.common import crc_bucket, documents, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,11 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
     return token_files.digest(documents(spark, sf_dir), vocabularies.path("word_bpe_49k.json"), end_id=1)
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers make of every whole text."""
+    import public_tokenizers as vocabularies
+
+    return alignment.align(documents(spark, sf_dir), vocabularies.path("byte_bpe_50k.json"), vocabularies.path("piece_bpe_32k.model"))
