@@ -24,13 +24,12 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import crc_bucket, hash_words, mix64, tidied
+from postlens.llm.common import crc_bucket, hash_words, mix64, slices, tidied
 
 BITS = 20
 WORD = re.compile(r"\w+")
@@ -76,6 +75,13 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), (np.concatenate(keys) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def text_slices(batch: pa.RecordBatch, most: int = 1 << 20):
+    """A batch cut so that each slice has about so many bytes of text; a longer text is a slice by itself."""
+    step = max(1, int(batch.num_rows * most / max(batch.column("text").nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def fit_ftrl(examples: list[np.ndarray], labels: list[int], p: Params) -> Model:
     """FTRL-proximal with one rate per coordinate; the last coordinate is the bias."""
     n_dim = (1 << BITS) + 1
@@ -135,31 +141,34 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params, holdout: tuple[
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(crc_bucket("doc_id", mod) != out)
     each = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_rows)  # that bounds the broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), holdout: tuple[int, int] = (5, 0)) -> Model:
     def features(batches):
-        for pdf in batches:
-            row, idx = grams(pdf["text"].tolist())
-            pair = np.unique(row * (1 << BITS) + idx)
-            cut = np.searchsorted(pair >> BITS, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "idx": [(pair[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]})
+        for batch in batches:
+            for part in text_slices(batch):
+                row, idx = grams(part.column("text").to_pylist())
+                pair = np.unique(row * (1 << BITS) + idx)
+                cut = np.searchsorted(pair >> BITS, np.arange(part.num_rows + 1))
+                blobs = [(pair[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(blobs, pa.binary())], names=["doc_id", "toxic", "idx"])
 
     def fit_sample(batches):
         # the sample alone, as one array of indices per document: the batches it came in are let go
         ids, labels_, examples = [], [], []
         for batch in batches:
-            for doc, y, idx in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "toxic", "idx")]):
-                if not ids or ids[-1] != doc:
-                    ids.append(doc)
-                    labels_.append(y)
-                    examples.append(np.frombuffer(idx, dtype=np.int32))
+            for part in slices([batch]):
+                for doc, y, idx in zip(*[part.column(c).to_pylist() for c in ("doc_id", "toxic", "idx")]):
+                    if not ids or ids[-1] != doc:
+                        ids.append(doc)
+                        labels_.append(y)
+                        examples.append(np.frombuffer(idx, dtype=np.int32))
         if ids:
             m = fit(examples, labels_, p)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(m.index, -1)), pa.array(np.append(m.weight, m.bias))], names=["index", "weight"])
 
-    rows = training_rows(docs, labels, p, holdout).mapInPandas(tidied(features), "doc_id long, toxic int, idx binary")
+    rows = training_rows(docs, labels, p, holdout).mapInArrow(tidied(features), "doc_id long, toxic int, idx binary")
     fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "idx").mapInArrow(tidied(fit_sample), "index long, weight double").toPandas()
     if not len(fitted):
         return Model()
@@ -180,9 +189,7 @@ def score(df: DataFrame, model: Model) -> DataFrame:
         dense = np.zeros(1 << BITS)
         dense[index] = weight
         for batch in batches:
-            step = max(1, int(batch.num_rows * (1 << 20) / max(batch.column("text").nbytes, 1)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in text_slices(batch):
                 row, idx = grams(part.column("text").to_pylist())
                 used = dense[idx] != 0
                 pair = np.unique(row[used] * (1 << BITS) + idx[used])
