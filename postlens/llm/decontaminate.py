@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 from postlens.llm.common import stage
 
-#: The masks of the SQL, which miss some placements of substituted words.
-MASKS = ("11011011", "1110010101")
 WINDOW = 13
 SHARE = 0.8
 #: By window and tolerated substitutions: masks of which some placement avoids the substituted words, wherever they are.
@@ -124,21 +122,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(sized(found, found.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
-def _oracle() -> str:
-    split = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-
-    def seed(table: str, key: str, pos: str) -> str:
-        parts = []
-        for m, mask in enumerate(MASKS):
-            key_of = " || ' ' || ".join(f"w[i + {j}]" for j, c in enumerate(mask) if c == "1")
-            parts.append(f"select {key}, i - 1 as {pos}, '{m}:' || {key_of} as h from (select {key}, w, unnest(range(1, len(w) - {len(mask)} + 2)) as i from {table})")
-        return " union all ".join(parts)
-
-    return f"""
-with d as (select doc_id, {split} as w from documents where text is not null),
-b as (select item_id, {split} as w from benchmark where text is not null),
-ds as ({seed('d', 'doc_id', 'pos')}), bs as ({seed('b', 'item_id', 'item_pos')}),
-g as (select distinct doc_id, item_id, pos - item_pos as shift from ds join bs using (h)),
+#: No masks: every alignment of a document and an item on which enough words agree, then every window of it.
+ORACLE = rf"""
+with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') as w from documents where text is not null and doc_id is not null),
+b as (select item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') as w from benchmark where text is not null and item_id is not null),
+dw as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from d), bw as (select item_id, least({WINDOW}, len(w)) as need, unnest(w) as word, generate_subscripts(w, 1) as pos from b),
+g as (select doc_id, item_id, dw.pos - bw.pos as shift from dw join bw using (word) group by all having count(*) >= ceil(any_value(need) * {SHARE})),
 a as (select g.doc_id, g.item_id, d.w as w, b.w as item, greatest(shift, 0) as low, least(shift + len(b.w), len(d.w)) as high, shift, least({WINDOW}, len(b.w)) as need
       from g join d using (doc_id) join b using (item_id)),
 e as (select doc_id, item_id, low, need, list_transform(range(low, high), lambda p: case when w[p + 1] = item[p - shift + 1] then 1 else 0 end) as eq from a),
@@ -147,6 +136,3 @@ n as (select doc_id, item_id, low + i as spot, need, list_sum(eq[i + 1 : i + nee
 select doc_id, item_id, cast(min(spot) as bigint) as start_word, cast(max(spot + need) as bigint) as end_word, cast(max(n) as bigint) as best
 from n where n >= ceil(need * {SHARE}) group by doc_id, item_id
 """
-
-
-ORACLE = _oracle()

@@ -3,10 +3,9 @@
 Every text is cut at its separators; a unit is normalised (lower case, runs of blanks as one,
 trimmed) and digested. Digests are grouped over the whole table; the occurrences in the document
 with the smallest doc_id stay and later ones go, and so does a repeat within one text after its
-first. Units of fewer than ``min_words`` words after normalisation always stay, as short lines
-recur without being copied; a word is a run without blanks, and every character of a script that
-is written without blanks counts as one. ``n_shared`` is the number of distinct units, long enough, that another
-document holds too, so that it also marks the document whose occurrence stays.
+first. Blank units always stay. ``min_words`` may spare short units too (by default none is spared): a word is a run
+without blanks, and every character of a script that is written without blanks counts as one. ``n_shared`` is the number
+of distinct units, long enough, that another document holds too, so that it also marks the document whose occurrence stays.
 
 The minimum per digest is pre-aggregated by each task and staged, only for digests of several
 documents; the units then join that table, one row per digest, so a very common line is split
@@ -32,7 +31,7 @@ from pyspark.sql import types as T
 from postlens.llm.common import stage
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-MIN_WORDS = 15
+MIN_WORDS = 1
 BLANKS = re.compile(r"[ \t\r\f]+")
 #: Characters of scripts that are written without blanks: kana and Han.
 DENSE = "[\u3040-\u30ff\u3400-\u9fff]"

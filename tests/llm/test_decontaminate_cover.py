@@ -9,6 +9,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 
 from fixtures import frame, prose
+from pyspark.sql import functions as F
+from test_native import rows, sql
 
 from postlens.llm import decontaminate
 
@@ -51,6 +53,9 @@ def test_overlaps_of_every_length(spark):
     wanted = every_diagonal(docs, items)
     assert len({d for d, *_ in wanted}) > 300
     assert {(r.doc_id, r.item_id, r.start_word, r.end_word, r.best) for r in out.collect()} == wanted
+    # the SQL has no masks either
+    documents = frame(spark, [(d, t, "", "", 0) for d, t in docs])
+    assert rows(out) == sql(decontaminate.ORACLE, documents=documents, benchmark=spark.createDataFrame(items, "item_id long, text string"))
 
 
 def test_long_repeated_and_clashing(spark):
