@@ -696,7 +696,7 @@ def event_rows(spark, sf_dir):
     )
 
 
-def _judged(rows):
+def _judged_events(rows):
     out = dedupe.judge_events(rows, "ord", "ord", "key", "source", "organisers", "content")
     return out.select("ord", "status", "duplicate_of", "n_candidates", F.when(F.col("status") == "duplicate", F.get("reasons", 2)).alias("reason"))
 
@@ -706,7 +706,7 @@ def _judged(rows):
   select ord, case when l < ord then 'duplicate' when ord > f0 then 'possible_duplicate' when open_ = 1 then 'possible_duplicate' else 'unique' end as status, case when l < ord then l end as duplicate_of,
   case when l < ord then 0 when ord > f0 then n_before when open_ = 1 then n_all - 1 else 0 end as n_candidates, case when l < ord then case when fs = l then 'same_source_post' when fo = l then 'same_organizer' else 'same_source_content' end end as reason from o""")
 def w6_dedupe_events(spark, sf_dir):
-    return _judged(event_rows(spark, sf_dir))
+    return _judged_events(event_rows(spark, sf_dir))
 
 
 @query("w6_dedupe_all_events", ORACLES["w6_dedupe_events"])
