@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import postlens.more_queries  # noqa: F401  adds to the registry
+import postlens.state_queries  # noqa: F401
 from postlens.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
