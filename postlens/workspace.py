@@ -26,11 +26,11 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df into the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write df into the shared folder and read it back: cuts the lineage, survives lost executors. codec: a Parquet compression other than the session's."""
     spark = df.sparkSession
     path = fresh(spark, f"staged/{label}")
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
