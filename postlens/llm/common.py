@@ -23,13 +23,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write df into the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Shuffle files of earlier passes, which nothing can ask for any more, are then given up: Spark
     removes them when the driver's garbage collector finds their plans unused.
     """
-    out = workspace.stage(df, label)
+    out = workspace.stage(df, label, codec)
     release(df.sparkSession)
     return out
 

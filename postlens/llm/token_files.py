@@ -110,7 +110,7 @@ def write(df: DataFrame, out: str, tokenizer_path: str, end_id: int = 1, text_co
     """Encodes every text and writes ``out``/ids and ``out``/index. Gives ``out``."""
     spark = df.sparkSession
     width = encoder(tokenizer_path).dtype.itemsize
-    staged = stage(encode(df, tokenizer_path, text_col), "token-ids")
+    staged = stage(encode(df, tokenizer_path, text_col), "token-ids", "zstd")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     total = staged.agg(F.sum("n")).first()[0] or 0
     files = file_count(total, spark.sparkContext.defaultParallelism)
