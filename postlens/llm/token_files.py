@@ -36,7 +36,9 @@ from postlens.workspace import fresh
 #: A document in the index: ids before it, its id (0 if null), and whether the id is known.
 RECORD = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("known", "<u8")])
 #: Words whose ids a Python worker keeps, none longer than so many characters.
-CACHED, CACHED_CHARS = 200_000, 48
+CACHED, CACHED_CHARS = 500_000, 24
+#: What stands between new words that the library encodes together, and how many these are.
+MARK, TOGETHER = "\x01", 500
 #: About so many ids a file, but for a longer document.
 FEWEST, MOST = 1 << 20, 1 << 26
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -54,8 +56,24 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.cache: dict[str, bytes] = {}
 
+    def _new(self, words: list[str]) -> list[bytes]:
+        """The ids of words that have no mark in them, many in one text with the mark between them, which is a token of its own there."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cuts = (np.flatnonzero(ids == self.mark) * self.dtype.itemsize).tolist()
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            parts = [raw[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(raw)])]
+            out += parts if len(parts) == len(some) else self._alone(some)
+        return out
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes."""
         if len(self.cache) > CACHED:
@@ -64,9 +82,11 @@ class WordEncoder:
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.cache
         known[""] = b""
-        new = [w for w in set().union(*words) if w not in known]
-        ids = [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        known.update(zip(new, ids))
+        new = list(set().union(*words).difference(known.keys()))
+        odd = [w for w in new if MARK in w]
+        plain = [w for w in new if MARK not in w] if odd else new
+        known.update(zip(plain, self._new(plain)))
+        known.update(zip(odd, self._alone(odd)))
         out = [b"".join(map(known.__getitem__, ws)) for ws in words]
         for w in new:
             if len(w) > CACHED_CHARS:
