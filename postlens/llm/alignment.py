@@ -41,7 +41,9 @@ FAN = 8
 #: Rows of the table of linked pairs that are broadcast at most.
 SENT = 4_000_000
 SALTS = 16
-CACHED, CACHED_CHARS = 200_000, 48
+CACHED, CACHED_CHARS = 200_000, 24
+#: New units that are encoded in one text.
+TOGETHER = 300
 _PAIRS: dict[tuple[str, str], "TwoTokenizers"] = {}
 
 
@@ -75,9 +77,9 @@ class TwoTokenizers:
         self.unit = regex.compile(r"(?<=[^\s\u180e])(?= )") if self.parted else None
         self.cache: dict[str, tuple[list[int], list[int], bool]] = {}
 
-    def _new(self, units: list[str]) -> None:
-        """Encodes units, each of which begins with a blank, which B adds by itself."""
-        a = self.a.encode_batch(units, add_special_tokens=False)
+    def _alone(self, units: list[str]) -> None:
+        """Encodes units one by one. Each begins with a blank, which B adds by itself."""
+        a = self.a.encode_batch_fast(units, add_special_tokens=False)
         b = self.b.encode([u[1:] for u in units], num_threads=1)
         for u, x, y in zip(units, a, b):
             y = y if len(u) > 1 else [self.b.piece_to_id("▁")]  # the library adds no blank to an empty text
@@ -85,13 +87,36 @@ class TwoTokenizers:
             same = b"".join([self.a_bytes[i] for i in x.ids]) == raw == b"".join([self.b_bytes[i] for i in y])
             self.cache[u] = (x.ids, y, same)
 
+    def _new(self, units: list[str]) -> None:
+        """Encodes new units, many in one text, if all their tokens' bytes are the text and every unit ends with a token on both sides; else alone."""
+        odd = [u for u in units if u[-1].isspace() or not self.parted]
+        self._alone(odd)
+        plain = [u for u in units if not u[-1].isspace()] if self.parted else []
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            text = "".join(some)
+            raw = text.encode("utf-8", "surrogatepass")
+            a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in some])
+            if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+                self._alone(some)
+                continue
+            a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            a_cut, b_cut = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+            if (a_ends[a_cut] != ends).any() or (b_ends[b_cut] != ends).any():
+                self._alone(some)
+                continue
+            a_cut, b_cut = [0, *(a_cut + 1).tolist()], [0, *(b_cut + 1).tolist()]
+            for k, u in enumerate(some):
+                self.cache[u] = (a[a_cut[k] : a_cut[k + 1]], b[b_cut[k] : b_cut[k + 1]], True)
+
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and of B of a blank and each text; both empty where their bytes are not those."""
         if len(self.cache) > CACHED:
             self.cache = {}
         cut = (lambda t: self.unit.split(" " + t)) if self.parted else (lambda t: [" " + t])
         units = [cut(t) if t else [] for t in texts]
-        new = [u for u in set().union(*units) if u not in self.cache]
+        new = list(set().union(*units).difference(self.cache.keys()))
         self._new(new)
         out, none = [], np.zeros(0, dtype=np.int64)
         for us in units:
