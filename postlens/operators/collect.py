@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postlens.operators.components import components
@@ -25,9 +25,12 @@ def clusters(df: DataFrame, batch: str, order: str, keys: list[str]) -> DataFram
 
 
 def first_fingerprints(df: DataFrame, batch: str, order: str, fingerprint: str, keyed: str) -> DataFrame:
-    """Of records without an id or URL, the first of each fingerprint in its batch; keyed records all stay."""
-    w = Window.partitionBy(batch, fingerprint, F.col(keyed)).orderBy(order)
-    return df.withColumn("_nth", F.row_number().over(w)).where(F.col(keyed) | (F.col("_nth") == 1)).drop("_nth")
+    """Of records without an id or URL, the first of each fingerprint in its batch; keyed records all stay. Orders are distinct in a batch."""
+    # minima are aggregated by tasks first; the order in the join's key parts the rows of a fingerprint that very many share
+    first = df.where(~F.coalesce(F.col(keyed), F.lit(False))).groupBy(batch, fingerprint).agg(F.min(order).alias(order))
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (batch, fingerprint, order)]
+    others = df.where(~F.coalesce(F.col(keyed), F.lit(False))).alias("d").join(first.alias("f"), on, "left_semi")
+    return df.where(F.coalesce(F.col(keyed), F.lit(False))).unionByName(others)
 
 
 def merge_stable(df: DataFrame, by: list[str], order: str, fill: list[str], last: list[str], text: str, truncated: str, unions: list[str], latest: list[str]) -> DataFrame:

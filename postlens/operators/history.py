@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.operators.scan import scan
+
 MOST = 10_000
 
 
@@ -47,15 +49,15 @@ def lookup(df: DataFrame, id_: str, value) -> DataFrame:
 
 
 def ordinal(df: DataFrame, group: str, id_: str) -> DataFrame:
-    """0-based position of each row in its import."""
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy(group).orderBy(id_)) - 1)
+    """0-based position of each row in its import, of any size."""
+    return scan(df, [group], [id_]).withColumn("ordinal", F.col("nth") - 1).drop("nth", "n_key")
 
 
 def versions(df: DataFrame, key: str, order: list[str], watched: dict[str, str]) -> DataFrame:
     """A version number per key, and for every watched column a flag (watched: flag name to column) of change since the version before."""
-    w = Window.partitionBy(key).orderBy(*order)
-    flags = {flag: F.when(F.lag(F.lit(1)).over(w).isNotNull(), ~F.col(c).eqNullSafe(F.lag(c).over(w))).otherwise(False) for flag, c in watched.items()}
-    return df.withColumns({"version": F.row_number().over(w), **flags})
+    seen = scan(df, [key], order, carry=list(dict.fromkeys(watched.values())))
+    flags = {flag: F.when(F.col("before").isNotNull(), ~F.col(c).eqNullSafe(F.col("before")[c])).otherwise(False) for flag, c in watched.items()}
+    return seen.withColumns({"version": F.col("nth"), **flags}).drop("nth", "n_key", "before")
 
 
 def observation_view(df: DataFrame, valid: str, kind: str, truncated: str) -> DataFrame:

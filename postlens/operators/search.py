@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.operators.scan import scan
 from postlens.plans.predicates import Fields, compile_where, include_flags, validate
 from postlens.workspace import stage
 
@@ -108,9 +109,9 @@ def grouped_order(date: Column, weekdays: Column, field_: str, value: Column, de
 
 
 def group_headings(df: DataFrame, group: str, order: list[Column], id_: str) -> DataFrame:
-    """Adds n_group (rows of the group) and is_heading (first row of its group in the order)."""
-    w = Window.partitionBy(group)
-    return df.withColumns({"n_group": F.count("*").over(w), "is_heading": F.row_number().over(w.orderBy(*order)) == 1})
+    """Adds n_group (rows of the group) and is_heading (first row of its group in the order). A group may be of any size."""
+    seen = scan(df, [group], [*order, id_])
+    return seen.withColumns({"n_group": F.col("n_key"), "is_heading": F.col("nth") == 1}).drop("nth", "n_key")
 
 
 def selection(df: DataFrame, wanted: list, id_: str, text: str, source: str, most_rows: int = 50, most_chars: int = 100_000) -> DataFrame:
