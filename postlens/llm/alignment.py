@@ -75,7 +75,7 @@ class TwoTokenizers:
         self.a_size = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
         self.unit = regex.compile(r"(?<=[^\s\u180e])(?= )") if self.parted else None
-        self.cache: dict[str, tuple[list[int], list[int], bool]] = {}
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {}  # ids of both sides; None where their bytes are not the unit
 
     def _alone(self, units: list[str]) -> None:
         """Encodes units one by one. Each begins with a blank, which B adds by itself."""
@@ -85,7 +85,7 @@ class TwoTokenizers:
             y = y if len(u) > 1 else [self.b.piece_to_id("▁")]  # the library adds no blank to an empty text
             raw = u.encode("utf-8", "surrogatepass")
             same = b"".join([self.a_bytes[i] for i in x.ids]) == raw == b"".join([self.b_bytes[i] for i in y])
-            self.cache[u] = (x.ids, y, same)
+            self.cache[u] = (_ids(x.ids), _ids(y)) if same else None
 
     def _new(self, units: list[str]) -> None:
         """Encodes new units, many in one text, if all their tokens' bytes are the text and every unit ends with a token on both sides; else alone."""
@@ -106,9 +106,9 @@ class TwoTokenizers:
             if (a_ends[a_cut] != ends).any() or (b_ends[b_cut] != ends).any():
                 self._alone(some)
                 continue
-            a_cut, b_cut = [0, *(a_cut + 1).tolist()], [0, *(b_cut + 1).tolist()]
-            for k, u in enumerate(some):
-                self.cache[u] = (a[a_cut[k] : a_cut[k + 1]], b[b_cut[k] : b_cut[k + 1]], True)
+            a_cut, b_cut = [0, *(4 * (a_cut + 1)).tolist()], [0, *(4 * (b_cut + 1)).tolist()]
+            a_raw, b_raw = _ids(a), _ids(b)
+            self.cache.update(zip(some, zip([a_raw[x:y] for x, y in zip(a_cut, a_cut[1:])], [b_raw[x:y] for x, y in zip(b_cut, b_cut[1:])])))
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and of B of a blank and each text; both empty where their bytes are not those."""
@@ -116,21 +116,23 @@ class TwoTokenizers:
             self.cache = {}
         cut = (lambda t: self.unit.split(" " + t)) if self.parted else (lambda t: [" " + t])
         units = [cut(t) if t else [] for t in texts]
-        new = list(set().union(*units).difference(self.cache.keys()))
+        new = list(set().union(*units).difference(self.cache))
         self._new(new)
-        out, none = [], np.zeros(0, dtype=np.int64)
+        out = []
         for us in units:
             got = [self.cache[u] for u in us]
-            if not all(g[2] for g in got):
-                got = []
-            a, b = [i for g in got for i in g[0]], [i for g in got for i in g[1]]
-            out.append((np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)) if got else (none, none))
+            sides = zip(*got) if got and None not in got else ((), ())
+            out.append(tuple(np.frombuffer(b"".join(x), dtype="<u4").astype(np.int64) for x in sides))
         for u in new:
             if len(u) > CACHED_CHARS:
                 del self.cache[u]
         return out
 
 
+def _ids(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
 def _byte_letters() -> dict[str, int]:
     """The letter of each byte in a byte-level vocabulary: printable ones stand for themselves, the others follow from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

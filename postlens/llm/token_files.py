@@ -39,6 +39,8 @@ RECORD = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("known", "<u8")])
 CACHED, CACHED_CHARS = 500_000, 24
 #: What stands between new words that the library encodes together, and how many these are.
 MARK, TOGETHER = "\x01", 500
+#: What ends the last token of every word, and punctuation behind a word's letters that is a word of its own.
+END, TAIL = "</w>", ".,;:!?"
 #: About so many ids a file, but for a longer document.
 FEWEST, MOST = 1 << 20, 1 << 26
 _ENCODERS: dict[str, "WordEncoder"] = {}
@@ -57,20 +59,55 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(END)
         self.cache: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        """The ids of words that have no mark in them, many in one text with the mark between them, which is a token of its own there."""
+    def _together(self, words: list[str], between: str, letters: bool) -> list[bytes]:
+        """The ids of words, many in one text. Words of letters end at the token that ends them; others have the mark, a token of its own there, between them."""
         out: list[bytes] = []
+        width = self.dtype.itemsize
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-            cuts = (np.flatnonzero(ids == self.mark) * self.dtype.itemsize).tolist()
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            parts = [raw[a:b] for a, b in zip([0, *(c + width for c in cuts)], [*cuts, len(raw)])]
+            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            last = (np.flatnonzero(self.ends[ids] if letters else ids == self.mark) * width).tolist()
+            raw = ids.tobytes()
+            if letters:
+                parts = [raw[a:b] for a, b in zip([0, *(c + width for c in last)], [c + width for c in last])]
+            else:
+                parts = [raw[a:b] for a, b in zip([0, *(c + width for c in last)], [*last, len(raw)])]
             out += parts if len(parts) == len(some) else self._alone(some)
         return out
 
+    def _new(self, words: list[str]) -> None:
+        """Looks new words up by their letters, without what stands behind them and, in ASCII, in lower case, which is all the same to the tokenizer."""
+        cores, rest = [], []
+        for w in words:
+            core = w.rstrip(TAIL)
+            if core.isalpha():
+                cores.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+            else:
+                rest.append(w)
+        if len(self.cores) > CACHED:
+            self.cores = {}
+        known = self.cores
+        new = list({c for _, c, _ in cores}.difference(known))
+        known.update(zip(new, self._together(new, " ", True)))
+        tails = list({t for _, _, t in cores}.difference(self.tails))
+        self.tails.update(zip(tails, self._alone(tails)))
+        self.cache.update([(w, known[c] + self.tails[t]) for w, c, t in cores])
+        odd = [w for w in rest if MARK in w]
+        plain = [w for w in rest if MARK not in w] if odd else rest
+        self.cache.update(zip(plain, self._together(plain, f" {MARK} ", False)))
+        self.cache.update(zip(odd, self._alone(odd)))
+        for store, ws in ((known, new), (self.tails, tails)):
+            for w in ws:
+                if len(w) > CACHED_CHARS:
+                    del store[w]
+
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -82,11 +119,8 @@ class WordEncoder:
         words = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.cache
         known[""] = b""
-        new = list(set().union(*words).difference(known.keys()))
-        odd = [w for w in new if MARK in w]
-        plain = [w for w in new if MARK not in w] if odd else new
-        known.update(zip(plain, self._new(plain)))
-        known.update(zip(odd, self._alone(odd)))
+        new = list(set().union(*words).difference(known))
+        self._new(new)
         out = [b"".join(map(known.__getitem__, ws)) for ws in words]
         for w in new:
             if len(w) > CACHED_CHARS:
