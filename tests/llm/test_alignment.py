@@ -42,13 +42,22 @@ def expected(texts):
     rows, count = [], Counter()
     for t in texts:
         a, b, ea, eb = plain(t)
-        links = [(x, y) for x, e in zip(a, ea) for y, f in zip(b, eb) if e == f] if len(a) < 500 else [(a[ea.index(e)], b[eb.index(e)]) for e in sorted({*ea} & {*eb})]
+        if len(a) < 500:
+            links = [(x, y) for x, e in zip(a, ea) for y, f in zip(b, eb) if e == f]
+        else:
+            b_at = dict(zip(eb, b))
+            links = [(x, b_at[e]) for x, e in zip(a, ea) if e in b_at]
         count.update(links)
-        groups, low = [], 0
+        groups, i, j = [], 0, 0
         for e in sorted({*ea} & {*eb}):
-            side = lambda ids, ends: ",".join(str(i) for i, x in zip(ids, ends) if low < x <= e)  # noqa: B023, E731
-            groups.append(f"{side(a, ea)}|{side(b, eb)}")
-            low = e
+            own_a, own_b = [], []
+            while i < len(a) and ea[i] <= e:
+                own_a.append(str(a[i]))
+                i += 1
+            while j < len(b) and eb[j] <= e:
+                own_b.append(str(b[j]))
+                j += 1
+            groups.append(f"{','.join(own_a)}|{','.join(own_b)}")
         rows.append((len(a), len(b), groups, links))
     top = defaultdict(int)
     for (_, y), n in count.items():
