@@ -51,8 +51,8 @@ def path_value(text: Column, path: str) -> Column:
 
 
 def anchor(schedule: Column, venue: Column) -> Column:
-    """What aligns expected and actual listings: canonical JSON of schedule and venue."""
-    return F.to_json(F.struct(schedule.alias("schedule"), venue.alias("venue")))
+    """What aligns expected and actual listings: canonical JSON of schedule and venue, whatever the order of their fields; unknown ones count."""
+    return canonical_json(F.to_json(F.struct(schedule.alias("schedule"), venue.alias("venue")), {"ignoreNullFields": "false"}))
 
 
 def contract_versions(**texts: str) -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.operators.scan import scan
-from postlens.plans.predicates import Fields, compile_where, include_flags, validate
+from postlens.plans.predicates import Fields, compile_where, include_flags, require_columns, validate
 from postlens.workspace import stage
 
 
@@ -60,11 +60,10 @@ def group_variants(df: DataFrame, group: str, id_: str = "id", **names: str) ->
 
 
 def search(df: DataFrame, plan: dict, fields: Fields, score: Column, group: str, id_: str = "id", **names: str) -> DataFrame:
-    """A validated plan's groups, best first."""
+    """A validated plan's groups, best first. Rows without the columns that the default exclusions look at are an error."""
     validate(plan, fields)
-    keep = compile_where(plan["where"], fields)
-    if {"dedupe_status", "status", "contactability"} <= set(df.columns):
-        keep &= include_flags(plan.get("include", {}), bool(plan.get("preferences", {}).get("require_contactable")))
+    require_columns(df, ("dedupe_status", "status", "contactability"))
+    keep = compile_where(plan["where"], fields) & include_flags(plan["include"], plan["preferences"]["require_contactable"])
     groups = group_variants(df.where(keep).withColumn("score", score), group, id_, **names)
     return groups.orderBy(F.desc("score"), F.coalesce("date", F.lit("9999-99-99")), F.coalesce("start_time", F.lit("99:99")), "group_id")
 

@@ -1,8 +1,8 @@
 """Query plans: a nested condition compiled to one two-valued Column.
 
 A plan is a dict: ``where`` is a node ({"all": [...]}, {"any": [...]} or a leaf {"field", "op", "value"}),
-``preferences`` and ``include`` steer the ranking and the default exclusions. An unknown (null)
-value never satisfies a condition, not even ``neq``.
+``preferences`` and ``include`` steer the ranking and the default exclusions; all four parts, with
+``interpretation``, are required (``make_plan`` fills in the defaults). An unknown (null) value never satisfies a condition, not even ``neq``.
 """
 
 from __future__ import annotations
@@ -56,6 +56,8 @@ def validate(plan: dict, fields: Fields) -> dict:
             (key,) = n
             if not isinstance(n[key], list):
                 raise ValueError(f"{at}.{key}: a list of nodes")
+            if key == "any" and not n[key]:
+                raise ValueError(f"{at}.any: at least one node")
             for i, x in enumerate(n[key]):
                 node(x, f"{at}.{key}[{i}]")
             return
@@ -68,14 +70,45 @@ def validate(plan: dict, fields: Fields) -> dict:
         if fields.kind(n["field"]) == "array" and n["op"] in ("eq", "neq", "lt", "lte", "gt", "gte"):
             raise ValueError(f"{at}: {n['op']} does not apply to an array")
 
-    missing = {"where"} - set(plan)
-    extra = set(plan) - {"interpretation", "where", "preferences", "include"}
-    if missing or extra:
-        raise ValueError(f"plan: missing {sorted(missing)}, unknown {sorted(extra)}")
+    def keys(value, at: str, wanted: set[str]) -> None:
+        if not isinstance(value, dict):
+            raise ValueError(f"{at}: a dict")
+        if value.keys() != wanted:
+            raise ValueError(f"{at}: missing {sorted(wanted - value.keys())}, unknown {sorted(value.keys() - wanted)}")
+
+    def boolean(value, at: str, nullable: bool = False) -> None:
+        if not isinstance(value, bool) and not (nullable and value is None):
+            raise ValueError(f"{at}: true or false" + ", or null" * nullable)
+
+    keys(plan, "plan", {"interpretation", "where", "preferences", "include"})
+    if not isinstance(plan["interpretation"], str) or not plan["interpretation"]:
+        raise ValueError("interpretation: a text that is not empty")
+    wanted, include = plan["preferences"], plan["include"]
+    keys(wanted, "preferences", {"beginner_friendly", "max_fee", "require_contactable"})
+    boolean(wanted["beginner_friendly"], "preferences.beginner_friendly", nullable=True)
+    boolean(wanted["require_contactable"], "preferences.require_contactable")
+    fee = wanted["max_fee"]
+    if fee is not None and (isinstance(fee, bool) or not isinstance(fee, int) or fee < 0):
+        raise ValueError("preferences.max_fee: a whole number from 0, or null")
+    keys(include, "include", set(INCLUDED))
+    for name in INCLUDED:
+        boolean(include[name], f"include.{name}")
     node(plan["where"], "where")
     return plan
 
 
+INCLUDED = ("duplicates", "full", "cancelled")
+
+
+def make_plan(where: dict, interpretation: str = "conditions", preferences: dict | None = None, include: dict | None = None) -> dict:
+    """A whole plan of a condition: without other preferences, and with the default exclusions."""
+    return {
+        "interpretation": interpretation, "where": where,
+        "preferences": {"beginner_friendly": None, "max_fee": None, "require_contactable": False} | (preferences or {}),
+        "include": dict.fromkeys(INCLUDED, False) | (include or {}),
+    }
+
+
 def _leaf(n: dict, fields: Fields) -> Column:
     name, op, v = n["field"], n["op"], n["value"]
     c, kind = fields.column(name), fields.kind(name)
@@ -170,4 +203,4 @@ def facet_plan(values: dict, children: dict[str, list[str]] | None = None) -> di
         every.append(leaf("play_format", "in", expand_hierarchy([values["play_format"]], children or {})))
     if values.get("excluded_authors"):
         every.append({"any": [leaf("author_url", "is_known", False), {"all": [leaf("author_url", "neq", a) for a in values["excluded_authors"]]}]})
-    return {"interpretation": "facets", "where": {"all": every}, "preferences": {}, "include": values.get("include", {})}
+    return make_plan({"all": every}, "facets", include=values.get("include"))

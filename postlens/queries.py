@@ -524,7 +524,7 @@ PLANS = {
 def _plan_query(name: str, where: dict, sql: str) -> None:
     @query(name, f"{ROWS} select key from r where {sql}")
     def run(spark, sf_dir, where=where):
-        plan = predicates.validate({"where": where}, FIELDS)
+        plan = predicates.validate(predicates.make_plan(where), FIELDS)
         return plan_rows(spark, sf_dir).where(predicates.compile_where(plan["where"], FIELDS)).select("key")
 
 
@@ -606,7 +606,7 @@ def o3_query_places(spark, sf_dir):
   select grp as group_id, round(max(score), 4) as score, max(id) filter (where n = 1) as primary_id, string_agg(id, ',' order by n) as variants from k group by grp""")
 def g8_group_variants(spark, sf_dir):
     fields = predicates.Fields(("fee",), {"fee": "number"})
-    groups = search.search(listing_rows(spark, sf_dir), {"where": _leaf("fee", "is_known", True)}, fields, score_column(), "grp")
+    groups = search.search(listing_rows(spark, sf_dir), predicates.make_plan(_leaf("fee", "is_known", True)), fields, score_column(), "grp")
     return groups.select("group_id", F.round("score", 4).alias("score"), F.col("primary").alias("primary_id"), F.array_join(F.col("variants").cast("array<string>"), ",").alias("variants"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions.ids import canonical_json, digest
+from postlens.functions.values import valid_timestamp
 
 STATS = "scanned int, exported int, excluded int, duplicates int, failed int, failed_by_reason struct<unknown_card: int, minimum_data: int, exception: int>"
 POST = (
@@ -68,10 +69,12 @@ def import_batches(spark: SparkSession, paths: str | list[str], archive_dir: str
     return {"batches": n, "observations": posts, "already_imported": total - n}
 
 
-def migrate(archive: DataFrame) -> DataFrame:
-    """An archive of an earlier form with the columns that it lacks; ids stay."""
-    if "input_digest" not in archive.columns:
+def migrate(archive: DataFrame, captured: str = "scraped_at") -> DataFrame:
+    """An archive of an earlier form with the columns that it lacks: the digest of the raw JSON, and of observations the valid capture time. Rows and ids stay."""
+    if "input_digest" not in archive.columns and "raw_json" in archive.columns:
         archive = archive.withColumn("input_digest", digest(canonical_json(F.col("raw_json"))))
+    if captured in archive.columns and f"{captured}_valid" not in archive.columns:
+        archive = archive.withColumn(f"{captured}_valid", valid_timestamp(F.col(captured)))
     return archive
 
 

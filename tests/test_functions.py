@@ -93,7 +93,14 @@ def test_plans(spark):
     assert ids_of({"all": []}) == [1, 2, 3] and ids_of({"any": []}) == []
     assert ids_of(leaf("t", "is_known", True)) == [1] and ids_of(leaf("t", "is_known", False)) == [2, 3]
     assert ids_of(leaf("a", "in", ["x", None])) == [1, 2]
-    for bad in ({"where": leaf("z", "eq", 1)}, {"where": leaf("a", "like", 1)}, {"where": leaf("t", "eq", 1)}, {"where": {"all": [], "any": []}}, {"where": {"all": []}, "more": 1}):
+    good = predicates.make_plan({"all": []})
+    assert predicates.validate(good, fields) == good
+    wheres = (leaf("z", "eq", 1), leaf("a", "like", 1), leaf("t", "eq", 1), {"all": [], "any": []}, {"any": []}, {"all": {}}, "x", {"field": "a", "op": "eq"})
+    bads = [good | {"where": w} for w in wheres] + [good | {"more": 1}] + [{k: v for k, v in good.items() if k != gone} for gone in good]
+    bads += [good | {"interpretation": i} for i in ("", None, 3)]
+    bads += [good | {"preferences": p} for p in ({}, None, good["preferences"] | {"x": 1}, *[good["preferences"] | {k: v} for k, v in (("beginner_friendly", "yes"), ("max_fee", -1), ("max_fee", 1.5), ("max_fee", True), ("require_contactable", None))])]
+    bads += [good | {"include": i} for i in ({}, [], good["include"] | {"full": None}, good["include"] | {"x": True}, {"full": True})]
+    for bad in bads:
         with pytest.raises(ValueError):
             predicates.validate(bad, fields)
 
