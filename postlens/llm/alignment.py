@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,9 +42,11 @@ FAN = 8
 #: Rows of the table of linked pairs that are broadcast at most.
 SENT = 4_000_000
 SALTS = 16
-CACHED, CACHED_CHARS = 200_000, 24
+CACHED, CACHED_CHARS = 300_000, 24
+#: White space before a blank.
+BLANK_PAIR = re.compile(r"[\s\u180e] ")
 #: New units that are encoded in one text.
-TOGETHER = 300
+TOGETHER = 500
 _PAIRS: dict[tuple[str, str], "TwoTokenizers"] = {}
 
 
@@ -52,7 +55,7 @@ class TwoTokenizers:
 
     A text is encoded unit by unit, a unit being a blank and what follows up to the next blank after something that is not
     white space. Neither side has a token across such a place: A's pre-tokens begin with the blank or end before it, and no piece
-    of B holds a blank after anything else. Units seen lately are kept.
+    of B holds a blank after anything else. Units seen lately are kept, by their text without the first blank.
     """
 
     def __init__(self, a_path: str, b_path: str):
@@ -75,7 +78,12 @@ class TwoTokenizers:
         self.a_size = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
         self.unit = regex.compile(r"(?<=[^\s\u180e])(?= )") if self.parted else None
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}  # ids of both sides; None where their bytes are not the unit
+        self.forget()
+
+    def forget(self) -> None:
+        # ids of either side by unit; None where their bytes are not the unit
+        self.a_cache: dict[str, bytes | None] = {}
+        self.b_cache: dict[str, bytes | None] = {}
 
     def _alone(self, units: list[str]) -> None:
         """Encodes units one by one. Each begins with a blank, which B adds by itself."""
@@ -85,10 +93,11 @@ class TwoTokenizers:
             y = y if len(u) > 1 else [self.b.piece_to_id("▁")]  # the library adds no blank to an empty text
             raw = u.encode("utf-8", "surrogatepass")
             same = b"".join([self.a_bytes[i] for i in x.ids]) == raw == b"".join([self.b_bytes[i] for i in y])
-            self.cache[u] = (_ids(x.ids), _ids(y)) if same else None
+            self.a_cache[u[1:]], self.b_cache[u[1:]] = (_ids(x.ids), _ids(y)) if same else (None, None)
 
-    def _new(self, units: list[str]) -> None:
-        """Encodes new units, many in one text, if all their tokens' bytes are the text and every unit ends with a token on both sides; else alone."""
+    def _new(self, keys: list[str]) -> None:
+        """Encodes units, many in one text, if all their tokens' bytes are the text and every unit ends with a token on both sides; else alone."""
+        units = [f" {k}" for k in keys]
         odd = [u for u in units if u[-1].isspace() or not self.parted]
         self._alone(odd)
         plain = [u for u in units if not u[-1].isspace()] if self.parted else []
@@ -97,7 +106,7 @@ class TwoTokenizers:
             text = "".join(some)
             raw = text.encode("utf-8", "surrogatepass")
             a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
-            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in some])
+            ends = np.cumsum([len(u) for u in some] if len(raw) == len(text) else [len(u.encode("utf-8", "surrogatepass")) for u in some])
             if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
                 self._alone(some)
                 continue
@@ -108,26 +117,37 @@ class TwoTokenizers:
                 continue
             a_cut, b_cut = [0, *(4 * (a_cut + 1)).tolist()], [0, *(4 * (b_cut + 1)).tolist()]
             a_raw, b_raw = _ids(a), _ids(b)
-            self.cache.update(zip(some, zip([a_raw[x:y] for x, y in zip(a_cut, a_cut[1:])], [b_raw[x:y] for x, y in zip(b_cut, b_cut[1:])])))
+            own = keys[at : at + TOGETHER] if not odd else [u[1:] for u in some]
+            self.a_cache.update(zip(own, [a_raw[x:y] for x, y in zip(a_cut, a_cut[1:])]))
+            self.b_cache.update(zip(own, [b_raw[x:y] for x, y in zip(b_cut, b_cut[1:])]))
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and of B of a blank and each text; both empty where their bytes are not those."""
-        if len(self.cache) > CACHED:
-            self.cache = {}
-        cut = (lambda t: self.unit.split(" " + t)) if self.parted else (lambda t: [" " + t])
-        units = [cut(t) if t else [] for t in texts]
-        new = list(set().union(*units).difference(self.cache))
+        if len(self.a_cache) > CACHED:
+            self.forget()
+        units = [self._cut(t) if t else [] for t in texts]
+        new = list(set().union(*units).difference(self.a_cache))
         self._new(new)
-        out = []
+        out, none = [], np.zeros(0, dtype=np.int64)
+        ids = lambda cache, us: np.frombuffer(b"".join(map(cache.__getitem__, us)), dtype="<u4").astype(np.int64)
         for us in units:
-            got = [self.cache[u] for u in us]
-            sides = zip(*got) if got and None not in got else ((), ())
-            out.append(tuple(np.frombuffer(b"".join(x), dtype="<u4").astype(np.int64) for x in sides))
+            try:
+                out.append((ids(self.a_cache, us), ids(self.b_cache, us)))
+            except TypeError:  # a unit without ids
+                out.append((none, none))
         for u in new:
             if len(u) > CACHED_CHARS:
-                del self.cache[u]
+                del self.a_cache[u], self.b_cache[u]
         return out
 
+    def _cut(self, text: str) -> list[str]:
+        """The units of a blank and the text, each without its first blank."""
+        if not self.parted:
+            return [text]
+        if BLANK_PAIR.search(text) or text[0] == " " or text[-1] == " ":
+            return [u[1:] for u in self.unit.split(" " + text)]
+        return text.split(" ")
+
 
 def _ids(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
@@ -196,21 +216,24 @@ def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def lift(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> Fragment:
     """The fragment of the tokens that end in a byte range, in order, with their ends."""
-    common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    if not len(common):
+    at = np.searchsorted(b_ends, a_ends)
+    hit_a = np.zeros(len(a), dtype=bool)
+    inside = at < len(b)
+    hit_a[inside] = b_ends[at[inside]] == a_ends[inside]
+    n = int(hit_a.sum())
+    if not n:
         return Fragment(prefix=(a, b))
-    a_group, b_group = np.searchsorted(common, a_ends, side="left"), np.searchsorted(common, b_ends, side="left")
-    cut = lambda ids, g, low, high: ids[(g >= low) & (g < high)]
-    inner_a, inner_b = (a_group >= 1) & (a_group < len(common)), (b_group >= 1) & (b_group < len(common))
-    keys = link_key(a[np.isin(a_ends, common[1:], assume_unique=True)], b[np.isin(b_ends, common[1:], assume_unique=True)])
+    hit_b = np.zeros(len(b), dtype=bool)
+    hit_b[at[hit_a]] = True
+    # a token's group is the number of common ends before it
+    a_group, b_group = np.cumsum(hit_a) - hit_a, np.cumsum(hit_b) - hit_b
+    a_first, b_first = int(np.searchsorted(a_group, 1)), int(np.searchsorted(b_group, 1))
+    a_last, b_last = int(np.searchsorted(a_group, n)), int(np.searchsorted(b_group, n))
+    keys = link_key(a[hit_a], b[hit_b])[1:]
     return Fragment(
-        True,
-        (cut(a, a_group, 0, 1), cut(b, b_group, 0, 1)),
-        group_texts(a[inner_a], b[inner_b], a_group[inner_a], b_group[inner_b]),
-        len(common) - 1,
-        _counted(keys, np.ones(len(keys))),
-        (a[a_group == len(common)], b[b_group == len(common)]),
-    )
+        True, (a[:a_first], b[:b_first]), group_texts(a[a_first:a_last], b[b_first:b_last], a_group[a_first:a_last], b_group[b_first:b_last]),
+        n - 1, _counted(keys, np.ones(len(keys))), (a[a_last:], b[b_last:]),
+    )
 
 
 def _closing(a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray]:
@@ -244,13 +267,19 @@ def finish(whole: Fragment) -> tuple[int, str, tuple[np.ndarray, np.ndarray]]:
     return whole.n_groups + 1, hashlib.sha256((text + whole.text)[:-1].encode()).hexdigest(), links
 
 
-_FRAGMENT = "closed boolean, prefix_a binary, prefix_b binary, groups string, n_groups long, keys binary, counts binary, suffix_a binary, suffix_b binary"
+#: A fragment as columns; a text of one chunk has its digest and no open parts or text.
+_FRAGMENT = "groups_sha256 string, closed boolean, prefix_a binary, prefix_b binary, groups string, n_groups long, keys binary, counts binary, suffix_a binary, suffix_b binary"
 _ROW = "row long, doc_id long, n_a long, n_b long, node long, chunks long"
 
 
 def _packed(f: Fragment) -> list:
     raw = lambda x: x.astype("<i8").tobytes()
-    return [f.closed, raw(f.prefix[0]), raw(f.prefix[1]), f.text, f.n_groups, raw(f.links[0]), raw(f.links[1]), raw(f.suffix[0]), raw(f.suffix[1])]
+    return [None, f.closed, raw(f.prefix[0]), raw(f.prefix[1]), f.text, f.n_groups, raw(f.links[0]), raw(f.links[1]), raw(f.suffix[0]), raw(f.suffix[1])]
+
+
+def _finished(f: Fragment) -> list:
+    n, sha, (keys, counts) = finish(f)
+    return [sha, True, None, None, None, n, keys.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), None, None]
 
 
 def _unpacked(r) -> Fragment:
@@ -270,7 +299,8 @@ def fragments(df: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> Da
             a_cuts, b_cuts = [0, *np.searchsorted(a_ends, cuts, side="right")], [0, *np.searchsorted(b_ends, cuts, side="right")]
             for k in range(n):
                 x, y = slice(a_cuts[k], a_cuts[k + 1]), slice(b_cuts[k], b_cuts[k + 1])
-                yield [row, doc, len(a), len(b), k, n, *_packed(lift(a[x], b[y], a_ends[x], b_ends[y]))]
+                own_part = lift(a[x], b[y], a_ends[x], b_ends[y])
+                yield [row, doc, len(a), len(b), k, n, *(_finished(own_part) if n == 1 else _packed(own_part))]
 
     def run(batches):
         own = two_tokenizers(a_path, b_path)
@@ -279,12 +309,13 @@ def fragments(df: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK) -> Da
             for at in range(0, batch.num_rows, step):
                 rows = list(rows_of(batch.slice(at, step), own))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=names)
+        own.forget()
 
     own = df.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return own.mapInArrow(tidied(run), f"{_ROW}, {_FRAGMENT}")
 
 
-_TYPES = [pa.int64()] * 6 + [pa.bool_(), pa.binary(), pa.binary(), pa.string(), pa.int64(), *[pa.binary()] * 4]
+_TYPES = [pa.int64()] * 6 + [pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.string(), pa.int64(), *[pa.binary()] * 4]
 
 
 def reduce_tree(chunks: DataFrame, most: int, fan: int = FAN) -> DataFrame:
@@ -307,22 +338,24 @@ def reduce_tree(chunks: DataFrame, most: int, fan: int = FAN) -> DataFrame:
 
 def aligned(df: DataFrame, a_path: str, b_path: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, groups_sha256, keys and counts (the text's distinct links as packed 64-bit integers)."""
-    made = stage(fragments(df, a_path, b_path, chunk), "fragments")
+    made = stage(fragments(df, a_path, b_path, chunk), "fragments", "zstd")
     most = made.agg(F.max("chunks")).first()[0] or 1
-    whole = made.where("chunks = 1")
-    if most > 1:
-        whole = whole.unionByName(stage(reduce_tree(made.where("chunks > 1"), most, fan), "composed"))
+    columns = ["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "keys", "counts"]
+    whole = made.where("chunks = 1").select(*columns)
+    if most == 1:
+        return whole
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64).to_pandas()
-                rows = [(r.row, None if pd.isna(r.doc_id) else int(r.doc_id), r.n_a, r.n_b, *finish(_unpacked(r))) for r in part.itertuples()]
+            for at in range(0, batch.num_rows, 8):
+                part = batch.slice(at, 8)
+                rows = [(*(part.column(c)[k].as_py() for c in columns[:4]), *finish(_unpacked(r))) for k, r in enumerate(part.to_pandas().itertuples())]
                 raw = lambda x: x.astype("<i8").tobytes()
                 cols = list(zip(*[(*r[:-1], raw(r[-1][0]), raw(r[-1][1])) for r in rows]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 5, pa.string(), pa.binary(), pa.binary()])], names=["row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [*[pa.int64()] * 5, pa.string(), pa.binary(), pa.binary()])], names=columns)
 
-    return stage(whole.mapInArrow(tidied(run), "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, keys binary, counts binary"), "aligned")
+    done = reduce_tree(made.where("chunks > 1"), most, fan).mapInArrow(tidied(run), "row long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, keys binary, counts binary")
+    return whole.unionByName(stage(done, "composed", "zstd"))
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
