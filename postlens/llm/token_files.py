@@ -35,10 +35,10 @@ from postlens.workspace import fresh
 
 #: A document in the index: ids before it, its id (0 if null), and whether the id is known.
 RECORD = np.dtype([("offset", "<u8"), ("doc_id", "<i8"), ("known", "<u8")])
-#: Words whose ids a Python worker keeps, none longer than so many characters.
-CACHED, CACHED_CHARS = 500_000, 24
+#: Words, and letters of words, whose ids a Python worker keeps, none longer than so many characters.
+CACHED, CACHED_CORES, CACHED_CHARS = 300_000, 1_000_000, 24
 #: What stands between new words that the library encodes together, and how many these are.
-MARK, TOGETHER = "\x01", 500
+MARK, TOGETHER = "\x01", 2000
 #: What ends the last token of every word, and punctuation behind a word's letters that is a word of its own.
 END, TAIL = "</w>", ".,;:!?"
 #: About so many ids a file, but for a longer document.
@@ -91,7 +91,7 @@ class WordEncoder:
                 cores.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
             else:
                 rest.append(w)
-        if len(self.cores) > CACHED:
+        if len(self.cores) > CACHED_CORES:
             self.cores = {}
         known = self.cores
         new = list({c for _, c, _ in cores}.difference(known))
