@@ -888,12 +888,15 @@ def t10_extract(spark, sf_dir):
 RECORDS = f"with r as (select page_id, page_id % 5 as batch, case when page_id % 3 > 0 then nullif(regexp_extract({PAGE_PATH}, '/[a-z]+/([0-9]+)', 1), '') end as id, case when page_id % 4 > 0 then {PAGE_HOST} || (page_id % 20) end as link from pages)"
 
 
+def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = urls.host(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5).alias("batch"), F.when(F.col("page_id") % 3 > 0, urls.post_id(F.col("url"), r"/[a-z]+/(\d+)")).alias("id"), F.when(F.col("page_id") % 4 > 0, F.concat(h, (F.col("page_id") % 20).cast("string"))).alias("link"))
+
+
 @query("t3_clusters", RECORDS + """, e as (select a.page_id as x, b.page_id as y from r a join r b on a.batch = b.batch and (a.id = b.id or a.link = b.link)),
   c as (with recursive c(page_id, root) as (select page_id, page_id from r union select e.y, c.root from c join e on e.x = c.page_id) select page_id, min(root) as cluster from c group by 1) select page_id, cluster from c""")
 def t3_clusters(spark, sf_dir):
-    h = urls.host(F.col("url"))
-    df = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5).alias("batch"), F.when(F.col("page_id") % 3 > 0, urls.post_id(F.col("url"), r"/[a-z]+/(\d+)")).alias("id"), F.when(F.col("page_id") % 4 > 0, F.concat(h, (F.col("page_id") % 20).cast("string"))).alias("link"))
-    return collect.clusters(df, "batch", "page_id", ["id", "link"]).select("page_id", "cluster")
+    return collect.clusters(cluster_rows(spark, sf_dir), "batch", "page_id", ["id", "link"]).select("page_id", "cluster")
 
 
 @query("t4_merge_stable", """select user_id, count(*) as n_records, arg_min(event_id, event_id) filter (where event_type = 'view') as first_view, arg_max(value, event_id) filter (where event_type <> 'error') as last_value, arg_max(event_type, event_id) as latest_type from events group by 1""")

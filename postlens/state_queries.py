@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from postlens.functions import ids, leaves
 from postlens.operators import evaluation, ledger, publish
 from postlens.plans import contract
-from postlens.queries import big, query, table
+from postlens.queries import ORACLES, big, cluster_rows, query, table
+from postlens.streaming import collector
+from postlens.workspace import fresh
 
 # --- a log of many events a task -------------------------------------------------------------------
 
@@ -239,3 +241,27 @@ def r17_accuracy(spark, sf_dir):
 def r17_report(spark, sf_dir):
     parts = corpus(spark, sf_dir)
     return evaluation.report(parts[0], evaluation.cases(*parts), ["single", "late", "truncated", "never"]).withColumn("missing_categories", F.array_join("missing_categories", ","))
+
+
+# --- the collector as a stream -------------------------------------------------------------------------
+
+
+def streamed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in five files, the latest orders first, read one file a micro-batch."""
+    target = fresh(spark, "collector")
+    rows = cluster_rows(spark, sf_dir)
+    rows.repartitionByRange(5, F.desc("page_id")).write.parquet(f"{target}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/in")
+    q = collector.collect_stream(stream, f"{target}/out", f"{target}/checkpoint", "batch", "page_id", ["id", "link"])
+    q.awaitTermination()
+    return collector.read_clusters(spark, f"{target}/out", q.lastProgress["batchId"])
+
+
+@query("t3_stream_clusters", ORACLES["t3_clusters"])
+def t3_stream_clusters(spark, sf_dir):
+    return streamed_clusters(spark, sf_dir).select(F.col("ord").alias("page_id"), "cluster")
+
+
+@query("t3_stream_counts", f"with k as ({ORACLES['t3_clusters']}) select count(*) as scanned, count(distinct cluster) as exported, count(*) - count(distinct cluster) as duplicates from k")
+def t3_stream_counts(spark, sf_dir):
+    return collector.counts(streamed_clusters(spark, sf_dir))
