@@ -53,12 +53,15 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        # lower-case letters of ASCII are their own normal form and byte letters: the same model, cut at blanks alone
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(END)
@@ -66,13 +69,13 @@ class WordEncoder:
         self.cores: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
-    def _together(self, words: list[str], between: str, letters: bool) -> list[bytes]:
+    def _together(self, words: list[str], between: str, letters: bool, ascii_: bool = False) -> list[bytes]:
         """The ids of words, many in one text. Words of letters end at the token that ends them; others have the mark, a token of its own there, between them."""
         out: list[bytes] = []
-        width = self.dtype.itemsize
+        width, tokenizer = self.dtype.itemsize, self.letters if ascii_ else self.tokenizer
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ids = np.array(tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             last = (np.flatnonzero(self.ends[ids] if letters else ids == self.mark) * width).tolist()
             raw = ids.tobytes()
             if letters:
@@ -95,7 +98,9 @@ class WordEncoder:
             self.cores = {}
         known = self.cores
         new = list({c for _, c, _ in cores}.difference(known))
-        known.update(zip(new, self._together(new, " ", True)))
+        for ascii_ in (True, False):
+            some = [c for c in new if c.isascii() is ascii_]
+            known.update(zip(some, self._together(some, " ", True, ascii_)))
         tails = list({t for _, _, t in cores}.difference(self.tails))
         self.tails.update(zip(tails, self._alone(tails)))
         self.cache.update([(w, known[c] + self.tails[t]) for w, c, t in cores])
