@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.functions import ids, leaves
-from postlens.operators import evaluation, ledger, publish
+from postlens.operators import evaluation, ledger, merge_tree, publish
 from postlens.plans import contract
 from postlens.queries import ORACLES, big, cluster_rows, query, table
 from postlens.streaming import collector
@@ -265,3 +265,15 @@ def t3_stream_clusters(spark, sf_dir):
 @query("t3_stream_counts", f"with k as ({ORACLES['t3_clusters']}) select count(*) as scanned, count(distinct cluster) as exported, count(*) - count(distinct cluster) as duplicates from k")
 def t3_stream_counts(spark, sf_dir):
     return collector.counts(streamed_clusters(spark, sf_dir))
+
+
+# --- posts merged over bridges -----------------------------------------------------------------------------
+
+
+@query("t4_merge_tree")
+def t4_merge_tree(spark, sf_dir):
+    """Posts of every batch, merged in the order of the accumulators; the tests hold the operator against a plain collector."""
+    rows = cluster_rows(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    rows = rows.select("page_id", "batch", "id", "link", F.when(F.col("page_id") % 2 == 0, F.col("link")).alias("author"), F.char_length("html").alias("likes"), F.when(F.col("page_id") % 5 > 0, F.substring("html", -60, 40)).otherwise("").alias("content"), (F.col("page_id") % 3 > 0).alias("cut"), F.array("link").alias("media"), F.col("page_id").alias("stamp"))
+    out = merge_tree.merge(rows, "batch", "page_id", ("id", "link"), ["author"], ["likes"], "content", "cut", ["media"], ["stamp"])
+    return out.select("cluster", "n_records", "author", "likes", "content", "cut", "stamp", F.array_join("media", ",").alias("media"))
