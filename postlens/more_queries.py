@@ -226,7 +226,7 @@ def s15_import_dataset(spark, sf_dir):
 
 def written_envelopes(spark: SparkSession, sf_dir: str) -> str:
     """Pages as envelopes of up to 50 posts, one JSON file each, in the shared folder."""
-    post = F.struct(F.col("page_id").cast("string").alias("post_id"), F.col("url").alias("post_url"), F.substring("html", 1, 200).alias("content_text"))
+    post = F.struct(F.col("page_id").cast("string").alias("post_id"), F.col("url").alias("post_url"), F.col("html").alias("content_text"))
     own = table(spark, sf_dir, "pages").withColumn("b", F.floor(F.col("page_id") / 50)).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("page_id", post.alias("p")))).alias("rows"))
     batch = F.struct(F.concat(F.lit("batch-"), F.col("b").cast("string")).alias("batch_id"), F.lit("https://social.test/groups/1").alias("group_url"))
     out = own.select("b", F.to_json(F.struct(batch.alias("batch"), F.transform("rows", lambda r: r["p"]).alias("posts"))).alias("value"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.operators.joins import keys_of_batches
+from postlens.operators.search import places
 
 #: Allowed transitions: (status, event) to the new status. Success never changes.
 TRANSITIONS = {("pending", "start"): "running", ("running", "succeed"): "succeeded", ("running", "fail"): "failed", ("failed", "retry"): "pending", ("running", "recover"): "pending"}
@@ -90,10 +91,10 @@ def open_ids(tasks: DataFrame, id_: str = "task_id") -> DataFrame:
 
 
 def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
-    """Adds chunk: the number of a row's group of ``size`` rows in order (of a claim, which is bounded)."""
+    """Adds chunk: the number (from 0) of a row's group of ``size`` rows in a total order, of any number of rows."""
     if not 1 <= size <= 100:
         raise ValueError("chunk size must be from 1 to 100")
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    return places(df, [F.col(c) for c in order], name="_place").withColumn("chunk", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def latest_attempt(attempts: DataFrame, id_: str = "task_id", number: str = "attempt") -> DataFrame:

@@ -185,10 +185,13 @@ def f16_link_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.link_url(F.col("url"), ("utm_source",)).alias("url"))
 
 
-@query("f15_unwrap_redirect", "select page_id, url as target from pages")
+@query("f15_unwrap_redirect", "select page_id, case page_id % 4 when 2 then 'https://other.test/l?u=x' || page_id when 3 then 'https://l.redirect.test/l?h=' || page_id else url end as target from pages")
 def f15_unwrap_redirect(spark, sf_dir):
-    wrapped = F.concat(F.lit("https://l.redirect.test/l?u="), F.url_encode("url"), F.lit("&h=1"))
-    return table(spark, sf_dir, "pages").select("page_id", urls.unwrap_redirect(wrapped, "redirect.test").alias("target"))
+    """Links wrapped once and twice, one that only looks wrapped, and a redirector's link without a target."""
+    wrap = lambda u: F.concat(F.lit("https://l.redirect.test/l?u="), F.url_encode(u), F.lit("&h=1"))
+    once, kind, id_ = wrap(F.col("url")), F.col("page_id") % 4, F.col("page_id").cast("string")
+    link = F.when(kind == 0, once).when(kind == 1, wrap(once)).when(kind == 2, F.concat(F.lit("https://other.test/l?u=x"), id_)).otherwise(F.concat(F.lit("https://l.redirect.test/l?h="), id_))
+    return table(spark, sf_dir, "pages").select("page_id", urls.unwrap_redirect(link, "redirect.test").alias("target"))
 
 
 @query("f19_classify_link", f"select page_id, case when {PAGE_HOST} = 'example.com' or {PAGE_HOST} like '%.example.com' then 'site' when {PAGE_HOST} like '%.example.org' then 'messenger' else 'external' end as kind from pages")
@@ -221,9 +224,12 @@ def f17_extract_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(urls.extract_urls(F.concat(F.coalesce("html", F.lit("")), F.lit(" see "), F.col("url"), F.lit(").")) ), " ").alias("found"))
 
 
-@query("f18_mask_urls", "select page_id, 'see [URL] and [URL].' as masked from pages")
+@query("f18_mask_urls", "select page_id, case when page_id % 3 = 0 then 'page ' || page_id || ' without' else 'see [URL] and [URL]. ' || page_id || case when page_id % 2 = 0 then ' ([URL]) http:/no' else '' end end as masked from pages")
 def f18_mask_urls(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.mask_urls(F.concat(F.lit("see "), "url", F.lit(" and "), "url", F.lit("/longer."))).alias("masked"))
+    """Links one of which begins with another, links in brackets, and texts without any."""
+    id_ = F.col("page_id").cast("string")
+    some = F.concat(F.lit("see "), "url", F.lit(" and "), "url", F.lit("/longer. "), id_, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" ("), F.lower("url"), F.lit(") http:/no"))).otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", urls.mask_urls(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("page "), id_, F.lit(" without"))).otherwise(some)).alias("masked"))
 
 
 @query("f23_author_identity", r"""select c_custkey, case when c_custkey % 3 = 0 then 'site:id:' || c_custkey when c_custkey % 3 = 1 then 'site:profile:' || lower(replace(c_name, '#', '.')) end as author from customer""")
@@ -840,10 +846,9 @@ def p18_claimable(spark, sf_dir):
     return tasks.claimable(task_rows(spark, sf_dir), 3, 100, ["task_id"]).select("task_id")
 
 
-@query("o12_chunks", TASKS + " select task_id, (row_number() over (order by task_id) - 1) // 8 as chunk from (select task_id from t where status = 'pending' order by task_id limit 100)")
+@query("o12_chunks", TASKS + " select task_id, (row_number() over (order by task_id) - 1) // 8 as chunk from t where status = 'pending'")
 def o12_chunks(spark, sf_dir):
-    claim = task_rows(spark, sf_dir).where("status = 'pending'").orderBy("task_id").limit(100)
-    return tasks.chunks(claim, ["task_id"], 8).select("task_id", big("chunk").alias("chunk"))
+    return tasks.chunks(task_rows(spark, sf_dir).where("status = 'pending'"), ["task_id"], 8).select("task_id", big("chunk").alias("chunk"))
 
 
 @query("j8_latest_attempt", "select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1")
