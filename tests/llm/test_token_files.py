@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
-from fixtures import empty, frame, odd_rows
+from fixtures import empty, frame, odd_rows, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -43,7 +43,7 @@ def test_words_alone_encode_as_whole_texts():
     """Word by word, as the library encodes the whole text: odd white space, marks, specials, and random mixtures."""
     rng = random.Random(1)
     letters = ["a", "b", "E", "é", "é", "́", " ", "  ", "\n", "\t", "'s", "'", "1", "日", "🎉", " ", "‍", "<|endoftext|>", "\r", "\x1d", ".", "S"]
-    texts = ODD + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts = ODD + [prose(k, 300).title() + ". " + prose(k, 50).upper() + "! end-of;line?!" for k in range(5)] + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
     e = token_files.WordEncoder(PATH)
     for _ in range(2):  # the second time from the cache
         for t, raw in zip(texts, e.encode(texts)):
