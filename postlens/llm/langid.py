@@ -93,6 +93,8 @@ class Parser:
             tables.append(full.astype(np.uint32))
             self.roots.append(base)
             base += len(go)
+        # places in the table, which may be more than 32 bits count
+        self.wide = np.uint32 if base * self.width < 1 << 32 else np.uint64
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.uint32)
         self.of: dict[int, int] = {}
 
@@ -149,10 +151,10 @@ class Parser:
         state = np.repeat(root[:, None], len(segs), axis=1)
         count = np.zeros((len(root), len(segs)), dtype=np.int64)
         active = np.searchsorted(-length, -np.arange(len(grid)), side="left")
-        width = np.uint32(self.width)
+        width, wide = self.wide(self.width), lambda x: x.astype(self.wide, copy=False)
         low = np.uint32(0x7FFFFFFF)
         for t, n in enumerate(active.tolist()):
-            v = self.table[state[:, :n] * width + grid[t, :n]]
+            v = self.table[wide(state[:, :n]) * width + grid[t, :n]]
             count[:, :n] += v >> np.uint32(31)
             state[:, :n] = v & low
         # where a segment really begins: the end of the one before, followed until it meets the walk from the root
@@ -172,7 +174,7 @@ class Parser:
             t = 0
             while len(live):
                 c = grid[t, at[live]]
-                v, w = self.table[own * width + c], self.table[free * width + c]
+                v, w = self.table[wide(own) * width + c], self.table[wide(free) * width + c]
                 extra[live] += (v >> np.uint32(31)).astype(np.int64) - (w >> np.uint32(31))
                 own, free = v & low, w & low
                 t += 1

@@ -41,18 +41,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_toxicity")
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every whole text, learned without the held-out fifth."""
+    """Toxicity score of every whole text, learned without the held-out fifth. A row without a doc_id is not held out, nor learned from."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.train(docs, documents(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query("op5_language")
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predicted language of every whole text, learned without the held-out quarter."""
+    """Predicted language of every whole text, learned without the held-out quarter. A row without a doc_id is not held out, nor learned from."""
     docs = documents(spark, sf_dir)
     found = langid.predict(docs.select("doc_id", "text"), langid.sample(docs))
-    return found.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query("op2_decontamination", decontaminate.ORACLE)
