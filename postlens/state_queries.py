@@ -155,8 +155,7 @@ CONTRACT = {
 )
 def r2_contract(spark, sf_dir):
     """Every violation of a nested contract, with its place."""
-    broken = contract.violations(F.col("j"), CONTRACT)
-    return records(spark, sf_dir).select("l_orderkey", F.explode(broken).alias("v")).select("l_orderkey", "v.path", "v.code")
+    return contract.problems(records(spark, sf_dir), ["l_orderkey"], F.col("j"), CONTRACT)
 
 
 # --- digests and anchors -----------------------------------------------------------------------------
