@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +30,13 @@ def leaves(df: DataFrame, ids: list[str], record: Column) -> DataFrame:
         parts = open_.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
         step = F.coalesce("_key", F.col("_pos").cast("string"))
         each = parts.select(*ids, F.when(F.col("path") == "", step).otherwise(F.concat("path", F.lit("."), step)).alias("path"), F.col("_value").alias("v"))
-        level = stage(each.withColumn("container", F.lower(F.schema_of_variant("v")).rlike("^(object|array)")), "leaves")
-        own = level.where("not container").select(*ids, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        own = own.where(F.col("value").isNotNull() & ~F.col("value").isin(*UNFILLED))
+        # a container keeps its variant, a leaf its text alone; kinds come in capitals, and F.lower would take them through ICU
+        each = each.withColumn("_container", F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        each = each.select(*ids, "path", F.when(~F.col("_container"), F.try_variant_get("v", "$", "string")).alias("value"), F.when(F.col("_container"), F.col("v")).alias("v"))
+        level = stage(each.where(F.col("v").isNotNull() | (F.col("value").isNotNull() & ~F.col("value").isin(*UNFILLED))), "leaves")
+        own = level.where("value is not null").select(*ids, "path", "value")
         found = own if found is None else found.unionByName(own)
-        open_ = level.where("container").select(*ids, "path", "v")
+        open_ = level.where(F.col("v").isNotNull()).select(*ids, "path", "v")
         if open_.isEmpty():
             return found
 
@@ -49,15 +52,18 @@ def evidence_problems(df: DataFrame, ids: list[str], record: Column, roots: list
     unfilled: a field that is no filled leaf below the roots; not_quoted: a quote that is blank or not verbatim in the source;
     missing: a filled leaf without evidence, unless it is derived or its root is exempt; empty: no evidence at all for filled leaves.
     """
-    asked = df.where(evidence.isNotNull())
-    filled = leaves(asked, ids, record).where(F.substring_index("path", ".", 1).isin(*roots))
+    asked = df.where(evidence.isNotNull()).withColumn("_bare", F.size(evidence) == 0)
+    filled = leaves(asked, [*ids, "_bare"], record).where(F.substring_index("path", ".", 1).isin(*roots))
     given = asked.select(*ids, F.explode(evidence).alias("e"), source.alias("_source")).select(*ids, normal_path(F.col("e.field")).alias("path"), F.col("e.quote").alias("quote"), "_source")
-    given = stage(given, "evidence")
-    on = [*ids, "path"]
-    unfilled = given.join(filled, on, "left_anti").select(*on, F.lit("unfilled").alias("code"))
     blank = F.coalesce(F.trim("quote"), F.lit("")) == ""
-    unquoted = given.where(blank | ~F.contains("_source", "quote")).select(*on, F.lit("not_quoted").alias("code"))
-    needed = filled.where(~F.col("path").rlike(derived) & ~F.col("path").rlike("^(" + "|".join(map(re.escape, exempt)) + r")(\.|$)") & ~(F.col("path").rlike(ZERO_DERIVED) & (F.col("value") == "0")))
-    missing = needed.join(given, on, "left_anti").select(*on, F.lit("missing").alias("code"))
-    bare = asked.where(F.size(evidence) == 0).select(*ids).join(filled.select(*ids).distinct(), ids, "left_semi").select(*ids, F.lit("evidence").alias("path"), F.lit("empty").alias("code"))
-    return unfilled.unionByName(unquoted).unionByName(missing).unionByName(bare).distinct()
+    free = F.col("path").rlike(derived) | F.col("path").rlike("^(" + "|".join(map(re.escape, exempt)) + r")(\.|$)") | (F.col("path").rlike(ZERO_DERIVED) & (F.col("value") == "0"))
+    # leaves and evidence meet by record and path in one aggregate that tasks begin before the shuffle
+    flags = ("leaf", "needed", "given", "unquoted", "bare")
+    flag = lambda **on: [on.get(f, F.lit(False)).alias(f"_{f}") for f in flags]
+    rows = filled.select(*ids, "path", *flag(leaf=F.lit(True), needed=~free))
+    rows = rows.unionByName(given.select(*ids, "path", *flag(given=F.lit(True), unquoted=F.coalesce(blank | ~F.contains("_source", "quote"), F.lit(False)))))
+    rows = rows.unionByName(filled.where("_bare").select(*ids, F.lit("evidence").alias("path"), *flag(bare=F.lit(True))))
+    met = rows.groupBy(*ids, "path").agg(*[F.max(f"_{f}").alias(f"_{f}") for f in flags])
+    codes = {"unfilled": F.col("_given") & ~F.col("_leaf"), "not_quoted": F.col("_unquoted"), "missing": F.col("_needed") & ~F.col("_given"), "empty": F.col("_bare")}
+    said = F.array_compact(F.array(*[F.when(broken, code) for code, broken in codes.items()]))
+    return met.where(reduce(Column.__or__, codes.values())).select(*ids, "path", F.explode_outer(said).alias("code"))
