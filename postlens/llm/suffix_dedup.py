@@ -18,7 +18,7 @@ document has to itself:
    are told apart one by one. Those whose 50 bytes one document has to itself go; the others are
    grouped by gram and digest. Groups of several documents are exactly the repeated windows.
 
-Between passes the surviving keys travel as a Bloom bitmap of 2**27 bits (16 MB) at any size of the
+Between passes the surviving keys travel as a Bloom bitmap of at most 2**27 bits (16 MB) at any size of the
 corpus: a bounded sketch, whose false positives cost only work, since it can keep a suffix but never
 lose one and what is kept is compared by digest in a join. Every pass reads the texts anew, which is
 cheaper than moving suffixes: nothing with a row per byte is ever written. Minima are pre-aggregated
