@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -192,9 +193,10 @@ def buckets(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if level == LEVELS:
             return small, many if large is None else large.unionByName(many)
         # dense: of each min-hash there is a value that half of the sets have
-        value = many.join(nodes.select("doc_id", "minima"), "doc_id").select("bucket", "n", F.posexplode("minima").alias("k", "value"))
-        most = value.groupBy("bucket", "n", "k", "value").agg(F.count("*").alias("m")).groupBy("bucket", "n", "k").agg(F.max("m").alias("m"))
-        dense = stage(most.groupBy("bucket", "n").agg(F.min("m").alias("m")).select("bucket", (F.col("m") * 2 >= F.col("n")).alias("dense")), "path-dense")
+        value = stage(many.join(nodes.select("doc_id", "minima"), "doc_id").select("bucket", "n", "minima"), "path-values")
+        most = [value.groupBy("bucket", "n", F.col("minima")[k].alias("value")).agg(F.count("*").alias("m")).groupBy("bucket", "n").agg(F.max("m").alias("m")) for k in range(MINIMA)]
+        least = reduce(DataFrame.unionByName, most).groupBy("bucket", "n").agg(F.min("m").alias("m"))
+        dense = stage(least.select("bucket", (F.col("m") * 2 >= F.col("n")).alias("dense")), "path-dense")
         stay = many.join(dense.where("dense"), "bucket").drop("dense")
         large = stay if large is None else large.unionByName(stay)
         part = dense.where("not dense")
