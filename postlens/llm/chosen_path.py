@@ -2,18 +2,18 @@
 
 Sets are the distinct five-word shingles of a text. Each of RUNS independent runs grows a tree of
 paths: at a node every set picks the tokens whose node-specific hash is under RATE / |set| and goes
-to one child per picked token, so that similar sets meet in children with about even odds and
+to one child per picked token (SPLIT_RATE below a split bucket), so that similar sets meet in children with about even odds and
 others part. Paths of DEPTH tokens are the buckets. Two sets of Braun-Blanquet similarity 0.8 or more
-(which Jaccard 0.8 implies) survive DEPTH levels of a run with probability 0.31 at least, so 20 runs
-miss one in some 1,700 of the worst pairs, and fewer of those with more overlap.
+(which Jaccard 0.8 implies) survive DEPTH levels of a run with probability 0.23 at least, so 52 runs
+miss one in some million of the worst pairs (a set and its 80 % subset), and fewer of those with more overlap.
 
 Equal sets are one set before anything else, with a count. Buckets of up to SMALL sets are compared by
 brute force: every pair is given to one bucket only, the largest that has it, and only such
 buckets get the shingles of their members. A larger bucket whose sets merely share a passage (some of MINIMA
 min-hashes has no value that half of them have) is split: its node grows AGAIN independent trees of DEEPER more tokens
 each, up to LEVELS times. Sets with 30 % in common part at most tokens, similar ones keep meeting:
-a run finds the worst pair in buckets split once with probability 0.25, split twice with 0.24, so that
-20 runs miss one in some 240 there. Large buckets that are dense, or still large at full depth, are
+a run finds the worst pair in buckets split once with probability 0.18, split twice with 0.17, so that
+52 runs miss one in some 16,000 there. Large buckets that are dense, or still large at full depth, are
 grouped (connected through them), dealt into blocks of about BLOCK sets, and every pair of blocks
 is one small group that returns sums and one link per set, never its pairs. So no task holds an
 unbounded group, no pair of a large group is written, and no link is lost to a cap.
@@ -43,9 +43,9 @@ from postlens.llm.components import components
 SHINGLE = 5
 #: The threshold as a fraction, for exact integer comparison.
 UP, DOWN = 4, 5
-RUNS, DEPTH, RATE = 20, 4, 1.25
+RUNS, DEPTH, RATE = 52, 4, 1.1
 SMALL, BLOCK = 24, 128
-AGAIN, DEEPER, LEVELS, MINIMA = 3, 6, 2, 4
+AGAIN, DEEPER, LEVELS, MINIMA, SPLIT_RATE = 3, 6, 2, 4, 1.25
 WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,12 +60,18 @@ def shingles(text: str | None) -> np.ndarray:
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
         out = out * _ODD + h[i : len(h) - k + 1 + i]
-    return np.unique(mix64(out))
+    return distinct(mix64(out))
 
 
-def grow(tokens: np.ndarray, nodes: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct elements in order (for short arrays faster than numpy's own)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def grow(tokens: np.ndarray, nodes: np.ndarray, depth: int = DEPTH, rate: float = RATE) -> np.ndarray:
     """The nodes that a set reaches depth tokens below some nodes: one 64-bit key per surviving path."""
-    under = np.uint64(min(1.0, RATE / len(tokens)) * ((1 << 64) - 2048))
+    under = np.uint64(min(1.0, rate / len(tokens)) * ((1 << 64) - 2048))
     for _ in range(depth):
         if not len(nodes):
             break
@@ -73,10 +79,10 @@ def grow(tokens: np.ndarray, nodes: np.ndarray, depth: int = DEPTH) -> np.ndarra
         grown = []
         for at in range(0, len(nodes), step):
             part = nodes[at : at + step]
-            node, token = np.nonzero(tokens[None, :] * (part | np.uint64(1))[:, None] <= under)
+            node, token = np.divmod(np.flatnonzero(tokens[None, :] * (part | np.uint64(1))[:, None] <= under), len(tokens))
             grown.append(mix64(part[node] * _ODD + tokens[token]))
         nodes = np.concatenate(grown)
-    return np.unique(nodes)
+    return distinct(nodes)
 
 
 def paths(tokens: np.ndarray, runs: int = RUNS) -> np.ndarray:
@@ -87,7 +93,7 @@ def paths(tokens: np.ndarray, runs: int = RUNS) -> np.ndarray:
 def deeper(tokens: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """The buckets of a set below some buckets, in AGAIN independent trees of each."""
     salts = np.arange(1, AGAIN + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return grow(tokens, mix64(buckets[:, None] + salts[None, :]).ravel(), DEEPER)
+    return grow(tokens, mix64(buckets[:, None] + salts[None, :]).ravel(), DEEPER, SPLIT_RATE)
 
 
 def minima(tokens: np.ndarray) -> list[int]:
