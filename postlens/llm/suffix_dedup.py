@@ -102,13 +102,14 @@ class Runs:
         # no window starts in the last bytes of a piece
         inside = np.ones(n, dtype=bool)
         inside[np.maximum(end[size > 0, None] - np.arange(1, LENGTH), self.begin[size > 0, None]).ravel()] = False
-        at = np.flatnonzero(inside[: n - LENGTH + 1])
-        if not len(at):
-            return
-        a = (key[at] & LOW).astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))  # other pieces have other anchors
-        self.first, self.anchor = at[new], a[new]
-        self.count = np.diff(np.append(new, len(at)))
+        inside = inside[: len(key)]
+        edge = key[1:] != key[:-1]  # equal keys are one anchor, as an offset is in them
+        edge |= inside[1:] != inside[:-1]
+        new = np.concatenate([[0], np.flatnonzero(edge) + 1])
+        whole = np.flatnonzero(inside[new])
+        self.first = new[whole]
+        self.anchor = (key[self.first] & LOW).astype(np.int64)
+        self.count = np.diff(np.append(new, len(key)))[whole]
         self.piece = np.searchsorted(end, self.first, side="right")  # the first piece that ends beyond; empty ones never do
 
     def hash(self, at: np.ndarray, length: int) -> np.ndarray:
@@ -176,11 +177,12 @@ def batch_of(names: list[str], arrays: list[np.ndarray]) -> pa.RecordBatch:
 
 def shared_keys(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of a buffer, each with 1, or 2 if several rows have it."""
-    order = np.lexsort((row, keys))
+    if not len(keys):
+        return keys, np.zeros(0, dtype=np.int64)
+    order = np.argsort(keys)
     k, r = keys[order], row[order]
-    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
-    end = np.append(start[1:], len(k)) - 1
-    return k[start], 1 + (r[start] != r[end] if len(k) else np.zeros(0, dtype=np.int64)).astype(np.int64)
+    start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    return k[start], 1 + (np.minimum.reduceat(r, start) != np.maximum.reduceat(r, start)).astype(np.int64)
 
 
 def repeated_keys(docs: DataFrame, keys_of):
@@ -238,9 +240,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     several = bitmap(first.where("first < last").select(F.col("d").bitwiseXOR(F.col("gram")).alias("key")))
     first.unpersist()
 
-    def settled(r: Runs, doc_hash: np.ndarray):
-        """Digests of the runs, which of them an earlier document surely holds, and which need windows."""
+    def settled(r: Runs, doc_hash: np.ndarray, varied_only: bool = False):
+        """Digests of the runs (of those alone that may need windows), which of them an earlier document surely holds, and which need windows."""
         survivors(r, grams.value, halves.value)
+        if varied_only:
+            r.only(varied.value.has(r.hash(r.anchor, GRAM)))
         d = r.digests(r.first, r.count + LENGTH - 1)
         gone = ~earliest.value.has(d.view(np.uint64) ^ doc_hash[r.piece])
         return d, gone, varied.value.has(r.hash(r.anchor, GRAM))
@@ -254,7 +258,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def open_windows(batches):
         for pieces, row, _, (hashes,) in buffers(batches, ["doc_hash"]):
             r = Runs(pieces)
-            _, gone, windows = settled(r, np.array(hashes, dtype=np.int64).view(np.uint64)[row])
+            _, gone, windows = settled(r, np.array(hashes, dtype=np.int64).view(np.uint64)[row], varied_only=True)
             start, run = windows_of(r, np.flatnonzero(~gone & windows))
             yield batch_of(["key", "n"], list(shared_keys(r.hash(start, LENGTH), row[r.piece[run]])))
 
