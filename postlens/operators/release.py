@@ -34,7 +34,10 @@ def consistency(posts: DataFrame, batches: DataFrame, listings: DataFrame, repor
     gaps, and the report's numbers are those of the tables.
     """
     n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-    numbered = listings.groupBy(post).agg(F.count("*").alias("_n"), F.count_distinct(index).alias("_d"), F.min(index).alias("_a"), F.max(index).alias("_b"))
+    # distinct numbers are the bits of words of 64, so that an aggregate has a row per word, not one per listing
+    at = F.col(index).cast("long")
+    words = listings.groupBy(post, F.shiftright(at, 6).alias("_w")).agg(F.count("*").alias("_n"), F.bit_or(F.expr(f"shiftleft(1L, cast(cast(`{index}` as bigint) & 63 as int))")).alias("_bits"), F.min(index).alias("_a"), F.max(index).alias("_b"))
+    numbered = words.groupBy(post).agg(F.sum("_n").alias("_n"), F.sum(F.coalesce(F.bit_count("_bits"), F.lit(0))).alias("_d"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))
     counted = posts.agg(F.count("*").alias("posts"), F.count_if(F.coalesce(F.col(analysed), F.lit(False))).alias("analysed"))
     counted = counted.unionByName(listings.agg(F.count("*").alias("listings")), allowMissingColumns=True)
     totals = counted.agg(*[F.max(c).alias(c) for c in ("posts", "listings", "analysed")])
