@@ -96,9 +96,10 @@ def deeper(tokens: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return grow(tokens, mix64(buckets[:, None] + salts[None, :]).ravel(), DEEPER, SPLIT_RATE)
 
 
-def minima(tokens: np.ndarray) -> list[int]:
-    """MINIMA min-hashes of a set."""
-    return [int((tokens * np.uint64(2 * k + 3) ^ (tokens >> np.uint64(29))).min() >> np.uint64(34)) for k in range(MINIMA)]
+def minima(tokens: np.ndarray) -> int:
+    """MINIMA min-hashes of a set, the low 16 bits of each side by side in one long, which the set's memberships carry."""
+    least = [(tokens * np.uint64(2 * k + 3) ^ (tokens >> np.uint64(29))).min() & np.uint64(0xFFFF) for k in range(MINIMA)]
+    return int(sum(x << np.uint64(16 * k) for k, x in enumerate(least)).view(np.int64))
 
 
 def _rows(batches, columns):
@@ -119,9 +120,9 @@ def sets(docs: DataFrame) -> DataFrame:
                 d2.append(b)
                 keys.append(paths(x).view(np.int64) if len(x) else None)
                 least.append(minima(x) if len(x) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int32()))], names=["doc_id", "s1", "s2", "paths", "minima"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(least, pa.int64())], names=["doc_id", "s1", "s2", "paths", "minima"])
 
-    rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(tidied(run), "doc_id long, s1 long, s2 long, paths array<long>, minima array<int>")
+    rows = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(tidied(run), "doc_id long, s1 long, s2 long, paths array<long>, minima long")
     return stage(rows, "path-sets")
 
 
@@ -172,43 +173,45 @@ def token_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def split(docs: DataFrame, nodes: DataFrame, large: DataFrame) -> DataFrame:
-    """large: doc_id, bucket. The leaves (doc_id, bucket) below these buckets."""
-    own = large.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets"))  # a set has few buckets, whatever their size
+    """large: doc_id, minima, bucket. The leaves (doc_id, minima, bucket) below these buckets."""
+    own = large.groupBy("doc_id", "minima").agg(F.collect_list("bucket").alias("buckets"))  # a set has few buckets, whatever their size
 
     def run(batches):
         for batch in slices(batches):
-            ids, out = [], []
-            for doc, tokens, buckets in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "tokens", "buckets")]):
+            ids, least, out = [], [], []
+            for doc, minima_, tokens, buckets in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "minima", "tokens", "buckets")]):
                 keys = deeper(np.frombuffer(tokens, dtype=np.uint64), np.array(buckets, dtype=np.int64).view(np.uint64))
                 ids.append(np.full(len(keys), doc, dtype=np.int64))
+                least.append(np.full(len(keys), minima_, dtype=np.int64))
                 out.append(keys.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else [], pa.int64()), pa.array(np.concatenate(out) if out else [], pa.int64())], names=["doc_id", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (ids, least, out)], names=["doc_id", "minima", "bucket"])
 
-    return token_sets(docs, nodes, own.select("doc_id")).join(own, "doc_id").select("doc_id", "tokens", "buckets").mapInArrow(tidied(run), "doc_id long, bucket long")
+    return token_sets(docs, nodes, own.select("doc_id")).join(own, "doc_id").select("doc_id", "minima", "tokens", "buckets").mapInArrow(tidied(run), "doc_id long, minima long, bucket long")
 
 
 def buckets(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Memberships (doc_id, bucket, n, least) of the small buckets and of the large ones that stay together."""
-    leaves = nodes.select("doc_id", F.explode("paths").alias("bucket"))
+    leaves = nodes.select("doc_id", "minima", F.explode("paths").alias("bucket"))
     small = large = None
     for level in range(LEVELS + 1):
         met = stage(leaves.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"), "path-buckets")
-        held = stage(leaves.join(met, "bucket").select("doc_id", "bucket", "n", "least"), "path-held")
-        few, many = held.where(F.col("n") <= SMALL), held.where(F.col("n") > SMALL)
+        held = stage(leaves.join(met, "bucket").select("doc_id", "minima", "bucket", "n", "least"), "path-held")
+        few, many = held.where(F.col("n") <= SMALL).drop("minima"), held.where(F.col("n") > SMALL)
         small = few if small is None else small.unionByName(few)
         if level == LEVELS:
+            many = many.drop("minima")
             return small, many if large is None else large.unionByName(many)
-        # dense: of each min-hash there is a value that half of the sets have
-        value = stage(many.join(nodes.select("doc_id", "minima"), "doc_id").select("bucket", "n", "minima"), "path-values")
-        most = [value.groupBy("bucket", "n", F.col("minima")[k].alias("value")).agg(F.count("*").alias("m")).groupBy("bucket", "n").agg(F.max("m").alias("m")) for k in range(MINIMA)]
+        # dense: of each min-hash there is a value that half of the sets have; sets alike in all min-hashes are counted as one row
+        value = stage(many.groupBy("bucket", "n", "minima").agg(F.count("*").alias("m")), "path-values")
+        most = [value.groupBy("bucket", "n", F.shiftright("minima", 16 * k).bitwiseAND(0xFFFF).alias("value")).agg(F.sum("m").alias("m")).groupBy("bucket", "n").agg(F.max("m").alias("m")) for k in range(MINIMA)]
         least = reduce(DataFrame.unionByName, most).groupBy("bucket", "n").agg(F.min("m").alias("m"))
         dense = stage(least.select("bucket", (F.col("m") * 2 >= F.col("n")).alias("dense")), "path-dense")
-        stay = many.join(dense.where("dense"), "bucket").drop("dense")
+        stay = many.join(dense.where("dense"), "bucket").drop("dense", "minima")
         large = stay if large is None else large.unionByName(stay)
         part = dense.where("not dense")
         if not part.take(1):
             return small, large
-        leaves = stage(split(docs, nodes, many.join(part, "bucket").select("doc_id", "bucket")), "path-leaves")
+        leaves = stage(split(docs, nodes, many.join(part, "bucket").select("doc_id", "minima", "bucket")), "path-leaves")
 
 
 def links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:

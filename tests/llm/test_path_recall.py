@@ -41,3 +41,32 @@ def test_large_buckets_are_judged_without_a_row_per_min_hash(spark, monkeypatch)
     monkeypatch.setattr(F, "posexplode", lambda c: made.append(c))
     _, large = chosen_path.buckets(docs, nodes)
     assert large.select("doc_id").distinct().count() == 30 and not made
+
+
+def test_large_buckets_are_judged_by_counts_of_like_sets(spark, monkeypatch):
+    """Memberships carry their min-hashes: none is joined to its set again, and sets alike in all min-hashes are one row of the judgement."""
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    base, staged, plans, stage = prose(1, 150), {}, [], chosen_path.stage
+
+    def noted(df, label):
+        if label == "path-values":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return staged.setdefault(label, []).append(stage(df, label)) or staged[label][-1]
+
+    monkeypatch.setattr(chosen_path, "stage", noted)
+    docs = frame(spark, [(i, f"{base} end{i}", "", "", 0) for i in range(60)])
+    nodes = chosen_path.sets(docs).withColumn("copies", F.lit(1).cast("long"))
+    _, large = chosen_path.buckets(docs, nodes)
+    memberships, rows = staged["path-held"][0].where(F.col("n") > 4).count(), staged["path-values"][0]
+    assert memberships > 1000 and large.select("doc_id").distinct().count() == 60
+    assert rows.count() * 5 < memberships and rows.agg(F.sum("m")).first()[0] == memberships
+    assert not any("Join" in p for p in plans)  # staged rows are read as they are
+
+
+def test_packed_minima_are_those_of_the_least_hashes():
+    """Four parts of 16 bits; alike sets have like parts, a set without the least element another one."""
+    x = np.random.default_rng(6).integers(0, 1 << 63, 400, dtype=np.uint64)
+    part = lambda v: [v >> 16 * k & 0xFFFF for k in range(chosen_path.MINIMA)]
+    hashes = [x * np.uint64(2 * k + 3) ^ (x >> np.uint64(29)) for k in range(chosen_path.MINIMA)]
+    assert part(chosen_path.minima(x)) == [int(h.min()) & 0xFFFF for h in hashes]
+    assert part(chosen_path.minima(np.delete(x, hashes[2].argmin())))[2] != part(chosen_path.minima(x))[2]
