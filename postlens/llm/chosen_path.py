@@ -15,8 +15,8 @@ each, up to LEVELS times. Sets with 30 % in common part at most tokens, similar
 a run finds the worst pair in buckets split once with probability 0.18, split twice with 0.17, so that
 52 runs miss one in some 16,000 there. Large buckets that are dense, or still large at full depth, are
 grouped (connected through them), dealt into blocks of about BLOCK sets, and every pair of blocks
-is one small group that returns sums and one link per set, never its pairs. So no task holds an
-unbounded group, no pair of a large group is written, and no link is lost to a cap.
+is one small group that returns sums and one link per set, to the least set that its similar pairs connect it to, never
+its pairs. So no task holds an unbounded group, no pair of a large group is written, and no link is lost to a cap.
 
 Defined results: a null doc_id gives one row with null class and no links; null, empty or word-less
 texts are alone in their class; texts of under five words have one shingle, all their words; very
@@ -148,6 +148,15 @@ def similar(members: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def least_connected(ids: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The least id that chains of near pairs connect each id to; links to it connect all that the pairs connect (links to the least neighbour do not)."""
+    least, before = ids, None
+    while before is None or (least != before).any():
+        before = least
+        least = np.minimum(least, np.where(near, least[None, :], np.iinfo(np.int64).max).min(axis=1))
+    return least
+
+
 def _arrays(col: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint64) for x in col]
 
@@ -261,8 +270,7 @@ def links(nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if pdf["x"].iloc[0] != pdf["y"].iloc[0]:
             near &= block[:, None] != block[None, :]  # pairs within a block are another tile's
         some = near.any(axis=1)
-        least = np.where(near, ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-        return pd.DataFrame({"a": ids[some], "b": least[some], "n": (near @ own)[some]})
+        return pd.DataFrame({"a": ids[some], "b": least_connected(ids, near)[some], "n": (near @ own)[some]})
 
     dense = tiles.groupBy("root", "x", "y").applyInPandas(tile, "a long, b long, n long")
     found = stage(near.unionByName(dense), "path-links")

@@ -131,6 +131,18 @@ def test_similar_is_exact():
     assert near.tolist() == [[False, True, False, True], [True, False, True, True], [False, True, False, False], [True, True, False, False]]
 
 
+def test_chains_within_a_large_group_stay_one_class(spark, monkeypatch):
+    """Similar pairs 1-3, 3-4, 4-2 alone: each text's least neighbour leaves 3-4 out, though it connects all four."""
+    monkeypatch.setattr(chosen_path, "SMALL", 2)
+    words = prose(1, 400).split()
+    without = lambda spans: " ".join(w for k, w in enumerate(words) if not any(a <= k < a + 36 for a in spans))
+    steps = {1: [], 3: [50], 4: [50, 150], 2: [50, 150, 250]}
+    crowd = {100 + i: " ".join(words) + f" end{i}" for i in range(4)}  # makes the buckets large
+    rows = [(i, without(s)) for i, s in steps.items()] + list(crowd.items())
+    got = sorted(map(tuple, chosen_path.join(frame(spark, [(i, t, "", "", 0) for i, t in rows])).collect()))
+    assert got == brute(rows) and {c for _, c, _ in got} == {1}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7), (101, 100)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
