@@ -18,9 +18,10 @@ document has to itself:
    are told apart one by one. Those whose 50 bytes one document has to itself go; the others are
    grouped by gram and digest. Groups of several documents are exactly the repeated windows.
 
-Between passes the surviving keys travel as a Bloom bitmap of at most 2**27 bits (16 MB) at any size of the
-corpus: a bounded sketch, whose false positives cost only work, since it can keep a suffix but never
-lose one and what is kept is compared by digest in a join. Every pass reads the texts anew, which is
+Between passes the surviving keys travel as a Bloom bitmap that grows with them (two to four bytes a key) up to
+2**30 bits (128 MB): a sketch whose false positives cost only work, since it can keep a suffix but never
+lose one and what is kept is compared by digest in a join. Which keys come again is found by 40 of their bits, in rows of
+packed keys, about four bytes each. Every pass reads the texts anew, which is
 cheaper than moving suffixes: nothing with a row per byte is ever written. Minima are pre-aggregated
 in each task, so a passage that a third of all documents hold is one row per task.
 
@@ -39,9 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
-from postlens.llm.common import Bitmap, bitmap, mix64, release, stage
+from postlens.llm.common import PACKED, Bitmap, bitmaps, long_keys, mix64, packed, release, stage
 
 LENGTH = 50
 GRAM = 24
@@ -185,16 +185,15 @@ def shared_keys(keys: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return k[start], 1 + (np.minimum.reduceat(r, start) != np.maximum.reduceat(r, start)).astype(np.int64)
 
 
-def repeated_keys(docs: DataFrame, keys_of):
-    """Bitmap of the keys that several rows of docs have; keys_of gives the keys and runs of a buffer."""
+def repeated_keys(docs: DataFrame, keys_of, columns: tuple[str, ...] = ()):
+    """Bitmap of the keys that several rows of docs have; keys_of gives the keys and pieces of a buffer's runs, from these and its rows' columns."""
 
     def run(batches):
-        for pieces, row, _, _ in buffers(batches, []):
-            keys, piece = keys_of(Runs(pieces))
-            yield batch_of(["key", "n"], list(shared_keys(keys, row[piece])))
+        for pieces, row, _, values in buffers(batches, list(columns)):
+            keys, piece = keys_of(Runs(pieces), *[np.array(x, dtype=np.int64)[row] for x in values])
+            yield (0, *shared_keys(keys, row[piece]))
 
-    counted = docs.select("text").mapInArrow(run, table(["key", "n"])).groupBy("key").agg(F.sum("n").alias("n"))
-    return bitmap(counted.where("n > 1").select("key"))
+    return bitmaps(docs.mapInArrow(lambda batches: packed(run(batches)), PACKED), [2])[0]
 
 
 def survivors(runs: Runs, grams: Bitmap, halves: Bitmap) -> None:
@@ -218,14 +217,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("doc_id").alias("doc_hash"), F.xxhash64("text").alias("text_hash"), "text")
     used = keyed.where("doc_id is not null")
 
-    grams = repeated_keys(used, lambda r: (r.hash(r.anchor, GRAM), r.piece))
+    texts = used.select("text")
+    grams = repeated_keys(texts, lambda r: (r.hash(r.anchor, GRAM), r.piece))
 
     def half_keys(r: Runs):
         r.only(grams.value.has(r.hash(r.anchor, GRAM)))
         has_left, has_right, left, right = r.halves()
         return np.concatenate([left[has_left], right[has_right]]), np.concatenate([r.piece[has_left], r.piece[has_right]])
 
-    halves = repeated_keys(used, half_keys)
+    halves = repeated_keys(texts, half_keys)
 
     def contexts(batches):
         for pieces, row, _, (ids,) in buffers(batches, ["doc_id"]):
@@ -234,11 +234,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield batch_of(["gram", "d", "doc_id"], [r.hash(r.anchor, GRAM), r.digests(r.first, r.count + LENGTH - 1), np.array(ids, dtype=np.int64)[row[r.piece]]])
 
     held = used.select("doc_id", "text").mapInArrow(contexts, table(["gram", "d", "doc_id"]))
-    first = held.groupBy("gram", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).persist(StorageLevel.DISK_ONLY)
-    earliest = bitmap(first.select(F.col("d").bitwiseXOR(F.xxhash64("first")).alias("key")))
-    varied = bitmap(first.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("key")))
-    several = bitmap(first.where("first < last").select(F.col("d").bitwiseXOR(F.col("gram")).alias("key")))
-    first.unpersist()
+    first = held.groupBy("gram", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+    def sketched(batches):
+        for batch in batches:
+            gram, d, own, shared = (long_keys(batch.column(c)) for c in ("gram", "d", "own", "shared"))
+            one = np.ones(len(gram), dtype=np.int8)
+            yield 0, d ^ own, one  # contexts with their earliest document
+            yield 1, gram, one  # grams of several contexts
+            yield 2, (d ^ gram)[shared == 1], one[shared == 1]  # contexts of several documents
+
+    rows = first.select("gram", "d", F.xxhash64("first").alias("own"), F.expr("cast(first < last as long)").alias("shared"))
+    earliest, varied, several = bitmaps(rows.mapInArrow(lambda batches: packed(sketched(batches)), PACKED), [1, 2, 1])
 
     def settled(r: Runs, doc_hash: np.ndarray, varied_only: bool = False):
         """Digests of the runs (of those alone that may need windows), which of them an earlier document surely holds, and which need windows."""
@@ -255,16 +262,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         start = np.repeat(r.first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return start, np.repeat(which, count)
 
-    def open_windows(batches):
-        for pieces, row, _, (hashes,) in buffers(batches, ["doc_hash"]):
-            r = Runs(pieces)
-            _, gone, windows = settled(r, np.array(hashes, dtype=np.int64).view(np.uint64)[row], varied_only=True)
-            start, run = windows_of(r, np.flatnonzero(~gone & windows))
-            yield batch_of(["key", "n"], list(shared_keys(r.hash(start, LENGTH), row[r.piece[run]])))
+    def open_windows(r: Runs, hashes: np.ndarray):
+        _, gone, windows = settled(r, hashes.view(np.uint64), varied_only=True)
+        start, run = windows_of(r, np.flatnonzero(~gone & windows))
+        return r.hash(start, LENGTH), r.piece[run]
 
-    counted = used.select("doc_hash", "text").mapInArrow(open_windows, table(["key", "n"])).groupBy("key").agg(F.sum("n").alias("n"))
-    repeats = bitmap(counted.where("n > 1").select("key"))
-    del held, first, counted
+    repeats = repeated_keys(used.select("doc_hash", "text"), open_windows, ("doc_hash",))
+    del held, first, rows
 
     names = ["gram", "d", "doc_id", "text_hash", "place"]  # place: start * 64 + number of windows
 
@@ -287,6 +291,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     units = stage(used.mapInArrow(open_units, table(names)), "suffix-units")
     least = stage(units.groupBy("gram", "d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "suffix-least")
+    for done in (several, repeats):  # what is staged does not ask for them again
+        done.unpersist()
     release(docs.sparkSession)
     later = units.join(least, ["gram", "d"]).where("first < doc_id").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("later"))
 
